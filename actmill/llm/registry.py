@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from actmill.llm.decontam import contained_items
 from actmill.llm.multiset import edited_neighbours
+from actmill.llm.omh import near_duplicate_classes
+from actmill.llm.sufdedup import repeated_strings_removed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +18,36 @@ def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def op7_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings_removed(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
+OP7_SQL = r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
+dsh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM dw)),
+iw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM benchmark),
+ish AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM iw)),
+need AS (SELECT item_id, ceil(0.8 * count(*) - 1e-9) AS least FROM ish GROUP BY 1),
+hit AS (SELECT doc_id, item_id FROM dsh JOIN ish USING (s) JOIN need USING (item_id) GROUP BY doc_id, item_id, least HAVING count(*) >= least),
+per AS (SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids FROM hit GROUP BY 1)
+SELECT d.doc_id, coalesce(item_ids, []::BIGINT[]) AS item_ids, item_ids IS NOT NULL AS contaminated
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
 QUERIES = {
+    "op10_interval_expansion": op10_interval_expansion,
+    "op7_containment": op7_containment,
+    "op1_order_minhash": op1_order_minhash,
     "op2_multiset_hash": op2_multiset_hash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_containment": OP7_SQL,
+}
