@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 21
@@ -37,6 +38,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A schema with more fields behind."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser: spreads a polynomial hash over all bits."""
     x = np.asarray(x, U64)

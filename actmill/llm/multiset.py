@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from actmill.llm.arrays import BASE, U64, checkpointed, mix, small_batches, word_hashes
+from actmill.llm.arrays import BASE, U64, checkpointed, extended, mix, small_batches, word_hashes
 
 EQUAL_LANES, LIKE_LANES = 16, 1024
 
@@ -82,7 +82,6 @@ def hexed(equal: np.ndarray) -> list[str]:
 def fingerprint_documents(df: DataFrame, text: str = "text") -> DataFrame:
     """df with fingerprint string, and equal_lanes and like_lanes binary, from which documents can be edited and compared."""
     small_batches(df.sparkSession)
-    schema = df.schema
     extra = ["fingerprint", "equal_lanes", "like_lanes"]
     if clash := set(extra) & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
@@ -94,8 +93,7 @@ def fingerprint_documents(df: DataFrame, text: str = "text") -> DataFrame:
             cols = [hexed(e), [r.tobytes() for r in e], [r.tobytes() for r in k]]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cols[0], pa.string()), *(pa.array(c, pa.binary()) for c in cols[1:])], [*b.schema.names, *extra])
 
-    out = schema.add("fingerprint", "string").add("equal_lanes", "binary").add("like_lanes", "binary")
-    return df.mapInArrow(task, out)
+    return df.mapInArrow(task, extended(df.schema, "fingerprint string, equal_lanes binary, like_lanes binary"))
 
 
 _REPORT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from actmill.llm.bpe import with_tokens
 from actmill.llm.decontam import contained_items
+from actmill.llm.langid import predicted_languages
+from actmill.llm.linededup import lines_deduplicated
 from actmill.llm.multiset import edited_neighbours
 from actmill.llm.omh import near_duplicate_classes
+from actmill.llm.quality import quality_scores
 from actmill.llm.sufdedup import repeated_strings_removed
+from actmill.llm.surrogate import pseudonymised
+from actmill.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +26,7 @@ def op2_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("row_key", "keeps")
 
 
 def op7_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +37,43 @@ def op10_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_strings_removed(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted_languages(table(spark, sf_dir, "documents"))
+
+
+def op4_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP8_SQL = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
+w AS (SELECT doc_id, i, a[i] || chr(10) || a[i + 1] || chr(10) || a[i + 2] AS s FROM (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS i FROM l)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1), (2)) AS t(k)),
+rows AS (SELECT doc_id, i, a[i] AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM l)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM rows ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_deleted FROM gone GROUP BY 1)
+SELECT l.doc_id, coalesce(kept.text, '') AS text, len(a) AS n_lines, coalesce(n_deleted, 0) AS n_deleted
+FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
 OP7_SQL = r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
 dsh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM dw)),
@@ -43,6 +87,12 @@ FROM documents d LEFT JOIN per USING (doc_id)
 """
 
 QUERIES = {
+    "op9_transducer_bpe": op9_transducer_bpe,
+    "op3_surrogates": op3_surrogates,
+    "op8_line_winnowing": op8_line_winnowing,
+    "op4_boosted_trees": op4_boosted_trees,
+    "op5_subword_softmax": op5_subword_softmax,
+    "op6_kneser_ney": op6_kneser_ney,
     "op10_interval_expansion": op10_interval_expansion,
     "op7_containment": op7_containment,
     "op1_order_minhash": op1_order_minhash,
@@ -50,4 +100,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_containment": OP7_SQL,
+    "op8_line_winnowing": OP8_SQL,
 }

@@ -302,11 +302,13 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     """(row_key, start, windows): runs of repeated windows. docs has row_key and text."""
     places = _places(docs)
     found = places.groupBy("anchor", "content", "windows", "lead").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "start")).alias("one"))
-    whole = found.filter("n > 1").select("anchor", "content", "windows", "lead")
+    per = found.groupBy("anchor").agg(F.count("*").alias("kinds"), F.max("n").alias("most"), F.sum(F.col("windows") + F.lit(LENGTH - 1)).alias("size"))
+    # Written once: what follows reads the few segments that matter, and joins of plain shuffles can split hot keys.
+    marked = checkpointed(found.join(per.filter("kinds > 1 or most > 1"), "anchor"))
+    whole = marked.filter("n > 1").select("anchor", "content", "windows", "lead")
     repeated = places.join(whole, ["anchor", "content", "windows", "lead"]).select("row_key", "start", "windows")
-    several = found.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + F.lit(LENGTH - 1)).alias("size")).filter("kinds > 1")
-    single = found.join(several.select("anchor", (F.col("size") > CROWD_BYTES).alias("crowded")), "anchor")
-    cut = checkpointed(_cut_out(docs, single.select("anchor", "crowded", "one.row_key", "one.start", "windows")))
+    single = marked.filter("kinds > 1").select("anchor", (F.col("size") > CROWD_BYTES).alias("crowded"), "one.row_key", "one.start", "windows")
+    cut = checkpointed(_cut_out(docs, single))
     return repeated.unionByName(_expand(cut.filter("not crowded"))).unionByName(_counted(cut.filter("crowded")))
 
 
