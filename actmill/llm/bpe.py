@@ -21,6 +21,7 @@ import heapq
 import json
 import mmap
 import re
+import string
 import tempfile
 import unicodedata
 from collections import Counter
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from actmill.llm.arrays import checkpointed, extended, small_batches
 
-LEXICON, LONGEST_WORD = 50_000, 64
-KNOWN_WORDS = 200_000
+LEXICON, LONGEST_WORD = 100_000, 64
+KNOWN_WORDS = 300_000
 SPAN, NEVER = 1 << 20, 1 << 62
 #: Fixed values of the tokenizer file: white space, and the pattern of words once white space is blanks.
 SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -220,33 +221,55 @@ class Lexicon:
         return self.ids[self.start[place] : self.start[place + 1]].tolist()
 
 
+#: Number of ids, the ids as text, the tokens as text. Without lists in it, the garbage collector passes it over.
+Piece = tuple[int, str, str]
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        #: Ids, the ids as text and the tokens as text of the pieces met lately.
-        self.known: dict[str, tuple[list[int], str, str]] = {}
+        #: Words of the lexicon; other words, and pieces between blanks, met lately.
+        self.frequent: dict[str, Piece] = {}
+        self.words: dict[str, Piece] = {}
+        self.chunks: dict[str, Piece] = {}
 
-    def ids(self, word: str) -> list[int]:
+    def ids(self, word: str) -> tuple[list[int], bool]:
+        """Ids of a word, and whether the lexicon has it."""
         data = word.encode("utf-8", "surrogatepass")
         found = self.lexicon.get(data) if len(data) <= LONGEST_WORD else None
-        return self.vocabulary.merge(word) if found is None else found
-
-    def chunk(self, chunk: str) -> tuple[list[int], str, str]:
-        ids = [i for w in words_of(chunk) for i in self.ids(w)]
-        found = (ids, " ".join(map(str, ids)), self.decode(ids))
-        if len(self.known) >= KNOWN_WORDS:
-            self.known.clear()
+        return (self.vocabulary.merge(word), False) if found is None else (found, True)
+
+    def word(self, word: str) -> Piece:
+        ids, known = self.ids(word)
+        piece = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        if known:
+            self.frequent[word] = piece
+        elif len(word) <= LONGEST_WORD:
+            if len(self.words) >= KNOWN_WORDS:
+                self.words.clear()
+            self.words[word] = piece
+        return piece
+
+    def chunk(self, chunk: str) -> Piece:
+        core = chunk.rstrip(string.punctuation)
+        if core.isalpha() or not core:  # a word and marks behind it: no other split is possible
+            words = [w for w in (core, chunk[len(core) :]) if w]
+        else:
+            words = words_of(chunk)
+        pieces = [x for w in words if (x := self.frequent.get(w) or self.words.get(w) or self.word(w))[0]]
+        found = pieces[0] if len(pieces) == 1 else (sum([x[0] for x in pieces]), " ".join([x[1] for x in pieces]), " ".join([x[2] for x in pieces]))
+        if len(self.chunks) >= KNOWN_WORDS:
+            self.chunks.clear()
         if len(chunk) <= LONGEST_WORD:
-            self.known[chunk] = found
+            self.chunks[chunk] = found
         return found
 
-    def encode(self, text: str) -> list[tuple[list[int], str, str]]:
-        """For each piece or special token with ids: the ids, and both as text."""
-        out, known, make = [], self.known, self.chunk
+    def encode(self, text: str) -> list[Piece]:
+        """The pieces of a text and its special tokens that have ids."""
+        out, known, make = [], self.chunks, self.chunk
         for part, special in self.vocabulary.parts(text):
             if special:
-                i = self.vocabulary.special[part]
-                out.append(([i], str(i), part))
+                out.append((1, str(self.vocabulary.special[part]), part))
             else:
                 out += [known.get(c) or make(c) for c in self.vocabulary.chunks(part)]
         return [x for x in out if x[0]]
@@ -285,9 +308,10 @@ def word_counts(docs: DataFrame, content: str) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame) -> list[str]:
-    """Words of at most LONGEST_WORD bytes, LEXICON of them at most: all above a count taken from a histogram."""
+    """Words of at most LONGEST_WORD bytes, LEXICON of them at most: all above a count taken from a histogram of counts."""
     short = counts.filter(F.octet_length("word") <= LONGEST_WORD)
-    bins = short.groupBy(F.floor(F.log2("n") * 16).alias("size")).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).collect()
+    size = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2("n") * 16))
+    bins = short.groupBy(size.alias("size")).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).collect()
     total, least = 0, None
     for r in sorted(bins, key=lambda r: -r["size"]):
         total += r["kinds"]
@@ -327,9 +351,10 @@ def with_tokens(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
             n, first, second = [], [], []
             for text in b.column(at).to_pylist():
                 words = encoder.encode(text or "")
-                n.append(sum([len(w[0]) for w in words]))
+                n.append(sum([w[0] for w in words]))
                 decoded = " ".join([w[2] for w in words])
-                first.append(digest(" ".join([w[1] for w in words])) if digests else [i for w in words for i in w[0]])
+                ids = " ".join([w[1] for w in words])
+                first.append(digest(ids) if digests else [int(i) for i in ids.split()])
                 second.append(digest(decoded) if digests else decoded)
             cols = [pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), *cols], [*(b.schema.names[i] for i in keep), *kinds])

@@ -1,11 +1,11 @@
 """Operator 5: toxicity scores by averaged subword embeddings and a linear softmax.
 
-A word (a run of letters and digits, in lower case, between two marks) is the bag of its character n-grams of 3 to 5
+A word (a run of letters and digits, in lower case, between two marks) is the bag of its character n-grams of 3 to 7
 bytes and of the word itself, each hashed to one of BUCKETS embeddings; a text is the average over all n-grams of all its
-words. Embeddings and softmax are trained jointly in numpy, by Adam on minibatches, on at most TRAIN_ROWS labelled
-documents (those of smallest hash of doc_id). A misspelt word shares most n-grams with the word it was made from. As a
-text's logits are linear in its average, each bucket's embedding is multiplied by the softmax weights once, and tasks add
-one number for each n-gram of the whole text.
+words. Embeddings and softmax are trained jointly in numpy, by Adam on minibatches with a falling rate, on at most
+TRAIN_ROWS labelled documents (those of smallest hash of doc_id). A misspelt word shares most n-grams with the word it
+was made from. As a text's logits are linear in its average, each bucket's embedding is multiplied by the softmax weights
+once, and tasks add one number for each n-gram of the whole text.
 
 Defined results: a null text counts as empty; a text without words has the score of the intercept; without labelled rows
 each score is 0.5; a null label or doc_id teaches nothing; repeated rows get equal scores.
@@ -22,13 +22,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actmill.llm.arrays import BASE, U64, mix, small_batches, slices, utf8
+from actmill.llm.arrays import BASE, U64, checkpointed, mix, slices, small_batches, utf8
 from actmill.llm.langid import fold
 
-BUCKETS, DIMENSIONS = 1 << 16, 8
-TRAIN_ROWS, LEAST_DOCS = 4_000, 4
-EPOCHS, MINIBATCH, RATE, DECAY = 15, 128, 0.05, 1e-4
-SHORTEST, LONGEST = 3, 5
+BUCKETS, DIMENSIONS = 1 << 18, 4
+TRAIN_ROWS = 8_000
+#: Averages over thousands of n-grams are small; they are scaled up before the softmax.
+SCALE = 50.0
+STEPS, MINIBATCH, RATE, DECAY = 500, 128, 0.02, 0.1
+SHORTEST, LONGEST = 3, 7
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
@@ -68,7 +70,7 @@ def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         where.append(text_of[start])
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return (np.concatenate(found) >> U64(48)).astype(np.int64), np.concatenate(where).astype(np.int64)
+    return (np.concatenate(found) >> U64(65 - BUCKETS.bit_length())).astype(np.int64), np.concatenate(where).astype(np.int64)
 
 
 @dataclass
@@ -85,64 +87,106 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(mean + self.intercept, -30, 30)))
 
 
-def train(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray) -> Model:
-    """Embeddings and softmax from each text's buckets and their shares of its n-grams."""
+def train(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, least: int = 1) -> Model:
+    """Embeddings and softmax from each text's buckets and their shares of its n-grams.
+
+    Buckets of fewer than least texts are left out: their embedding is zero.
+    """
     if not len(y):
         return Model(np.zeros(BUCKETS), 0.0)
     random = np.random.default_rng(7)
-    docs = np.bincount(np.concatenate(buckets), minlength=BUCKETS) if buckets else np.zeros(BUCKETS)
-    emb = random.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
-    emb[docs < LEAST_DOCS] = 0
-    known = docs >= LEAST_DOCS
+    known = np.flatnonzero(np.bincount(np.concatenate(buckets), minlength=BUCKETS) >= least)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    rows = [(place[b][place[b] >= 0], s[place[b] >= 0]) for b, s in zip(buckets, shares, strict=True)]
+    emb = random.uniform(-1, 1, (len(known), DIMENSIONS)).astype(np.float32) / DIMENSIONS
     soft = random.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.log(np.array([(y == 0).sum() + 1.0, (y == 1).sum() + 1.0], np.float32) / (len(y) + 2))
     params = [emb, soft, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(EPOCHS):
+    step, per_epoch = 0, -(-len(y) // MINIBATCH)
+    epochs = -(-STEPS // per_epoch)
+    steps = epochs * per_epoch
+    for _ in range(epochs):
         order = random.permutation(len(y))
         for lo in range(0, len(y), MINIBATCH):
-            rows = order[lo : lo + MINIBATCH]
-            ids = np.concatenate([buckets[r] for r in rows])
-            share = np.concatenate([shares[r] for r in rows])
-            of = np.repeat(np.arange(len(rows)), [len(buckets[r]) for r in rows])
+            batch = order[lo : lo + MINIBATCH]
+            ids, share = (np.concatenate([rows[r][k] for r in batch]) for k in (0, 1))
+            of = np.repeat(np.arange(len(batch)), [len(rows[r][0]) for r in batch])
             part = emb[ids] * share[:, None]
-            mean = np.stack([np.bincount(of, part[:, k], len(rows)) for k in range(DIMENSIONS)], axis=1).astype(np.float32)
+            mean = SCALE * np.stack([np.bincount(of, part[:, k], len(batch)) for k in range(DIMENSIONS)], axis=1).astype(np.float32)
             logit = mean @ soft + bias
             logit -= logit.max(axis=1, keepdims=True)
             p = np.exp(logit)
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
-            back = (p @ soft.T)[of] * share[:, None]
-            d_emb = np.stack([np.bincount(ids, back[:, k], BUCKETS) for k in range(DIMENSIONS)], axis=1).astype(np.float32)
-            grads = [d_emb + DECAY * emb / len(y), mean.T @ p, p.sum(axis=0)]
+            p[np.arange(len(batch)), y[batch]] -= 1
+            p /= len(batch)
+            back = SCALE * (p @ soft.T)[of] * share[:, None]
+            d_emb = np.stack([np.bincount(ids, back[:, k], len(known)) for k in range(DIMENSIONS)], axis=1).astype(np.float32)
+            grads = [d_emb + DECAY / len(y) * emb, mean.T @ p, p.sum(axis=0)]
+            rate = RATE * (1 - step / steps)
             step += 1
             for w, g, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    emb[~known] = 0
-    return Model((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
+                w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    weight = np.zeros(BUCKETS)
+    weight[known] = SCALE * emb @ (soft[:, 1] - soft[:, 0])
+    return Model(weight, float(bias[1] - bias[0]))
+
+
+def _bags(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct buckets, their counts and the row of each, for a few texts of a batch at a time."""
+    data, off = utf8(pc.utf8_lower(b.column(0)))
+    for lo, hi in slices(off):
+        bucket, of = subwords(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        cell, n = np.unique(of * BUCKETS + bucket, return_counts=True)
+        yield cell % BUCKETS, n, cell // BUCKETS + lo
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model from docs(doc_id, text) and labels(doc_id, label), on TRAIN_ROWS labelled rows at most."""
+    """The model from docs(doc_id, text) and labels(doc_id, label), on TRAIN_ROWS labelled rows at most.
+
+    A first pass over the sample counts the texts of each bucket, a second brings the bags without the rare buckets.
+    """
     small_batches(docs.sparkSession)
     known = labels.filter("label is not null and doc_id is not null").select(F.col("doc_id").alias("labelled"), F.col("label").cast("int").alias("label"))
-    sample = known.join(docs.select("doc_id"), F.col("labelled") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("labelled"), "labelled", "label").limit(TRAIN_ROWS)
+    chosen = known.join(docs.select("doc_id"), F.col("labelled") == F.col("doc_id"), "left_semi").orderBy(F.xxhash64("labelled"), "labelled", "label").limit(TRAIN_ROWS)
+    sample = checkpointed(chosen)
+    # At most TRAIN_ROWS short rows are broadcast.
     rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("text", "label", F.xxhash64("doc_id", "text").alias("h"))
+    least = max(3, sample.count() // 700)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for bucket, _, _ in _bags(b):
+                total += np.bincount(bucket, minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["bucket", "n"])
+
+    frequent = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    keep = np.zeros(BUCKETS, bool)
+    keep[[r[0] for r in frequent.select("bucket").collect()]] = True
+    sent = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(pc.utf8_lower(b.column(0)))
-            for d in range(b.num_rows):
-                found, times = np.unique(subwords(data[off[d] : off[d + 1]], np.array([0, off[d + 1] - off[d]]))[0], return_counts=True)
-                cells = [found.astype(np.uint16).tobytes(), (times / max(times.sum(), 1)).astype(np.float32).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells] + [b.column(1).slice(d, 1), b.column(2).slice(d, 1)], ["buckets", "shares", "label", "h"])
-
-    got = rows.mapInArrow(task, "buckets binary, shares binary, label int, h long").orderBy("h", "label").limit(TRAIN_ROWS).collect()
-    return train([np.frombuffer(r[0], np.uint16).astype(np.int64) for r in got], [np.frombuffer(r[1], np.float32) for r in got], np.array([r[2] for r in got], np.int64))
+            found, totals = [[] for _ in range(b.num_rows)], np.zeros(b.num_rows, np.int64)
+            for bucket, n, row in _bags(b):
+                totals += np.bincount(row, n, b.num_rows).astype(np.int64)
+                on = sent.value[bucket]
+                bucket, n, row = bucket[on].astype("<u4"), np.minimum(n[on], 65535).astype("<u2"), row[on]
+                for r in np.unique(row):
+                    lo, hi = np.searchsorted(row, [r, r + 1])
+                    found[r] = [bucket[lo:hi].tobytes(), n[lo:hi].tobytes()]
+            cells = [pa.array([x[k] if x else b"" for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cells, pa.array(totals), b.column(1), b.column(2)], ["buckets", "counts", "total", "label", "h"])
+
+    got = rows.mapInArrow(bags, "buckets binary, counts binary, total long, label int, h long").orderBy("h", "label").limit(TRAIN_ROWS).toArrow()
+    buckets = [np.frombuffer(x, "<u4").astype(np.int32) for x in got.column("buckets").to_pylist()]
+    shares = [np.frombuffer(x, "<u2").astype(np.float32) / max(t, 1) for x, t in zip(got.column("counts").to_pylist(), got.column("total").to_pylist(), strict=True)]
+    return train(buckets, shares, np.array(got.column("label").to_pylist(), np.int64), least)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -276,7 +276,7 @@ def test_subwords_by_plain_count():
 
     texts = ["ab, abc", "", "x", "abc ab"]
     bucket, of = toxicity.subwords(*utf8(pa.array(texts)))
-    n = [sum(max(len(w) + 2 - k + 1, 0) for w in t.replace(",", "").split() for k in (3, 4, 5)) + len(t.split()) for t in texts]
+    n = [sum(max(len(w) + 2 - k + 1, 0) for w in t.replace(",", "").split() for k in (3, 4, 5, 6, 7)) + len(t.split()) for t in texts]
     assert np.bincount(of, minlength=4).tolist() == n
     assert sorted(bucket[of == 0]) == sorted(bucket[of == 3])
 
