@@ -117,6 +117,8 @@ def test_round_trips_and_jobs(spark, tmp_path):
     empty = spark.createDataFrame([], "id string, embedding array<float>, text string, law_slug string, law_ref string, article string, part int, hash string")
     assert build_corpus.next_vectors(empty, chunks, models.hashing_encoder()).count() == 2
     rows = chunks.withColumnRenamed("id", "chunk_id").withColumns({"text": chunking.chunk_text(), "chunk_pos": F.struct("law_slug", "article", "part")})
+    # Two chunks alone would make each term as common as not, with an idf of 0.
+    rows = rows.unionByName(rows.withColumns({"chunk_id": F.concat("chunk_id", F.lit("x")), "article": F.concat("article", F.lit("x")), "text": F.lit("altceva")}))
     asked = spark.createDataFrame([("q", "Statul nostru este unul"), ("z", "nimic")], "qid string, question string")
     hits = answer_batch.ranked(asked, rows)
     assert hits.filter("qid = 'q' and rank = 1").first().article == "3"
