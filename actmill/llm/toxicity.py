@@ -26,7 +26,7 @@ from actmill.llm.arrays import BASE, U64, checkpointed, mix, slices, small_batch
 from actmill.llm.langid import fold
 
 BUCKETS, DIMENSIONS = 1 << 18, 4
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 #: Averages over thousands of n-grams are small; they are scaled up before the softmax.
 SCALE = 50.0
 STEPS, MINIBATCH, RATE, DECAY = 500, 128, 0.02, 0.1
@@ -98,7 +98,11 @@ def train(buckets: list[np.ndarray], shares: list[np.ndarray], y: np.ndarray, le
     known = np.flatnonzero(np.bincount(np.concatenate(buckets), minlength=BUCKETS) >= least)
     place = np.full(BUCKETS, -1, np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
-    rows = [(place[b][place[b] >= 0], s[place[b] >= 0]) for b, s in zip(buckets, shares, strict=True)]
+    rows = []
+    for i in range(len(y)):  # the bags are given up one by one
+        ids, share = place[buckets[i]], shares[i]
+        rows.append((ids[ids >= 0], share[ids >= 0]))
+        buckets[i] = shares[i] = None
     emb = random.uniform(-1, 1, (len(known), DIMENSIONS)).astype(np.float32) / DIMENSIONS
     soft = random.uniform(-1, 1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.log(np.array([(y == 0).sum() + 1.0, (y == 1).sum() + 1.0], np.float32) / (len(y) + 2))
@@ -183,10 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             cells = [pa.array([x[k] if x else b"" for x in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*cells, pa.array(totals), b.column(1), b.column(2)], ["buckets", "counts", "total", "label", "h"])
 
-    got = rows.mapInArrow(bags, "buckets binary, counts binary, total long, label int, h long").orderBy("h", "label").limit(TRAIN_ROWS).toArrow()
-    buckets = [np.frombuffer(x, "<u4").astype(np.int32) for x in got.column("buckets").to_pylist()]
-    shares = [np.frombuffer(x, "<u2").astype(np.float32) / max(t, 1) for x, t in zip(got.column("counts").to_pylist(), got.column("total").to_pylist(), strict=True)]
-    return train(buckets, shares, np.array(got.column("label").to_pylist(), np.int64), least)
+    buckets, shares, label, order = [], [], [], []
+    # One partition of the sample's bags at a time passes the driver's JVM.
+    for r in rows.mapInArrow(bags, "buckets binary, counts binary, total long, label int, h long").toLocalIterator():
+        buckets.append(np.frombuffer(r[0], "<u4").astype(np.int32))
+        shares.append(np.frombuffer(r[1], "<u2").astype(np.float32) / np.float32(max(r[2], 1)))
+        label.append(r[3])
+        order.append((r[4], r[3]))
+    # Rows that repeat a sampled doc_id may exceed the bound; sorted, the result does not depend on the partitions.
+    first = sorted(range(len(order)), key=order.__getitem__)[:TRAIN_ROWS]
+    return train([buckets[i] for i in first], [shares[i] for i in first], np.array([label[i] for i in first], np.int64), least)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
