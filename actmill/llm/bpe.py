@@ -16,6 +16,7 @@ equal results; a null doc_id is a row like any other.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -47,6 +48,9 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
 
 def words_of(chunk: str) -> list[str]:
     """The words of a lower-cased piece without white space."""
+    core = chunk.rstrip(string.punctuation)
+    if core.isalpha():  # a word and the marks behind it: no other split is possible
+        return [core, chunk[len(core) :]] if len(core) < len(chunk) else [core]
     return (ASCII_WORD if chunk.isascii() else WORD).findall(chunk)
 
 
@@ -70,9 +74,14 @@ class Vocabulary:
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.names = {i: str(i) for i in self.tokens}
         characters = byte_characters()
         self.inner = [self.ids.get(c, -1) for c in characters]
         self.last = [self.ids.get(c + self.end, -1) for c in characters]
+        self.complete = -1 not in self.inner and -1 not in self.last  # each byte has a token
+        self.inner_array, self.last_array = np.array(self.inner), np.array(self.last)
+        order = sorted(self.merges)
+        self.pairs, self.values = np.array(order, np.int64), np.array([self.merges[k] for k in order], np.int64)
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def chunks(self, text: str) -> list[str]:
@@ -100,7 +109,10 @@ class Vocabulary:
     def merge(self, word: str) -> list[int]:
         """Ids of one word: the neighbouring pair of lowest rank is joined, the leftmost first, until none is known."""
         data = word.encode("utf-8", "surrogatepass")
-        ids = [i for i in [*(self.inner[c] for c in data[:-1]), self.last[data[-1]]] if i >= 0]
+        ids = [self.inner[c] for c in data]
+        ids[-1] = self.last[data[-1]]
+        if -1 in ids:  # a byte without a token
+            ids = [i for i in ids if i >= 0]
         return self._merge_long(ids) if len(ids) > 64 else self._merge_short(ids)
 
     def _merge_short(self, ids: list[int]) -> list[int]:
@@ -119,6 +131,45 @@ class Vocabulary:
                 known[i] = get(ids[i] * SPAN + ids[i + 1], NEVER)
         return ids
 
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """The same for many short words at once: in each round every word joins its pair of lowest rank."""
+        if not words:
+            return []
+        size = np.array([len(w) for w in words])
+        width = int(size.max())
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        row, ends = np.repeat(np.arange(len(words)), size), np.cumsum(size)
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[row, np.arange(len(flat)) - np.repeat(ends - size, size)] = self.inner_array[flat]
+        ids[np.arange(len(words)), size - 1] = self.last_array[flat[ends - 1]]
+
+        def value(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = np.where((a >= 0) & (b >= 0), a * SPAN + b, -1)
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            return np.where(self.pairs[at] == key, self.values[at], NEVER)
+
+        out = ids.copy()
+        left, known = np.arange(len(words)), value(ids[:, :-1], ids[:, 1:])
+        column = np.arange(width + 1)
+        while len(left):
+            i = known.argmin(axis=1)
+            rows = np.arange(len(left))
+            best = known[rows, i]
+            go = best < NEVER
+            out[left[~go]] = ids[~go]
+            left, ids, known, i, best = left[go], ids[go], known[go], i[go], best[go]
+            rows = rows[: len(left)]
+            after = column[None, :] > i[:, None]
+            ids[:, :-1] = np.where(after[:, :-1], ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            ids[rows, i] = best % SPAN
+            known[:, :-1] = np.where(after[:, :-2], known[:, 1:], known[:, :-1])
+            known[:, -1] = NEVER
+            known[rows, i] = value(ids[rows, i], ids[rows, i + 1])
+            some = np.flatnonzero(i > 0)
+            known[some, i[some] - 1] = value(ids[some, i[some] - 1], ids[some, i[some]])
+        return [x[: n].tolist() for x, n in zip(out, (out >= 0).sum(axis=1), strict=True)]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n = len(ids)
         left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
@@ -233,50 +284,55 @@ class Encoder:
         self.words: dict[str, Piece] = {}
         self.chunks: dict[str, Piece] = {}
 
-    def ids(self, word: str) -> tuple[list[int], bool]:
-        """Ids of a word, and whether the lexicon has it."""
-        data = word.encode("utf-8", "surrogatepass")
-        found = self.lexicon.get(data) if len(data) <= LONGEST_WORD else None
-        return (self.vocabulary.merge(word), False) if found is None else (found, True)
+    def learn(self, words: list[str]) -> None:
+        """Look words up in the lexicon; those it does not have are merged together."""
+        rest = []
+        for w in words:
+            data = w.encode("utf-8", "surrogatepass")
+            ids = self.lexicon.get(data) if len(data) <= LONGEST_WORD else None
+            if ids is not None:
+                self.frequent[w] = self.piece(ids)
+            elif len(data) <= LONGEST_WORD and self.vocabulary.complete:
+                rest.append((w, data))
+        if len(self.words) + len(rest) > KNOWN_WORDS:
+            self.words.clear()
+        rest.sort(key=lambda x: len(x[1]))
+        for k in range(0, len(rest), 4096):  # of similar lengths
+            part = rest[k : k + 4096]
+            for (w, _), ids in zip(part, self.vocabulary.merge_all([d for _, d in part]), strict=True):
+                self.words[w] = self.piece(ids)
+
+    def piece(self, ids: list[int]) -> Piece:
+        return (len(ids), " ".join([self.vocabulary.names[i] for i in ids]), self.decode(ids))
 
     def word(self, word: str) -> Piece:
-        ids, known = self.ids(word)
-        piece = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if known:
-            self.frequent[word] = piece
-        elif len(word) <= LONGEST_WORD:
-            if len(self.words) >= KNOWN_WORDS:
-                self.words.clear()
-            self.words[word] = piece
-        return piece
+        return self.frequent.get(word) or self.words.get(word) or self.piece(self.vocabulary.merge(word))
 
     def chunk(self, chunk: str) -> Piece:
-        core = chunk.rstrip(string.punctuation)
-        if core.isalpha() or not core:  # a word and marks behind it: no other split is possible
-            words = [w for w in (core, chunk[len(core) :]) if w]
-        else:
-            words = words_of(chunk)
-        pieces = [x for w in words if (x := self.frequent.get(w) or self.words.get(w) or self.word(w))[0]]
+        pieces = [x for w in words_of(chunk) if (x := self.word(w))[0]]
         found = pieces[0] if len(pieces) == 1 else (sum([x[0] for x in pieces]), " ".join([x[1] for x in pieces]), " ".join([x[2] for x in pieces]))
-        if len(self.chunks) >= KNOWN_WORDS:
-            self.chunks.clear()
         if len(chunk) <= LONGEST_WORD:
             self.chunks[chunk] = found
         return found
 
-    def encode(self, text: str) -> list[Piece]:
-        """The pieces of a text and its special tokens that have ids."""
-        out, known, make = [], self.chunks, self.chunk
-        for part, special in self.vocabulary.parts(text):
-            if special:
-                out.append((1, str(self.vocabulary.special[part]), part))
-            else:
-                out += [known.get(c) or make(c) for c in self.vocabulary.chunks(part)]
-        return [x for x in out if x[0]]
+    def encode_all(self, texts: list[str]) -> Iterator[list[Piece]]:
+        """For each text its pieces and special tokens that have ids. New words of all texts are learnt together."""
+        split = [[(part if special else self.vocabulary.chunks(part), special) for part, special in self.vocabulary.parts(t)] for t in texts]
+        if len(self.chunks) >= KNOWN_WORDS:
+            self.chunks.clear()
+        new = {c for parts in split for part, special in parts if not special for c in part if c not in self.chunks}
+        words = {w for c in new for w in words_of(c)}
+        self.learn([w for w in words if w not in self.frequent and w not in self.words])
+        known, make = self.chunks, self.chunk
+        for parts in split:
+            out = []
+            for part, special in parts:
+                out += [(1, str(self.vocabulary.special[part]), part)] if special else [known.get(c) or make(c) for c in part]
+            yield [x for x in out if x[0]]
 
     def decode(self, ids: list[int]) -> str:
         tokens = self.vocabulary.tokens
-        return " ".join([tokens[i] for i in ids if i in tokens])
+        return " ".join([tokens[i] for i in ids])
 
 
 def word_counts(docs: DataFrame, content: str) -> DataFrame:
@@ -347,10 +403,10 @@ def with_tokens(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(sent.value[0]), Lexicon(sent.value[1]))
+        gc.freeze()  # the vocabulary stays; collections pass it over
         for b in batches:
             n, first, second = [], [], []
-            for text in b.column(at).to_pylist():
-                words = encoder.encode(text or "")
+            for words in encoder.encode_all([t or "" for t in b.column(at).to_pylist()]):
                 n.append(sum([w[0] for w in words]))
                 decoded = " ".join([w[2] for w in words])
                 ids = " ".join([w[1] for w in words])
