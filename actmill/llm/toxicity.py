@@ -26,7 +26,7 @@ from actmill.llm.arrays import BASE, U64, checkpointed, mix, slices, small_batch
 from actmill.llm.langid import fold
 
 BUCKETS, DIMENSIONS = 1 << 18, 4
-TRAIN_ROWS = 6_000
+TRAIN_ROWS, MOST_BUCKETS = 8_000, 20_000
 #: Averages over thousands of n-grams are small; they are scaled up before the softmax.
 SCALE = 50.0
 STEPS, MINIBATCH, RATE, DECAY = 500, 128, 0.02, 0.1
@@ -151,7 +151,8 @@ def _bags(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from docs(doc_id, text) and labels(doc_id, label), on TRAIN_ROWS labelled rows at most.
 
-    A first pass over the sample counts the texts of each bucket, a second brings the bags without the rare buckets.
+    A first pass over the sample counts the texts of each bucket by label; a second brings the bags of the MOST_BUCKETS
+    buckets that depend most on the label and are not rare. The others have a zero embedding.
     """
     small_batches(docs.sparkSession)
     known = labels.filter("label is not null and doc_id is not null").select(F.col("doc_id").alias("labelled"), F.col("label").cast("int").alias("label"))
@@ -162,16 +163,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     least = max(3, sample.count() // 700)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            for bucket, _, _ in _bags(b):
-                total += np.bincount(bucket, minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["bucket", "n"])
-
-    frequent = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+            toxic = np.array([x == 1 for x in b.column(1).to_pylist()], bool)
+            for bucket, _, row in _bags(b):
+                total[0] += np.bincount(bucket, minlength=BUCKETS)
+                total[1] += np.bincount(bucket[toxic[row]], minlength=BUCKETS)
+        some = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[0][some]), pa.array(total[1][some])], ["bucket", "n", "toxic"])
+
+    # One row for each bucket at most, so BUCKETS rows.
+    counted = rows.mapInArrow(count, "bucket long, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).filter(F.col("n") >= least).toArrow()
+    bucket, n, toxic = (counted.column(c).to_numpy() for c in ("bucket", "n", "toxic"))
+    size, ones = sample.count(), sample.filter("label = 1").count()
+    expected = n * ones / max(size, 1)
+    strength = (toxic - expected) ** 2 / np.maximum(expected * (1 - n / max(size, 1)), 1e-9)
     keep = np.zeros(BUCKETS, bool)
-    keep[[r[0] for r in frequent.select("bucket").collect()]] = True
+    keep[bucket[np.lexsort((bucket, -strength))[:MOST_BUCKETS]]] = True
     sent = docs.sparkSession.sparkContext.broadcast(keep)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
