@@ -143,7 +143,7 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[n
     with np.errstate(over="ignore"):
         acc = np.zeros(len(words), U64)
         for j in range(k):
-            acc[: len(words) - j] += words[j:] * U64(pow(OTHER_BASE, j + 1, 1 << 64))
+            acc[: max(len(words) - j, 0)] += words[j:] * U64(pow(OTHER_BASE, j + 1, 1 << 64))
         keep = np.ones(len(words), bool)
         for j in range(1, k):
             tail = ends - j

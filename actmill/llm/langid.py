@@ -75,7 +75,8 @@ def grams(cp: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, n
     acc = np.zeros(total, U64)
     x = cp.astype(U64) + U64(1)
     for j in range(order):
-        acc[: total - j] = acc[: total - j] * U64(BASE) + x[j:]
+        rest = max(total - j, 0)
+        acc[:rest] = acc[:rest] * U64(BASE) + x[j:]
     n = np.maximum(counts - order + 1, 0)
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return mix(acc[within + np.repeat(starts, n)] + U64(order)), n
