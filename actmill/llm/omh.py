@@ -4,8 +4,12 @@ Each text becomes the sequence of its five-word shingles (words are runs without
 is labelled with its occurrence number. A sketch entry takes the TUPLE smallest labelled shingles under one hash
 function and keeps their order in the text; texts collide in an entry with a chance that falls with their edit
 distance, not only with their sets. Colliding texts are candidates at three depths: one entry, two and three
-neighbouring entries. In each bucket every text is a candidate of the bucket's smallest one, so a bucket of n texts
-gives n - 1 pairs, and the deeper buckets give a text nearer partners than the first one of a crowd.
+neighbouring entries. In each bucket every text is first a candidate of the bucket's smallest one, so a bucket of n
+texts gives n - 1 pairs, and the deeper buckets give a text nearer partners than the first one of a crowd. Where texts
+of several classes then still share an entry, they are compared with the one of most links, and last all pairs of
+different classes that share an entry are judged, block by block of a bucket: counts of shingles in BINS bins bound the
+number of common ones from above, and the pairs whose bound allows the likeness are aligned. So any two texts that share
+an entry have been judged or are in one class already; deeper buckets hold no other pairs.
 
 A candidate pair is linked if banded alignment finds a common subsequence of c shingles, in order, with
 c / (m + n - c) >= 0.8 for sequences of m and n shingles. At that likeness the texts differ by at most (m + n) / 9
@@ -32,6 +36,8 @@ from actmill.llm.arrays import BASE, OTHER_BASE, U64, checkpointed, lowered, mix
 
 SHINGLE_WORDS, LIKENESS = 5, 0.8
 ENTRIES, TUPLE, DEPTHS = 16, 3, 3
+#: Bins of a text's shingle counts, and members of one block where all pairs of a bucket are compared.
+BINS, BLOCK = 256, 256
 _ODD = mix(np.arange(1, ENTRIES + 1, dtype=U64)) | U64(1)
 
 
@@ -134,13 +140,32 @@ def _shared(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> int:
     return int(np.minimum(nx, ny).sum())
 
 
+def binned(shingles: np.ndarray) -> bytes:
+    """The number of shingles (of 32 bits) in each bin, in two bytes; nothing for a text in which a bin overflows, which bounds no pair."""
+    counts = np.bincount(shingles >> 24, minlength=BINS)
+    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else b""
+
+
+def possible(sizes: np.ndarray, bins: list[bytes], its_sizes: np.ndarray, its_bins: list[bytes]) -> np.ndarray:
+    """Which pairs of two blocks can reach LIKENESS: a matrix. A pair has no more common shingles than its bins allow."""
+    out = np.minimum.outer(sizes, its_sizes) >= LIKENESS * np.maximum.outer(sizes, its_sizes)
+    theirs = np.stack([np.frombuffer(x or bytes(2 * BINS), "<u2") for x in its_bins])
+    open_ended = np.array([not x for x in its_bins])
+    for i, x in enumerate(bins):
+        at = np.flatnonzero(out[i] & ~open_ended)
+        if x and len(at):
+            common = np.minimum(np.frombuffer(x, "<u2"), theirs[at]).sum(axis=1, dtype=np.int64)
+            out[i, at] = common / (sizes[i] + its_sizes[at] - common) >= LIKENESS
+    return out
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """(key, entries) of each row whose text has words."""
+    """(key, size, entries) of each row whose text has words; size is its number of shingles."""
     src = lowered(docs.select(F.col("text")).withColumn("key", text_key(F.col("text"))))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, out, which = b.column(1), [], []
+            keys, out, which, sizes = b.column(1), [], [], []
             data, off = utf8(b.column(0))
             for lo, hi in slices(off):
                 words, counts = word_hashes(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
@@ -149,11 +174,12 @@ def sketched(docs: DataFrame) -> DataFrame:
                 for d in np.flatnonzero(n):
                     out.append(buckets(sketch(sh[ends[d] - n[d] : ends[d]])).view(np.int64))
                     which.append(lo + int(d))
+                    sizes.append(int(n[d]))
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * ENTRIES * DEPTHS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([keys.take(pa.array(which, pa.int64())), lists], ["key", "entries"])
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(which, pa.int64())), pa.array(sizes, pa.int64()), lists], ["key", "size", "entries"])
 
-    return src.mapInArrow(task, "key long, entries array<long>")
+    return src.mapInArrow(task, "key long, size long, entries array<long>")
 
 
 def text_key(text: Column) -> Column:
@@ -162,7 +188,7 @@ def text_key(text: Column) -> Column:
 
 
 def candidates(sketches: DataFrame) -> DataFrame:
-    """Distinct pairs (hub, key): in each bucket, every text with the bucket's smallest key.
+    """Distinct pairs (hub, key), hub < key: in each bucket, every text with the bucket's smallest key.
 
     The bucket's smallest key comes from an aggregate that combines before the shuffle, so a bucket of any size is never
     gathered; the join that gives it back to the members splits hot buckets.
@@ -172,8 +198,56 @@ def candidates(sketches: DataFrame) -> DataFrame:
     return members.join(hubs, "value").filter("key <> hub").select("hub", "key").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose texts align well enough, with their likeness."""
+def unsettled(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(value, n, key, size, label): the members of the one-entry buckets in which texts of several classes meet.
+
+    A pair that shares a deeper bucket shares its entries, so these buckets hold all pairs. n is the bucket's size.
+    """
+    labels = sketches.join(classes, "key", "left").withColumn("label", F.coalesce("class_key", "key"))
+    members = labels.select("key", "size", "label", F.explode(F.slice("entries", 1, ENTRIES)).alias("value"))
+    mixed = members.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("value", "n")
+    return members.join(mixed, "value")
+
+
+def most_linked(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFrame:
+    """In each bucket, every text with the one of most links: the original of a crowd, whose copies are alike only through it."""
+    ranked = members.join(degrees(links), "key", "left").groupBy("value").agg(F.max(F.struct(F.coalesce("n_links", F.lit(0)).alias("n_links"), "key", "size", "label")).alias("best"))
+    both = members.join(ranked, "value").filter(F.col("label") != F.col("best.label"))
+    fit = both.filter(F.least("size", "best.size") >= F.lit(LIKENESS) * F.greatest("size", "best.size"))
+    return fit.select(F.least("key", "best.key").alias("hub"), F.greatest("key", "best.key").alias("key")).distinct()
+
+
+def all_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFrame:
+    """In each bucket, every text with those of other classes that possible() leaves. Blocks of members meet, not rows."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins = [binned(np.frombuffer(x, "<u4")) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bins, pa.binary())], ["key", "bins"])
+
+    bins = seqs.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(counted, "key long, bins binary")
+    dealt = members.join(bins, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)))
+    blocks = dealt.groupBy("value", "block").agg(F.collect_list(F.struct("key", "size", "label", "bins")).alias("own"))
+    met = blocks.join(blocks.select("value", F.col("block").alias("its_block"), F.col("own").alias("its")), "value").filter("block <= its_block")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                (k, n, c, x), (its_k, its_n, its_c, its_x) = ([col[row].values.field(f) for f in range(4)] for col in (b.column(0), b.column(1)))
+                k, n, c, its_k, its_n, its_c = (z.to_numpy() for z in (k, n, c, its_k, its_n, its_c))
+                i, j = np.nonzero(possible(n, x.to_pylist(), its_n, its_x.to_pylist()) & np.not_equal.outer(c, its_c))
+                low, high = np.minimum(k[i], its_k[j]), np.maximum(k[i], its_k[j])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["hub", "key"])
+
+    return met.select("own", "its").mapInArrow(judge, "hub long, key long").distinct()
+
+
+def degrees(links: DataFrame) -> DataFrame:
+    return links.select("key").unionByName(links.select(F.col("hub").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
+
+
+def sequences(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, shingles) of the texts of the pairs."""
     reps = docs.select(text_key(F.col("text")).alias("key"), F.col("text"))
     wanted = pairs.select("key").unionByName(pairs.select(F.col("hub").alias("key"))).distinct()
     src = lowered(reps.join(wanted, "key", "left_semi"))
@@ -190,7 +264,11 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["key", "shingles"])
 
     # Copies of a text give equal rows; one is kept, and rows are combined before the shuffle.
-    seqs = src.mapInArrow(shingled, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    return src.mapInArrow(shingled, "key long, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+
+def verified(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose texts align well enough, with their likeness."""
     both = pairs.join(seqs, "key").join(seqs.select(F.col("key").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,17 +298,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size, n_links (links of its text to other texts), row_key, keeps.
+    """doc_id, class_id (smallest doc_id of the class), class_size, n_links, row_key, keeps.
 
+    n_links counts the links found of its text to other texts; texts already in one class are not compared further.
     row_key is xxhash64(doc_id, text). keeps marks one document of each class: the one of smallest doc_id, on ties of
     smallest text key; rows equal in doc_id and text are marked alike.
     """
     small_batches(docs.sparkSession)
-    sketches = sketched(docs).groupBy("key").agg(F.first("entries").alias("entries"))
-    pairs = checkpointed(candidates(sketches))
-    links = checkpointed(verified(docs, pairs))
+    sketches = checkpointed(sketched(docs).groupBy("key").agg(F.first("size").alias("size"), F.first("entries").alias("entries")))
+    tried = checkpointed(candidates(sketches))
+    seqs = checkpointed(sequences(docs, tried))  # of all texts that share a bucket, hence of all later pairs
+    links = checkpointed(verified(seqs, tried))
     classes = components(links)
-    degree = links.select("key").unionByName(links.select(F.col("hub").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
+    for chosen in (most_linked, all_pairs):
+        pairs = checkpointed(chosen(unsettled(sketches, classes), links, seqs).join(tried, ["hub", "key"], "left_anti"))
+        found = checkpointed(verified(seqs, pairs))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            classes = components(links)
+        tried = tried.unionByName(pairs)
+    degree = degrees(links)
     texts = docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     named = texts.join(classes, "key", "left").join(degree, "key", "left").withColumn("class_key", F.coalesce("class_key", "key"))
     # A class's size and first document: one row for each text, combined before the shuffle, and joined back.

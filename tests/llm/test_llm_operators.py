@@ -83,6 +83,31 @@ def test_near_duplicates_of_a_crowd(spark):
     assert all(got[i] == (0, 60) for i in range(60)) and all(got[i][0] == i for i in range(100, 120))
 
 
+def test_near_duplicates_alike_only_through_the_original(spark):
+    """Each copy is 0.85 like the original, copies about 0.73 like each other."""
+    rng = random.Random(5)
+    base = words(rng, 304, "abcdefghijkl").split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        copy = list(base)
+        for k in range(5):
+            copy[rng.randrange(60 * k + 5, 60 * k + 55)] = words(rng, 1)
+        rows.append((i, " ".join(copy)))
+    got = omh.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(0, 60)}
+
+
+def test_bins_bound_the_likeness():
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (1, 30, 100, 100)]
+    seqs += [np.concatenate([seqs[2][:k], rng.integers(0, 1 << 64, 100 - k, dtype=np.uint64)]) for k in (50, 88, 89, 95)]
+    seqs.append(np.zeros(1 << 16, np.uint64))  # overflows its bin
+    sizes, bins = np.array([len(x) for x in seqs]), [omh.binned((x >> np.uint64(32)).astype("<u4")) for x in seqs]
+    kept = omh.possible(sizes, bins, sizes, bins)
+    assert all(kept[i, j] for i, a in enumerate(seqs) for j, b in enumerate(seqs) if omh.alike(a, b) >= 0.8)
+    assert not kept[2, 3] and not kept[2, 1] and kept[-1, -1] and bins[-1] == b""
+
+
 def test_banded_alignment_equals_full(spark):
     rng = random.Random(2)
     for _ in range(200):
