@@ -5,16 +5,18 @@ Every byte covered by a string of LENGTH bytes that also starts elsewhere, in an
 1. Anchors. The anchor of a window of LENGTH bytes is its GRAM-byte string of smallest hash, the leftmost on ties. It
    depends on the window's content alone, so equal windows have equal anchors. Neighbouring windows with the same anchor
    form a segment. Tasks emit a row for each segment: anchor hash, hash of its bytes, place.
-2. Pruning. Rows are counted by segment, combined before the shuffle. A segment that occurs twice is repeated as a whole.
-   A segment that occurs once can hold repeated windows only if its anchor has another segment; the bytes of one
-   occurrence of each such segment are taken from the texts.
-3. Blocks. Segments are dealt by anchor and packed into blocks of whole anchors. A block's suffixes are sorted by their
-   first LENGTH bytes, the Burrows-Wheeler transform follows, and intervals are extended backwards, breadth first: those
-   that appear in round l mark the places where neighbouring suffixes share just l bytes. After LENGTH rounds the places
-   without a mark are suffixes that share LENGTH bytes with their neighbour: repeated windows. An anchor whose different
-   segments have more than CROWD_BYTES (the edge of a passage that very many documents share) is not put in one block;
-   its windows are counted by hash instead, combined before the shuffle.
-4. Marked windows become ranges, and each text is cut once.
+2. Pruning. Segments whose anchor occurs once go. The others are folded: equal segments (by the 64-bit hashes of anchor
+   and of bytes, which are independent) stand once, with the number of their places as weight.
+3. Blocks. One place's bytes of each different segment are taken from the texts, dealt by anchor and packed into blocks
+   of whole anchors. A block's suffixes are sorted by their first LENGTH bytes, the Burrows-Wheeler transform follows, and
+   intervals are extended backwards, breadth first: those that appear in round l mark the places where neighbouring
+   suffixes share just l bytes. After LENGTH rounds the suffixes between two marks share LENGTH bytes; if their weights
+   sum to two or more, their windows are repeated. Every removed byte comes from such an interval.
+   The segments of an anchor that holds more than CROWD_BYTES of them (the edge of a passage that very many documents
+   share) are split into parts of windows with more common context, folded and pruned once more, and dealt by that
+   context into blocks of their own.
+4. Intervals go back to all places of their segments, and each text is cut once. The texts are dealt by row once, for
+   taking bytes and for cutting.
 
 Defined results: a null text counts as empty; texts shorter than LENGTH bytes lose nothing; all copies of a repeated
 text lose every byte; a null doc_id is a row like any other; repeated rows are copies of each other. Rows are told apart
@@ -28,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actmill.llm.arrays import OTHER_BASE, U64, checkpointed, mix, powers, prefix_hash, slices, small_batches, span_hash, utf8
+from actmill.llm.arrays import OTHER_BASE, U64, mix, powers, prefix_hash, slices, small_batches, span_hash, utf8
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
-BLOCK_BYTES, CROWD_BYTES = 1 << 18, 1 << 20
+BLOCK_BYTES, CROWD_BYTES, PARTS = 1 << 18, 1 << 20, 64
 PIECE_BYTES = 1 << 21
 
 
@@ -187,8 +189,12 @@ def _all_ranks(sampled: np.ndarray, before: np.ndarray, at: np.ndarray, step: in
     return out
 
 
-def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
-    """For each segment the starts of windows that occur again in any of the segments."""
+def repeated_windows(texts: list[bytes], weights: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each text the starts of its windows that occur again in any of them.
+
+    weights[i][p] is the number of places at which the window of text i from p stands (1 where not given): a window of
+    two places is repeated by itself.
+    """
     sizes = np.array([len(t) + 1 for t in texts])
     x = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 2
     ends = np.cumsum(sizes) - 1
@@ -196,14 +202,15 @@ def repeated_windows(texts: list[bytes]) -> list[np.ndarray]:
     x[-1] = 0  # the one smallest symbol, so that the text can be taken as a ring
     order = suffixes(x, LENGTH)
     mark = shared_prefixes(x, order, LENGTH)
+    weight = np.ones(len(x), np.int64)
+    for e, t, w in zip(ends, texts, weights or (), strict=False):
+        weight[e - len(t) : e - len(t) + len(w)] = w
+    # What is left of the intervals: runs of suffixes that share LENGTH symbols with their neighbours.
+    begin = np.flatnonzero(~mark)
+    many = np.add.reduceat(weight[order], begin) > 1
     hit = np.zeros(len(x), bool)
-    hit[order[1:][mark[1:]]] = True
-    hit[order[:-1][mark[1:]]] = True
-    out, begin = [], 0
-    for e in ends.tolist():
-        out.append(np.flatnonzero(hit[begin : max(begin, e - LENGTH + 1)]))
-        begin = e + 1
-    return out
+    hit[order] = np.repeat(many, np.diff(np.append(begin, len(x))))
+    return [np.flatnonzero(hit[e - len(t) : max(e - len(t), e - LENGTH + 1)]) for e, t in zip(ends.tolist(), texts, strict=True)]
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -214,129 +221,202 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(r[0]), len(r)) for r in np.split(starts, cut)]
 
 
-_PLACE = "row_key long, start int, windows int"
+def _packed(start: np.ndarray, windows: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """A segment's place in one number; windows and lead are below 256."""
+    return (start.astype(np.int64) << 16) | (windows.astype(np.int64) << 8) | lead.astype(np.int64)
 
 
 def _places(docs: DataFrame) -> DataFrame:
+    """A row for each segment of each text."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(1))
             doc, anchor, content, start, windows, lead = segments(data, off)
-            cols = [b.column(0).take(pa.array(doc)), pa.array(anchor), pa.array(content), *(pa.array(c.astype(np.int32)) for c in (start, windows, lead))]
-            yield pa.RecordBatch.from_arrays(cols, ["row_key", "anchor", "content", "start", "windows", "lead"])
+            cols = [b.column(0).take(pa.array(doc)), pa.array(anchor), pa.array(content), pa.array(_packed(start, windows, lead))]
+            yield pa.RecordBatch.from_arrays(cols, ["row_key", "anchor", "content", "at"])
+
+    return docs.select("row_key", "text").mapInArrow(task, "row_key long, anchor long, content long, at long")
+
 
-    return docs.mapInArrow(task, "row_key long, anchor long, content long, start int, windows int, lead int")
+def _lists(wanted: DataFrame, *more: str) -> DataFrame:
+    """The wanted segments of each text."""
+    return wanted.groupBy(F.col("row_key").alias("key")).agg(F.collect_list(F.struct("at", "anchor", "content", "n", *more)).alias("cuts"))
 
 
-def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, crowded, row_key, start, bytes) of the wanted segments; a text meets the list of its own segments."""
-    lists = wanted.groupBy("row_key").agg(F.collect_list(F.struct("anchor", "crowded", "start", "windows")).alias("cuts"))
+def _cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(anchor, cells, bytes): the bytes of the wanted segments. A text meets the list of its own segments.
+
+    cells are five numbers for each segment in bytes: anchor, content, its first byte, windows, occurrences (2 for more).
+    Neighbouring segments that are alone with their anchors stay together.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(b.column(1))
-            cols: list[list] = [[], [], [], [], []]
-            for d, (key, cuts) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            data, off = utf8(b.column(2))
+            anchors: list[int] = []
+            cells: list[bytes] = []
+            cut: list[bytes] = []
+            done = set()
+            for d, (key, cuts) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if key in done:  # a copy of a row
+                    continue
+                done.add(key)
                 text = data[off[d] : off[d + 1]]
-                for c in cuts:
-                    row = (c["anchor"], c["crowded"], key, c["start"], text[c["start"] : c["start"] + c["windows"] + LENGTH - 1].tobytes())
-                    for col, v in zip(cols, row, strict=True):
-                        col.append(v)
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "crowded", "row_key", "start", "bytes"])
-
-    # Copies of a row have the same key and text; one of them is enough, and the join gives one row for each copy.
-    return docs.join(lists, "row_key").select("row_key", "text", "cuts").mapInArrow(task, "anchor long, crowded boolean, row_key long, start int, bytes binary")
+                parts: list[list[tuple]] = []
+                follows = -1
+                for c in sorted(cuts, key=lambda c: c["at"]):
+                    start, windows = c["at"] >> 16, c["at"] >> 8 & 255
+                    cell = (c["anchor"], c["content"], start, windows, min(c["n"], 2))
+                    if c["alone"] and start == follows and start + windows - parts[-1][0][2] < BLOCK_BYTES:
+                        parts[-1].append(cell)
+                    else:
+                        parts.append([cell])
+                    follows = start + windows if c["alone"] else -1
+                for p in parts:
+                    own = np.array(p, np.int64)
+                    first, last = int(own[0, 2]), int(own[-1, 2] + own[-1, 3]) + LENGTH - 1
+                    own[:, 2] -= first
+                    anchors.append(p[0][0])
+                    cells.append(own.tobytes())
+                    cut.append(text[first:last].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(cells, pa.binary()), pa.array(cut, pa.binary())], ["anchor", "cells", "bytes"])
+
+    # Copies of a row have the same key and text: if several batches cut them, the first stands for all.
+    cut = texts.join(_lists(wanted, "alone"), F.col("row_key") == F.col("key")).select("row_key", "doc_id", "text", "cuts")
+    return cut.mapInArrow(task, "anchor long, cells binary, bytes binary")
 
 
 def _expand(cut: DataFrame) -> DataFrame:
-    """Ranges of repeated windows, by blocks of whole anchors."""
+    """(anchor, content, first, windows): runs of repeated windows in segments, by blocks of whole anchors."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
+        waiting: dict[bytes, bytes] = {}
         size, last = 0, None
 
         def done() -> pa.RecordBatch:
-            found: list[tuple[int, int, int]] = []
-            for (key, start, _), hits in zip(waiting, repeated_windows([w[2] for w in waiting]), strict=True):
-                found += [(key, start + s, w) for s, w in _runs(hits)]
-            cols = list(zip(*found, strict=True)) or [(), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row_key", "start", "windows"])
+            cells = [np.frombuffer(c, np.int64).reshape(-1, 5) for c in waiting]
+            weights = [np.repeat(c[:, 4], c[:, 3]) for c in cells]
+            found: list[tuple[int, int, int, int]] = []
+            for own, hits in zip(cells, repeated_windows(list(waiting.values()), weights), strict=True):
+                for anchor, content, first, windows, _ in own.tolist():
+                    lo, hi = np.searchsorted(hits, [first, first + windows])
+                    found += [(anchor, content, s - first, w) for s, w in _runs(hits[lo:hi])]
+            cols = list(zip(*found, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "content", "first", "windows"])
 
         for b in batches:
-            for anchor, key, start, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for anchor, cells, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if waiting and anchor != last and size + len(data) > BLOCK_BYTES:
                     yield done()
-                    waiting, size = [], 0
-                waiting.append((key, start, data))
-                size, last = size + len(data), anchor
+                    waiting, size = {}, 0
+                if cells not in waiting:
+                    waiting[cells] = data
+                    size += len(data)
+                last = anchor
         if waiting:
             yield done()
 
     dealt = cut.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.select("anchor", "row_key", "start", "bytes").mapInArrow(task, _PLACE)
+    return dealt.mapInArrow(task, "anchor long, content long, first int, windows int")
+
+
+def _folded(places: DataFrame, n: Column) -> DataFrame:
+    """One place of each different segment, with the number of its places; both are combined before the shuffle."""
+    return places.groupBy("anchor", "content").agg(F.sum(n).alias("n"), F.min("row_key").alias("row_key"), F.min_by("at", "row_key").alias("at"))
 
 
-def _counted(cut: DataFrame) -> DataFrame:
-    """Ranges of repeated windows of crowded anchors, window by window."""
+def _parts(texts: DataFrame, crowded: DataFrame) -> DataFrame:
+    """The segments of crowded anchors in parts of a few windows, as places under a key of more context.
+
+    The windows of a part have their anchor 2 bytes apart at most; the key is a hash of the bytes that all windows of
+    such a part have in common, so its segments differ by a few bytes at their ends, and one key's different segments
+    are few however many texts share the anchor.
+    """
+    group = np.arange(WINDOW) * PARTS // WINDOW
+    low = np.searchsorted(group, np.arange(PARTS))  # least and greatest lead of each part
+    high = np.append(low[1:], WINDOW) - 1
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(b.column(2))
-            h, g = prefix_hash(data), prefix_hash(data, OTHER_BASE)
-            n = np.maximum(np.diff(off) - LENGTH + 1, 0)
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = within + np.repeat(off[:-1], n)
-            pair = [span_hash(h, at, at + LENGTH).view(np.int64), span_hash(g, at, at + LENGTH, OTHER_BASE).view(np.int64)]
-            which = pa.array(np.repeat(np.arange(b.num_rows), n))
-            start = np.repeat(np.asarray(b.column(1)), n) + within.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(which), pa.array(start.astype(np.int32)), *map(pa.array, pair)], ["row_key", "start", "h", "g"])
-
-    rows = cut.select("row_key", "start", "bytes").mapInArrow(windows, "row_key long, start int, h long, g long")
-    twice = rows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(twice, ["h", "g"]).select("row_key", "start", F.lit(1).alias("windows"))
-
-
-def removed_ranges(docs: DataFrame) -> DataFrame:
-    """(row_key, start, windows): runs of repeated windows. docs has row_key and text."""
-    places = _places(docs)
-    found = places.groupBy("anchor", "content", "windows", "lead").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "start")).alias("one"))
-    whole = found.filter("n > 1").select("anchor", "content", "windows", "lead")
-    repeated = places.join(whole, ["anchor", "content", "windows", "lead"]).select("row_key", "start", "windows")
-    several = found.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + F.lit(LENGTH - 1)).alias("size")).filter("kinds > 1")
-    single = found.join(several.select("anchor", (F.col("size") > CROWD_BYTES).alias("crowded")), "anchor")
-    cut = checkpointed(_cut_out(docs, single.select("anchor", "crowded", "one.row_key", "one.start", "windows")))
-    return repeated.unionByName(_expand(cut.filter("not crowded"))).unionByName(_counted(cut.filter("crowded")))
+            found: list[np.ndarray] = []
+            for d, (key, cuts) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                text = data[off[d] : off[d + 1]]
+                for c in cuts:
+                    start, windows, lead = c["at"] >> 16, c["at"] >> 8 & 255, c["at"] & 255
+                    own = text[start : start + windows + LENGTH - 1]
+                    h, g = prefix_hash(own), prefix_hash(own, OTHER_BASE)
+                    p = np.arange(group[lead - windows + 1], group[lead] + 1)
+                    # The window i of a segment has its anchor lead - i bytes behind its start.
+                    first, last = np.maximum(lead - high[p], 0), np.minimum(lead - low[p], windows - 1)
+                    shared = span_hash(h, lead - low[p], lead + LENGTH - high[p]) ^ mix(p.astype(U64))
+                    content = span_hash(g, first, last + LENGTH, OTHER_BASE) ^ mix((lead - first).astype(U64))
+                    rows = np.empty((len(p), 8), np.int64)
+                    rows[:, 0] = key
+                    rows[:, 1], rows[:, 2] = shared.view(np.int64), content.view(np.int64)
+                    rows[:, 3] = _packed(start + first, last - first + 1, lead - first)
+                    rows[:, 4], rows[:, 5], rows[:, 6], rows[:, 7] = c["n"], c["anchor"], c["content"], first
+                    found.append(rows)
+            cols = np.concatenate(found).T if found else np.zeros((8, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], ["row_key", "anchor", "content", "at", "n", "whole_anchor", "whole", "skip"])
+
+    cut = texts.join(_lists(crowded), F.col("row_key") == F.col("key")).select("row_key", "doc_id", "text", "cuts")
+    rows = cut.mapInArrow(task, "row_key long, anchor long, content long, at long, n long, whole_anchor long, whole long, skip long")
+    return rows.dropDuplicates(["whole_anchor", "whole", "skip"])  # copies of a row were cut alike
+
+
+def removed_ranges(texts: DataFrame) -> DataFrame:
+    """(row_key, range): runs of repeated windows, start * 256 + windows. texts has row_key, doc_id and text, and is
+    dealt by row_key."""
+    several = F.col("n") > 1
+    places = _places(texts.select("row_key", "text"))
+    again = places.groupBy("anchor").agg(F.count("*").alias("n")).filter(several).select("anchor")
+    met = places.join(again, "anchor")
+    kinds = _folded(met, F.lit(1))
+    size = F.sum(F.shiftright("at", 8).bitwiseAND(F.lit(255)) + F.lit(LENGTH - 1))
+    by_anchor = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), size.alias("size"))
+    wanted = kinds.join(by_anchor.select("anchor", (F.col("kinds") == 1).alias("alone"), (F.col("size") > CROWD_BYTES).alias("crowded")), "anchor")
+    hits = _expand(_cut_out(texts, wanted.filter("not crowded")))
+
+    parts = _parts(texts, wanted.filter("crowded"))
+    folded = _folded(parts, F.col("n"))
+    meet = folded.groupBy("anchor").agg(F.sum("n").alias("n")).filter(several).select("anchor")
+    fine = _expand(_cut_out(texts, folded.join(meet, "anchor").withColumn("alone", F.lit(False))))
+    fine = parts.select("anchor", "content", "whole_anchor", "whole", "skip").join(fine, ["anchor", "content"])
+    fine = fine.select(F.col("whole_anchor").alias("anchor"), F.col("whole").alias("content"), (F.col("skip") + F.col("first")).cast("int").alias("first"), "windows")
+
+    found = met.join(hits.unionByName(fine), ["anchor", "content"])
+    return found.select("row_key", ((F.shiftright("at", 16) + F.col("first")) * 256 + F.col("windows")).alias("range"))
 
 
 def repeated_strings_removed(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary; null without with_bytes) and kept_sha256 of each row."""
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Rows equal in doc_id and text share a key; places count them as two.
-    keyed = keyed.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    ranges = removed_ranges(keyed.select("row_key", "text")).groupBy("row_key").agg(F.collect_set(F.struct("start", "windows")).alias("ranges"))
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    ranges = removed_ranges(keyed).groupBy(F.col("row_key").alias("key")).agg(F.collect_set("range").alias("ranges"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = utf8(b.column(1))
+            data, off = utf8(b.column(2))
             cols: list[list] = [[] for _ in range(5)]
-            for d, ranges in enumerate(b.column(2).to_pylist()):
+            for d, ranges in enumerate(b.column(3).to_pylist()):
                 text = data[off[d] : off[d + 1]]
                 depth = np.zeros(len(text) + 1, np.int64)
                 if ranges:
-                    s = np.array([r["start"] for r in ranges])
-                    e = s + np.array([r["windows"] for r in ranges]) + LENGTH - 1
-                    np.add.at(depth, s, 1)
-                    np.add.at(depth, e, -1)
+                    r = np.array(ranges, np.int64)
+                    np.add.at(depth, r >> 8, 1)
+                    np.add.at(depth, (r >> 8) + (r & 255) + LENGTH - 1, -1)
                 gone = np.cumsum(depth)[:-1] > 0
                 kept = text[~gone].tobytes()
                 row = (len(text), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), kept if with_bytes else None, hashlib.sha256(kept).hexdigest())
                 for col, v in zip(cols, row, strict=True):
                     col.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    full = keyed.join(ranges, "row_key", "left").select("doc_id", "text", "ranges")
+    full = keyed.join(ranges, F.col("row_key") == F.col("key"), "left").select("row_key", "doc_id", "text", "ranges")
     return full.mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
