@@ -37,7 +37,7 @@ from actmill.llm.arrays import OTHER_BASE, U64, mix, powers, prefix_hash, slices
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
-BLOCK_BYTES, CROWD_BYTES, PARTS = 1 << 18, 1 << 20, 64
+BLOCK_BYTES, CROWD_BYTES, PARTS = 1 << 19, 1 << 20, 64
 PIECE_BYTES = 1 << 21
 
 
@@ -96,25 +96,26 @@ def _segments(part: np.ndarray, offsets: np.ndarray, first: int, moved: np.ndarr
 
 
 def suffixes(x: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes sorted by their first symbols, at least length of them, by doubling."""
+    """Suffixes sorted by their first symbols, at least length of them, by doubling; ties are in any order."""
     n = len(x)
-    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    if n >= 4:  # four symbols at once
-        padded = np.concatenate([rank + 1, np.zeros(3, np.int64)])
-        rank = np.unique(((padded[:n] * 512 + padded[1 : n + 1]) * 512 + padded[2 : n + 2]) * 512 + padded[3:], return_inverse=True)[1].astype(np.int64)
-        have = 4
+    symbols, x = np.unique(x, return_inverse=True)
+    bits = int(len(symbols)).bit_length()
+    have = 64 // bits
+    key = np.zeros(n, U64)  # as many symbols at once as a word holds; 0 stands behind the end
+    padded = np.concatenate([x.astype(U64) + U64(1), np.zeros(have, U64)])
+    for j in range(have):
+        key = (key << U64(bits)) | padded[j : j + n]
     while True:
-        follow = np.zeros(n, np.int64)
-        follow[: max(n - have, 0)] = rank[have:] + 1
-        key = rank * (n + 1) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
-        ranked = np.zeros(n, np.int64)
-        ranked[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
-        rank, have = ranked, 2 * have
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
         if have >= length or rank[order[-1]] == n - 1:
             return order
+        follow = np.zeros(n, np.int64)
+        follow[: max(n - have, 0)] = rank[have:] + 1
+        key = rank * (n + 1) + follow
+        have *= 2
 
 
 def shared_prefixes(x: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -126,58 +127,52 @@ def shared_prefixes(x: np.ndarray, order: np.ndarray, length: int) -> np.ndarray
     """
     n = len(x)
     symbols, x = np.unique(x, return_inverse=True)
-    before = x[order - 1]  # the symbol in front of each suffix; the text is taken as a ring
     sigma = len(symbols)
+    before = x[order - 1].astype(np.uint16)  # the symbol in front of each suffix; the text is taken as a ring
     total = np.bincount(x, minlength=sigma)
     starts = np.concatenate([[0], np.cumsum(total)[:-1]])
-    # Places of each symbol in the transform, one after the other; ranks are found by position among them.
     place = np.argsort(before, kind="stable")
     step = 16
-    sampled = np.zeros((n // step + 2, sigma), np.int32)
-    np.add.at(sampled, (np.arange(n) // step + 1, before), 1)
-    sampled = np.cumsum(sampled, axis=0, dtype=np.int32)
-    ranks = np.empty(n, np.int64)  # how many of the same symbol stand before this place
-    ranks[place] = np.arange(n) - np.repeat(starts, total)
+    cells = np.bincount((np.arange(n) // step + 1) * sigma + before, minlength=(n // step + 2) * sigma)
+    sampled = np.cumsum(cells.reshape(-1, sigma), axis=0, dtype=np.int32)
+    goes = np.empty(n, np.int64)  # where each place's suffix goes when the symbol in front is put before it
+    goes[place] = np.arange(n)
+    changes = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])  # equal ends: one symbol in front of all between
     marked = np.zeros(n + 1, bool)
     marked[0] = marked[n] = True
     lo, hi = np.array([0]), np.array([n])
-    for depth in range(length):
+    for _ in range(length):
         if not len(lo):
             break
-        next_lo, next_hi = [], []
-        # Small intervals list their symbols; large ones ask for all symbols at sampled places.
-        width = hi - lo
-        for a, b in ((lo[width <= 4 * step], hi[width <= 4 * step]), (lo[width > 4 * step], hi[width > 4 * step])):
-            if not len(a):
-                continue
-            if (b - a).max() <= 4 * step:
-                size = b - a
-                at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                which = np.repeat(np.arange(len(a)), size)
-                group = which * sigma + before[at]
-                by = np.argsort(group, kind="stable")
-                g = group[by]
-                cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                count = np.diff(np.append(cut, len(g)))
-                c_lo = starts[before[at[by[cut]]]] + ranks[at[by[cut]]]
-                c_hi = c_lo + count
-            else:
-                c_lo, c_hi = [], []
-                for i in range(0, len(a), 4096):
-                    lo_rank, hi_rank = (_all_ranks(sampled, before, e[i : i + 4096], step) for e in (a, b))
-                    some = hi_rank > lo_rank
-                    c_lo.append((starts + lo_rank)[some])
-                    c_hi.append((starts + hi_rank)[some])
-                c_lo, c_hi = np.concatenate(c_lo), np.concatenate(c_hi)
-            next_lo.append(c_lo)
-            next_hi.append(c_hi)
+        # Intervals with one symbol in front go as a whole, small ones list their symbols, large ones ask for all symbols.
+        one = changes[lo] == changes[hi - 1]
+        next_lo, next_hi = [goes[lo[one]]], [goes[hi[one] - 1] + 1]
+        lo, hi = lo[~one], hi[~one]
+        small = hi - lo <= 4 * step
+        a, size = lo[small], (hi - lo)[small]
+        if len(a):
+            at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            group = np.repeat(np.arange(len(a)), size) * sigma + before[at]
+            by = np.argsort(group, kind="stable")
+            g = group[by]
+            cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            first = goes[at[by[cut]]]
+            next_lo.append(first)
+            next_hi.append(first + np.diff(np.append(cut, len(g))))
+        a, b = lo[~small], hi[~small]
+        for i in range(0, len(a), 4096):
+            lo_rank, hi_rank = (_all_ranks(sampled, before, e[i : i + 4096], step) for e in (a, b))
+            some = hi_rank > lo_rank
+            next_lo.append((starts + lo_rank)[some])
+            next_hi.append((starts + hi_rank)[some])
         lo, hi = np.concatenate(next_lo), np.concatenate(next_hi)
-        fresh = ~marked[hi]
-        lo, hi = lo[fresh], hi[fresh]
-        if len(hi):
-            hi, one = np.unique(hi, return_index=True)
-            lo = lo[one]
+        fresh = np.flatnonzero(~marked[hi])
+        if len(fresh):
+            hi, first = np.unique(hi[fresh], return_index=True)
+            lo = lo[fresh[first]]
             marked[hi] = True
+        else:
+            lo = hi = np.zeros(0, np.int64)
     return ~marked[:n]
 
 
@@ -236,7 +231,8 @@ def _places(docs: DataFrame) -> DataFrame:
             cols = [b.column(0).take(pa.array(doc)), pa.array(anchor), pa.array(content), pa.array(_packed(start, windows, lead))]
             yield pa.RecordBatch.from_arrays(cols, ["row_key", "anchor", "content", "at"])
 
-    return docs.select("row_key", "text").mapInArrow(task, "row_key long, anchor long, content long, at long")
+    rows = docs.select("row_key", "text").mapInArrow(task, "row_key long, anchor long, content long, at long")
+    return rows.filter("anchor is not null and content is not null")  # so that all uses share one exchange
 
 
 def _lists(wanted: DataFrame, *more: str) -> DataFrame:
