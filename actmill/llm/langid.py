@@ -1,17 +1,23 @@
 """Operator 6: language identification by interpolated Kneser-Ney character models.
 
 Texts are lower-cased; each run of other characters than letters becomes one blank. For each language the model is an
-interpolated Kneser-Ney model of order ORDER over characters: counts of n-grams in all training documents, continuation
-counts below, absolute discounts D = n1 / (n1 + 2 * n2) for each order. Counting is a Spark aggregate over every
-training document; the sums, not the texts, reach the driver, and the models are stored as sorted arrays of n-gram
-hashes with their log probabilities in all languages, MOST_GRAMS hashes at most in each order (those of highest count),
-which bounds what is broadcast to about MOST_GRAMS * (8 + 4 * languages) bytes an order.
+interpolated Kneser-Ney model of order ORDER over characters. Counts of n-grams, continuation counts below the top order,
+totals of contexts and the absolute discounts D = n1 / (n1 + 2 * n2) of each order are Spark aggregates over all n-grams
+of all training documents; none is dropped, and the model grows with the corpus.
+
+Scoring is a sum of independent lookups. With b the log2 weight that a context hands down, and
+d(w) = log2 p(w) - b(context of w) - log2 p(w without its first character) for each n-gram seen, the log probability of a
+text in a language is the sum of b over its contexts and of d over its n-grams of all orders, with 0 for what that
+language has not seen, plus a constant for each character. So the sorted arrays can be cut into blocks of BLOCK_ROWS
+entries by hash: each block is broadcast by itself (about 14 bytes an entry) and adds its share to a text's sums, and
+however many entries there are, only the number of blocks grows.
 
 A text's language is the one of lowest cross-entropy in bits a character. The score is a softmax of the cross-entropies,
-sharpened by the number of characters up to LONG; its temperature and the limits of rejection are calibrated on at most
-CALIBRATION training documents, those of smallest hash: a text is rejected if it has no letter, or if its lowest
-cross-entropy lies further above the mean of that language's calibration texts than any of them did, with a margin, given
-its length.
+sharpened by the number of characters up to LONG, times the plausibility that the text is in that language at all. Both
+are calibrated on about CALIBRATION whole training texts (those of smallest hash), which are scored in the tasks; only
+their entropies reach the driver. A text is rejected if it has no letter, or if its distance from that language's mean
+entropy, on a scale where 1 is the entropy of a uniform code over the alphabet, exceeds the language's limit: the 99 %
+quantile of the calibration texts with a margin, LEAST_LIMIT at least and 1 at most. Short texts get an allowance.
 
 Defined results: a null text or one without a letter gets 'und', score 0 and is rejected; ties go to the first language
 in alphabetical order; without any training document each text is 'und' with score 0; repeated rows get equal results.
@@ -20,21 +26,23 @@ in alphabetical order; without any training document each text is 'und' with sco
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from actmill.llm.arrays import BASE, U64, checkpointed, extended, mix, slices, small_batches, utf8
+from actmill.llm.arrays import U64, checkpointed, extended, slices, small_batches, utf8
 
 ORDER = 4
-MOST_GRAMS = 400_000
+#: Different n-grams that a counting task holds before it passes them on.
+HELD_GRAMS = 400_000
+BLOCK_ROWS = 4_000_000
 CALIBRATION = 2_000
 LONG = 200
-#: Least distance, in spreads of the calibration texts, at which a text is rejected.
-LEAST_LIMIT = 25.0
+LEAST_LIMIT, MARGIN = 0.8, 1.5
+_BITS = 16
 _LETTER: list[np.ndarray] = []
 
 
@@ -67,113 +75,136 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return clean[: counts.sum()].astype(np.uint32), counts
 
 
-def grams(cp: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of one order and their number for each text; they don't cross texts."""
-    ends = np.cumsum(counts)
-    starts = ends - counts
-    total = len(cp)
-    acc = np.zeros(total, U64)
-    x = cp.astype(U64) + U64(1)
-    for j in range(order):
-        rest = max(total - j, 0)
-        acc[:rest] = acc[:rest] * U64(BASE) + x[j:]
-    n = np.maximum(counts - order + 1, 0)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return mix(acc[within + np.repeat(starts, n)] + U64(order)), n
+def codes(cp: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of order ORDER, 16 bits a character, and their number for each text; they don't cross texts."""
+    n = np.maximum(counts - ORDER + 1, 0)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(counts) - counts, n)
+    x = cp.astype(U64)
+    out = np.zeros(len(at), U64)
+    for j in range(ORDER):
+        out = (out << U64(_BITS)) | x[at + j]
+    return out, n
+
+
+#: Tables of a block: d of the n-grams of orders 1 to ORDER, then b of the contexts of 1 to ORDER - 1 characters.
+KINDS = 2 * ORDER - 1
+
+
+@dataclass
+class Block:
+    """For each kind: sorted keys, and from where to where their languages and values stand."""
+
+    keys: list[np.ndarray]
+    start: list[np.ndarray]
+    language: list[np.ndarray]
+    value: list[np.ndarray]
+
+    @staticmethod
+    def of(kind: np.ndarray, gram: np.ndarray, language: np.ndarray, value: np.ndarray) -> Block:
+        block = Block([], [], [], [])
+        for k in range(KINDS):
+            mine = np.flatnonzero(kind == k)
+            mine = mine[np.lexsort((language[mine], gram[mine].view(U64)))]
+            g = gram[mine].view(U64)
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+            block.keys.append(g[first])
+            block.start.append(np.append(first, len(g)))
+            block.language.append(language[mine].astype(np.int16))
+            block.value.append(value[mine].astype(np.float32))
+        return block
+
+    def add(self, kind: int, grams: np.ndarray, out: np.ndarray) -> None:
+        """Add the values of these n-grams to the rows of out, a column for each language."""
+        keys, start = self.keys[kind], self.start[kind]
+        if not len(keys):
+            return
+        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+        row = np.flatnonzero(keys[at] == grams)
+        lo, n = start[at[row]], np.diff(start)[at[row]]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        cell = np.repeat(row, n) * out.shape[1] + self.language[kind][entry]
+        out += np.bincount(cell, self.value[kind][entry], out.size).reshape(out.shape)
+
+    def sums(self, cp: np.ndarray, counts: np.ndarray, languages: int) -> np.ndarray:
+        """This block's share of each text's log2 probability, (texts, languages)."""
+        out = np.zeros((len(counts), languages))
+        top, n = codes(cp, counts)
+        distinct, inverse = np.unique(top, return_inverse=True)
+        value = np.zeros((len(distinct), languages))
+        for o in range(1, ORDER + 1):
+            self.add(o - 1, distinct & U64((1 << (_BITS * o)) - 1), value)
+            if o < ORDER:
+                self.add(ORDER + o - 1, (distinct >> U64(_BITS)) & U64((1 << (_BITS * o)) - 1), value)
+        text_of = np.repeat(np.arange(len(counts)), n)
+        for k in range(languages):
+            out[:, k] = np.bincount(text_of, value[inverse, k], len(counts))
+        # Texts shorter than the order have no full n-gram: they are scored by single characters.
+        short = np.repeat((n == 0) & (counts > 0), counts)
+        if short.any():
+            chars = cp[short].astype(U64)
+            value = np.zeros((len(chars), languages))
+            self.add(0, chars, value)
+            which = np.repeat(np.arange(len(counts)), counts)[short]
+            for k in range(languages):
+                out[:, k] += np.bincount(which, value[:, k], len(counts))
+        return out
 
 
 @dataclass
 class Model:
-    """keys[o] are sorted hashes of n-grams of order o + 1; logs[o] their log2 probabilities, a column for each language.
+    """unseen: log2 probability of a character that a language has not seen, after contexts it has not seen.
 
-    backs[o] are the log2 weights with which the context (order o + 1) passes on to the next shorter one.
+    uniform is the entropy of a uniform code over all characters; blocks hold the rest.
     """
 
     languages: list[str]
-    keys: list[np.ndarray]
-    logs: list[np.ndarray]
-    backs: list[np.ndarray]
-    floor: float
+    unseen: np.ndarray
+    uniform: float
+    blocks: list[Block] = field(default_factory=list)
     temperature: float = 1.0
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     limit: np.ndarray | None = None
 
-    def log_probs(self, cp: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of log2 probabilities, (texts, languages), and the number of scored characters of each text."""
-        out = np.zeros((len(counts), len(self.languages)))
-        top, n = grams(cp, counts, ORDER)
-        ends = np.cumsum(counts)
-        first = np.repeat(ends - counts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        text_of = np.repeat(np.arange(len(counts)), n)
-        hashes, inverse, times = np.unique(top, return_inverse=True, return_counts=True)
-        where = np.zeros(len(hashes), np.int64)
-        where[inverse] = first
-        logs = self._grams(cp, where, hashes)
-        for k in range(len(self.languages)):
-            out[:, k] = np.bincount(text_of, logs[inverse, k], len(counts))
-        # Texts shorter than the order have no full n-gram: they are scored by single characters.
-        for t in np.flatnonzero((n == 0) & (counts > 0)):
-            c = cp[ends[t] - counts[t] : ends[t]]
-            h = grams(c, np.array([len(c)]), 1)[0]
-            out[t] = self._look(0, h)[0].sum(axis=0)
-        return out, np.where(n > 0, n, counts)
-
-    def _look(self, o: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys[o], hashes), max(len(self.keys[o]) - 1, 0))
-        known = self.keys[o][at] == hashes if len(self.keys[o]) else np.zeros(len(hashes), bool)
-        out = np.full((len(hashes), len(self.languages)), self.floor)
-        out[known] = self.logs[o][at[known]]
-        return out, known
-
-    def _grams(self, cp: np.ndarray, where: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Log probabilities of the last character of the n-grams at these places, backing off where unseen."""
-        out, known = self._look(ORDER - 1, hashes)
-        back = np.zeros((len(hashes), len(self.languages)))
-        left = np.flatnonzero(~known)
-        for o in range(ORDER - 2, -1, -1):
-            if not len(left):
-                break
-            context = self._hash(cp, where[left] + (ORDER - 2 - o), o + 1)
-            at = np.minimum(np.searchsorted(self.keys[o], context), max(len(self.keys[o]) - 1, 0))
-            seen = self.keys[o][at] == context if len(self.keys[o]) else np.zeros(len(left), bool)
-            back[left[seen]] += self.backs[o][at[seen]]
-            logs, known = self._look(o, self._hash(cp, where[left] + (ORDER - 1 - o), o + 1))
-            out[left] = logs + back[left]
-            left = left[~known]
-        return out
-
-    @staticmethod
-    def _hash(cp: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-        acc = np.zeros(len(at), U64)
-        for j in range(order):
-            acc = acc * U64(BASE) + cp[at + j].astype(U64) + U64(1)
-        return mix(acc + U64(order))
+    def lengths(self, cp: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The number of scored characters of each text, 0 where there is no letter."""
+        has = np.bincount(np.repeat(np.arange(len(counts)), counts), cp != 32, len(counts)) > 0
+        n = np.maximum(counts - ORDER + 1, 0)
+        return np.where(has, np.where(n > 0, n, counts), 0)
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a character in each language, and the number of characters; 0 characters where there is no letter."""
+        """Bits a character in each language by all blocks, and the number of scored characters."""
         cp, counts = characters(texts)
-        has = np.bincount(np.repeat(np.arange(len(texts)), counts), cp != 32, len(texts)) > 0
-        total, n = self.log_probs(cp, counts)
-        n = np.where(has, n, 0)
-        return -total / np.maximum(n, 1)[:, None], n
+        total = sum((b.sums(cp, counts, len(self.languages)) for b in self.blocks), np.zeros((len(texts), len(self.languages))))
+        n = self.lengths(cp, counts)
+        return -total / np.maximum(n, 1)[:, None] - self.unseen, n
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and rejection of each text."""
+    def far(self, low: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Distance from a language's mean: 0 and less is usual, 1 is no better than a uniform code."""
+        allowance = 3 * self.spread[best] / np.sqrt(np.clip(n, 1, LONG))
+        return (low - self.mean[best] - allowance) / np.maximum(self.uniform - self.mean[best], 0.5)
+
+    def decide(self, h: np.ndarray, n: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and rejection of texts with these entropies and numbers of characters."""
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        h, n = self.entropies(texts)
+            return ["und"] * len(n), np.zeros(len(n)), np.ones(len(n), bool)
         best = h.argmin(axis=1)
-        low = h[np.arange(len(texts)), best]
+        low = h[np.arange(len(n)), best]
         sharp = np.minimum(n, LONG)[:, None] * self.temperature
-        score = 1 / np.exp2(-sharp * (h - low[:, None])).sum(axis=1)
-        far = (low - self.mean[best]) * np.sqrt(np.minimum(n, LONG)) / self.spread[best]
-        rejected = (n == 0) | (far > self.limit[best])
-        return ["und" if not c else self.languages[b] for b, c in zip(best, n, strict=True)], np.where(n > 0, score, 0.0), rejected
+        share = 1 / np.exp2(-np.minimum(sharp * (h - low[:, None]), 1000)).sum(axis=1)
+        over = self.far(low, best, n) / self.limit[best] - 1
+        plausible = 1 / (1 + np.exp(np.clip(10 * over, -50, 50)))
+        return ["und" if not c else self.languages[b] for b, c in zip(best, n, strict=True)], np.where(n > 0, share * plausible, 0.0), (n == 0) | (over > 0)
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        return self.decide(*self.entropies(texts))
 
 
 def _counted(train: DataFrame) -> DataFrame:
-    """(lang, gram, n): occurrences of the n-grams of ORDER characters in all training texts, gram as the characters."""
+    """(lang, gram, n): occurrences of the n-grams of ORDER characters in all training texts."""
+
+    def row(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -183,150 +214,161 @@ def _counted(train: DataFrame) -> DataFrame:
             for lo, hi in slices(off):
                 texts, own = b.column(0).slice(lo, hi - lo).to_pylist(), langs[lo:hi]
                 for lang in sorted(set(own)):
-                    cp, counts = characters([t for t, x in zip(texts, own, strict=True) if x == lang])
-                    codes = _codes(cp, counts)
-                    keys, n = np.unique(codes, return_counts=True)
+                    keys, n = np.unique(codes(*characters([t for t, x in zip(texts, own, strict=True) if x == lang]))[0], return_counts=True)
                     if lang in sums:
-                        both = np.concatenate([sums[lang][0], keys])
-                        keys, at = np.unique(both, return_inverse=True)
+                        keys, at = np.unique(np.concatenate([sums[lang][0], keys]), return_inverse=True)
                         n = np.bincount(at, np.concatenate([sums[lang][1], n])).astype(np.int64)
                     sums[lang] = (keys, n)
-                    if len(keys) > MOST_GRAMS:  # what a task holds is bounded
-                        yield _row(lang, *sums.pop(lang))
+                    if len(keys) > HELD_GRAMS:  # what a task holds is bounded
+                        yield row(lang, *sums.pop(lang))
         for lang, (keys, n) in sums.items():
-            yield _row(lang, keys, n)
+            yield row(lang, keys, n)
 
-    return train.select("text", "lang").mapInArrow(task, "lang string, high long, low long, n long").groupBy("lang", "high", "low").agg(F.sum("n").alias("n"))
+    return train.select("text", "lang").mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _codes(cp: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The n-grams of order ORDER, 16 bits a character."""
-    n = np.maximum(counts - ORDER + 1, 0)
-    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(counts) - counts, n)
-    x = cp.astype(U64)
-    return (x[at] << U64(48)) | (x[at + 1] << U64(32)) | (x[at + 2] << U64(16)) | x[at + 3]
-
-
-def _row(lang: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array((keys >> U64(32)).astype(np.int64)), pa.array((keys & U64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "high", "low", "n"])
-
-
-def _kneser_ney(tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The models of all languages from their counts of 4-grams: arrays (grams, ORDER) of code points, and counts."""
-    languages = sorted(tables)
-    # Counts by order: top counts at ORDER, below them the number of different characters seen in front.
-    levels: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    for lang in languages:
-        g, n = tables[lang]
-        own = [(g, n)]
-        for _ in range(ORDER - 1):
-            g, n = np.unique(own[0][0][:, 1:], axis=0, return_counts=True)
-            own.insert(0, (g, n))
-        levels.append(own)
-    symbols = len(np.unique(np.concatenate([own[0][0] for own in levels]))) + 1
-    floor = float(-np.log2(symbols) - 6)
-    keys, logs, backs = [], [], []
-    hashed = lambda g: Model._hash(g.ravel(), np.arange(len(g)) * g.shape[1], g.shape[1])
-    shorter: list = [None] * len(languages)  # sorted keys and probabilities of the order below, by language
-    union_below = None
-    for o in range(ORDER):
-        union = np.unique(np.concatenate([own[o][0] for own in levels]), axis=0)
-        h = hashed(union)
-        probs = np.zeros((len(union), len(languages)))
-        weights = np.zeros((len(union_below), len(languages))) if o else None
-        for k, own in enumerate(levels):
-            g, n = own[o]
-            n1, n2 = (n == 1).sum(), (n == 2).sum()
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            gh = hashed(g)
-            order = np.argsort(gh)
-            at = np.minimum(np.searchsorted(gh[order], h), len(gh) - 1)
-            has = gh[order][at] == h
-            count = np.where(has, n[order][at], 0).astype(np.float64)
-            if o == 0:
-                total, kinds = n.sum(), len(n)
-                probs[:, k] = np.maximum(count - d, 0) / total + d * kinds / total / symbols
-            else:
-                ctx = hashed(np.ascontiguousarray(g[:, :-1]))
-                ctx_keys, inverse, kinds = np.unique(ctx, return_inverse=True, return_counts=True)
-                total = np.bincount(inverse, n)
-                mine = hashed(np.ascontiguousarray(union[:, :-1]))
-                at = np.minimum(np.searchsorted(ctx_keys, mine), len(ctx_keys) - 1)
-                seen = ctx_keys[at] == mine
-                sums, kind = np.where(seen, total[at], 1.0), np.where(seen, kinds[at], 0)
-                weight = np.where(seen, d * kind / sums, 1.0)
-                below_keys, below = shorter[k]
-                rest = hashed(np.ascontiguousarray(union[:, 1:]))
-                lower = below[np.minimum(np.searchsorted(below_keys, rest), len(below_keys) - 1)]
-                probs[:, k] = np.where(seen, np.maximum(count - d, 0) / sums, 0.0) + weight * lower
-                c = np.minimum(np.searchsorted(ctx_keys, union_below), len(ctx_keys) - 1)
-                ok = ctx_keys[c] == union_below
-                weights[:, k] = np.where(ok, d * kinds[c] / total[c], 1.0)
-        order = np.argsort(h)
-        keys.append(h[order])
-        logs.append(np.log2(np.maximum(probs, 2.0**floor))[order].astype(np.float32))
-        if o:
-            backs.append(np.log2(weights).astype(np.float32))
-        shorter = [(h[order], probs[order, k]) for k in range(len(languages))]
-        union_below = h[order]
-    return Model(languages, keys, logs, backs, floor)
+def _suffix(order: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << (_BITS * order)) - 1))
+
+
+def model_rows(counts: DataFrame) -> tuple[DataFrame, dict[str, float], int]:
+    """(kind, gram, lang, value): all entries of the models; each language's unseen value; the size of the alphabet.
+
+    counts has the n-grams of order ORDER. Only four discounts for each language and the alphabet's size are collected.
+    """
+    levels = {ORDER: counts}
+    for o in range(ORDER - 1, 0, -1):  # below, the number of different characters seen in front
+        levels[o] = levels[o + 1].groupBy("lang", _suffix(o).alias("gram")).agg(F.count("*").alias("n"))
+    once = [levels[o].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("total"), F.count("*").alias("kinds")).select(F.lit(o).alias("o"), "*") for o in levels]
+    found = once[0]
+    for x in once[1:]:
+        found = found.unionByName(x)
+    facts = found.collect()
+    if not facts:
+        return counts.select(F.lit(0).alias("kind"), "gram", "lang", F.lit(0.0).alias("value")), {}, 1
+    symbols = levels[1].select("gram").distinct().count() + 1
+    discount: dict[int, list[Column]] = {o: [] for o in levels}
+    unseen: dict[str, float] = {}
+    for r in facts:
+        d = r["n1"] / (r["n1"] + 2 * r["n2"]) if r["n1"] and r["n2"] else 0.5
+        discount[r["o"]] += [F.lit(r["lang"]), F.lit(d)]
+        if r["o"] == 1:
+            unseen[r["lang"]] = float(np.log2(d * r["kinds"] / r["total"] / symbols))
+    out: list[DataFrame] = []
+    below: DataFrame | None = None
+    for o in range(1, ORDER + 1):
+        context = F.shiftrightunsigned("gram", _BITS) if o > 1 else F.lit(0)
+        own = levels[o].withColumn("context", context).withColumn("d", F.create_map(*discount[o])[F.col("lang")])
+        # A context has at most as many rows as there are characters.
+        by = Window.partitionBy("lang", "context")
+        own = own.withColumn("total", F.sum("n").over(by)).withColumn("kinds", F.count("*").over(by)).withColumn("back", F.col("d") * F.col("kinds") / F.col("total"))
+        top = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
+        if below is None:
+            probs = own.select("lang", "gram", (top + F.col("back") / symbols).alias("p"), F.log2(F.lit(1.0) + top * symbols / F.col("back")).alias("value"))
+        else:
+            low = below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("low"))
+            joined = own.withColumn("rest", _suffix(o - 1)).join(low, ["lang", "rest"])
+            probs = joined.select("lang", "gram", (top + F.col("back") * F.col("low")).alias("p"), F.log2(F.lit(1.0) + top / (F.col("back") * F.col("low"))).alias("value"))
+            weights = own.groupBy("lang", F.col("context").alias("gram")).agg(F.first("back").alias("back"))
+            out.append(weights.select(F.lit(ORDER + o - 2).alias("kind"), "gram", "lang", F.log2("back").alias("value")))
+        out.append(probs.select(F.lit(o - 1).alias("kind"), "gram", "lang", "value"))
+        below = probs
+    rows = out[0]
+    for x in out[1:]:
+        rows = rows.unionByName(x)
+    return rows, unseen, symbols
 
 
 def fit(train: DataFrame) -> Model:
     """Models of all languages in train(text, lang), calibrated on a bounded sample of it."""
     train = train.filter("text is not null and lang is not null")
-    counts = _counted(train)
-    languages = [r[0] for r in counts.select("lang").distinct().collect()]
-    if not languages:
-        return Model([], [], [], [], 0.0)
-    share = max(MOST_GRAMS // len(languages), 1000)
-    counts = checkpointed(counts)
-    # The least count that keeps a language within its share, from a histogram of a few hundred bins.
-    size = F.floor(F.log2("n") * 8)
-    bins: dict[str, list[tuple[int, int, int]]] = {}
-    for r in counts.groupBy("lang", size.alias("size")).agg(F.count("*").alias("kinds"), F.min("n").alias("least")).collect():
-        bins.setdefault(r["lang"], []).append((r["size"], r["kinds"], r["least"]))
-    wanted = F.lit(False)
-    for lang, found in bins.items():
-        total, least = 0, None
-        for _, kinds, low in sorted(found, reverse=True):
-            total += kinds
-            if total > share and least is not None:
-                break
-            least = low
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("n") >= least))
-    top = counts.filter(wanted)
-    tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    got = top.select("lang", "high", "low", "n").toArrow()
-    lang, high, low, n = (got.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "high", "low", "n"))
-    for x in languages:
-        mine = lang == x
-        g = np.stack([high[mine] >> 16, high[mine] & 0xFFFF, low[mine] >> 16, low[mine] & 0xFFFF], axis=1).astype(np.uint32)
-        tables[x] = (g, n[mine])
-    return _calibrated(_kneser_ney(tables), train)
+    counts = checkpointed(_counted(train))
+    rows, unseen, symbols = model_rows(counts)
+    if not unseen:
+        return Model([], np.zeros(0), 0.0)
+    languages = sorted(unseen)
+    model = Model(languages, np.array([unseen[x] for x in languages]), float(np.log2(symbols)))
+    rows = checkpointed(rows)
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    place = {x: i for i, x in enumerate(languages)}
+    for b in range(blocks):
+        got = rows.filter(F.pmod(F.xxhash64("kind", "gram"), F.lit(blocks)) == b).toArrow()
+        lang = got.column("lang").combine_chunks().dictionary_encode()
+        lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+        ids = np.array([place[x] for x in lang.dictionary.to_pylist()] or [0], np.int64)[lang.indices.to_numpy(zero_copy_only=False)]
+        model.blocks.append(Block.of(got.column("kind").to_numpy(), got.column("gram").to_numpy(), ids, got.column("value").to_numpy()))
+    return _calibrated(model, train)
+
+
+def _with_sums(docs: DataFrame, model: Model, text: str, finish, new: str) -> DataFrame:
+    """docs with further columns, which finish makes from entropies and numbers of characters; one pass for each block."""
+    sc, k = docs.sparkSession.sparkContext, len(model.languages)
+    sent = [sc.broadcast(b) for b in model.blocks]
+    bare = Model(model.languages, model.unseen, model.uniform, [], model.temperature, model.mean, model.spread, model.limit)
+    at, schema, last = docs.columns.index(text), docs.schema, len(sent) - 1
+    own_names, names = docs.columns, extended(schema, new).names
+
+    def one(i: int, df: DataFrame) -> DataFrame:
+        block = sent[i] if sent else None
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                _, off = utf8(b.column(at))
+                sums, lengths = [np.zeros((0, k))], [np.zeros(0, np.int64)]
+                for lo, hi in slices(off, 1 << 20):
+                    cp, counts = characters([t or "" for t in b.column(at).slice(lo, hi - lo).to_pylist()])
+                    sums.append(block.value.sums(cp, counts, k) if block else np.zeros((hi - lo, k)))
+                    lengths.append(bare.lengths(cp, counts))
+                total, n = np.concatenate(sums), np.concatenate(lengths)
+                own = list(b.columns)
+                if i:
+                    total = total + np.array([np.frombuffer(x, np.float64) for x in own.pop().to_pylist()]).reshape(-1, k)
+                if i < last:
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in total], pa.binary())], [*own_names, "_sums"])
+                else:
+                    cols = finish(bare, -total / np.maximum(n, 1)[:, None] - bare.unseen, n)
+                    yield pa.RecordBatch.from_arrays([*own, *cols], names)
+
+        return df.mapInArrow(task, extended(schema, new if i >= last else "_sums binary"))
+
+    df = docs
+    for i in range(max(len(sent), 1)):
+        df = one(i, df)
+    return df
 
 
 def _calibrated(model: Model, train: DataFrame) -> Model:
-    """Temperature, means, spreads and limits from the CALIBRATION texts of smallest hash, cut to 4 * LONG characters."""
-    rows = train.select("lang", F.substring("text", 1, 4 * LONG).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(CALIBRATION).collect()
-    texts, langs = [r["text"] for r in rows], np.array([model.languages.index(r["lang"]) for r in rows])
-    h, n = model.entropies(texts)
-    use = n > 0
-    h, n, langs = h[use], n[use], langs[use]
+    """Temperature, means, spreads and limits from about CALIBRATION whole texts, those of smallest hash.
+
+    The share of hashes is set from the number of rows; texts that repeat count once, and are combined before they are
+    sent. A text's entropies are numbers for each language.
+    """
+    share = min(1.0, CALIBRATION / max(train.count(), 1))
+    h = F.xxhash64("text", "lang")
+    chosen = train.select("text", "lang", h.alias("h")).filter(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+
+    def finish(bare: Model, entropies: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+        return [pa.array(list(entropies), pa.list_(pa.float64())), pa.array(n.astype(np.int64))]
+
+    scored = _with_sums(chosen, model, "text", finish, "entropies array<double>, n long")
+    rows = sorted(scored.filter("n > 0").groupBy("h", "lang").agg(F.first("entropies").alias("entropies"), F.first("n").alias("n")).collect(), key=lambda r: (r["h"], r["lang"]))
     k = len(model.languages)
-    model.mean, model.spread, model.limit = np.zeros(k), np.ones(k), np.full(k, LEAST_LIMIT)
-    own = h[np.arange(len(h)), langs] if len(h) else np.zeros(0)
+    h = np.array([r["entropies"] for r in rows]).reshape(-1, k)
+    n = np.array([r["n"] for r in rows], np.int64)
+    langs = np.array([model.languages.index(r["lang"]) for r in rows], np.int64)
+    model.mean, model.spread, model.limit = np.full(k, model.uniform / 2), np.ones(k), np.full(k, LEAST_LIMIT)
+    own = h[np.arange(len(h)), langs]
     for i in range(k):
-        mine = own[langs == i]
-        if len(mine):
-            root = np.sqrt(np.minimum(n[langs == i], LONG))
-            model.mean[i] = np.average(mine, weights=root)
-            model.spread[i] = max(float(np.sqrt(np.mean(((mine - model.mean[i]) * root) ** 2))), 0.5)
-            model.limit[i] = max(LEAST_LIMIT, 3.0 * float(((mine - model.mean[i]) * root / model.spread[i]).max()))
+        mine = langs == i
+        if mine.any():
+            root = np.sqrt(np.minimum(n[mine], LONG))
+            model.mean[i] = np.average(own[mine], weights=root)
+            model.spread[i] = max(float(np.sqrt(np.median(((own[mine] - model.mean[i]) * root) ** 2))) * 1.5, 0.5)
+            far = model.far(own[mine], langs[mine], n[mine])
+            model.limit[i] = float(np.clip(MARGIN * np.quantile(far, 0.99), LEAST_LIMIT, 1.0))
     best = (np.inf, 1.0)
     for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
-        sharp = np.minimum(n, LONG)[:, None] * t * np.log(2)
-        logit = -sharp * (h - h.min(axis=1, keepdims=True)) if len(h) else np.zeros((0, k))
+        logit = -np.minimum(n, LONG)[:, None] * t * np.log(2) * (h - h.min(axis=1, keepdims=True)) if len(h) else np.zeros((0, k))
         loss = float(np.mean(np.log(np.exp(logit).sum(axis=1)) - logit[np.arange(len(h)), langs])) if len(h) else 0.0
         best = min(best, (loss, t))
     model.temperature = best[1]
@@ -337,22 +379,11 @@ def with_language(docs: DataFrame, model: Model, predicted: str = "lang_pred") -
     """docs with the columns lang_pred, score and rejected; columns of these names are replaced."""
     small_batches(docs.sparkSession)
     new = [predicted, "score", "rejected"]
-    docs = docs.drop(*new)
-    at = docs.columns.index("text")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for b in batches:
-            _, off = utf8(b.column(at))
-            found: list[list] = [[], [], []]
-            for lo, hi in slices(off, 1 << 20):
-                for col, values in zip(found, known.predict([t or "" for t in b.column(at).slice(lo, hi - lo).to_pylist()]), strict=True):
-                    col.extend(values)
-            cols = [pa.array(c, k) for c, k in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *new])
-
-    return docs.mapInArrow(task, extended(docs.schema, f"{predicted} string, score double, rejected boolean"))
+    def finish(bare: Model, entropies: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+        return [pa.array(c, t) for c, t in zip(bare.decide(entropies, n), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+
+    return _with_sums(docs.drop(*new), model, "text", finish, f"{predicted} string, score double, rejected boolean")
 
 
 def fold(modulus: int) -> Column:

@@ -232,7 +232,7 @@ def _places(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["row_key", "anchor", "content", "at"])
 
     rows = docs.select("row_key", "text").mapInArrow(task, "row_key long, anchor long, content long, at long")
-    return rows.filter("anchor is not null and content is not null")  # so that all uses share one exchange
+    return rows.filter("anchor is not null and content is not null and row_key is not null")  # so that all uses share one exchange
 
 
 def _lists(wanted: DataFrame, *more: str) -> DataFrame:

@@ -318,21 +318,76 @@ def test_languages_on_held_out_rows(spark):
     assert np.mean(right) > 0.98 and not any(r.rejected for r in rows)
 
 
-def test_kneser_ney_probabilities_sum_to_one():
+def plain_kneser_ney(texts: list[str]):
+    """Interpolated Kneser-Ney by dictionaries; p(context, character) for contexts of up to three characters."""
+    cp, counts = langid.characters(texts)
+    ends = np.cumsum(counts)
+    level = {4: Counter(tuple(cp[i : i + 4].tolist()) for e, n in zip(ends, counts, strict=True) for i in range(e - n, e - 3))}
+    for o in (3, 2, 1):
+        level[o] = Counter(g[1:] for g in level[o + 1])
+    symbols = len(level[1]) + 1
+
+    def p(context: tuple, c: int) -> float:
+        o = len(context) + 1
+        n1, n2 = (sum(v == x for v in level[o].values()) for x in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        own = {g: v for g, v in level[o].items() if g[:-1] == context}
+        low = p(context[1:], c) if context else 1 / symbols
+        total = sum(own.values())
+        return max(own.get((*context, c), 0) - d, 0) / total + d * len(own) / total * low if total else low
+
+    return p, sorted(g[0] for g in level[1])
+
+
+def test_kneser_ney_by_dictionaries(spark):
     rng = random.Random(4)
-    cp, counts = langid.characters([words(rng, 300, "abcd")])
-    codes, n = np.unique(langid._codes(cp, counts), return_counts=True)
-    grams = np.stack([(codes >> np.uint64(s)) & np.uint64(0xFFFF) for s in (48, 32, 16, 0)], axis=1).astype(np.uint32)
-    m = langid._kneser_ney({"x": (grams, n)})
-    alphabet = np.unique(cp)
-    unseen = 0.0
-    for head in ("abc", " ab", "dda"):
-        total = 0.0
-        for c in alphabet:
-            g = np.array([*map(ord, head), c], np.uint32)
-            h = langid.Model._hash(g, np.array([0]), 4)
-            total += 2 ** m._grams(g, np.array([0]), h)[0, 0]
-        assert 0.9 < total + unseen <= 1.0001
+    texts = {x: [words(rng, 60, letters) for _ in range(5)] for x, letters in (("x", "abcd"), ("y", "cdefé"))}
+    train = spark.createDataFrame([(t, x) for x, own in texts.items() for t in own], "text string, lang string")
+    model = langid.fit(train)
+    assert model.languages == ["x", "y"] and len(model.blocks) == 1
+    probes = [*texts["x"][:2], "abab dede", "zzz a éé", "ab", "Ω"]
+    h, n = model.entropies(probes)
+    old, langid.BLOCK_ROWS = langid.BLOCK_ROWS, 150
+    try:
+        several = langid.fit(train)
+    finally:
+        langid.BLOCK_ROWS = old
+    assert len(several.blocks) > 3 and np.allclose(several.entropies(probes)[0], h, atol=1e-4)
+    docs = spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string")
+    one, many = ({r.doc_id: (r.lang_pred, round(r.score, 4)) for r in langid.with_language(docs, m).collect()} for m in (model, several))
+    assert one == many and [one[i][0] for i in range(3)] == ["x", "x", one[2][0]]
+    for k, x in enumerate(model.languages):
+        p, seen = plain_kneser_ney(texts[x])
+        for head in ("abc", " cd", "dda", "éf "):
+            total = sum(p(tuple(map(ord, head)), c) for c in seen)
+            assert 0.97 < total <= 1.0001  # the rest is for unseen characters
+        # The alphabet of all languages is one wider than that of one language.
+        wide = len(set(plain_kneser_ney(texts["x"])[1]) | set(plain_kneser_ney(texts["y"])[1])) + 1
+        for t, bits in zip(probes, h[:, k], strict=True):
+            cp, _ = langid.characters([t])
+            c = cp.tolist()
+            spots = range(3, len(c)) if len(c) > 3 else range(len(c))
+            logs = [np.log2(_wide(p, tuple(c[max(i - 3, 0) : i]) if len(c) > 3 else (), c[i], len(seen) + 1, wide)) for i in spots]
+            assert abs(-sum(logs) / len(logs) - bits) < 1e-3
+
+
+def _wide(p, context: tuple, c: int, own: int, wide: int) -> float:
+    """p with the share of unseen characters spread over a wider alphabet."""
+    unseen = p((), -1)
+    for k in range(len(context)):
+        unseen *= p(context[k:], -1) / p(context[k + 1 :], -1)
+    return p(context, c) - unseen + unseen * own / wide
+
+
+def test_language_limits(spark):
+    """Texts of other scripts, and of letters drawn at random, are in none of the languages; the tables' texts are."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.filter(langid.fold(4) != 2).select("text", "lang"))
+    rng = random.Random(8)
+    strange = ["Η γλώσσα των ανθρώπων είναι παλιά και πολύ όμορφη", "東京は日本の首都であり大きな都市です", words(rng, 30, "bcdfghjklmnpqrstvwxz"), words(rng, 30, "qxzjkvw")]
+    got = {r.doc_id: r for r in langid.with_language(spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string"), model).collect()}
+    assert all(r.rejected and r.score < 0.5 for r in got.values())
 
 
 def test_languages_odd_rows(spark, odd, empty):
