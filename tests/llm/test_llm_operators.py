@@ -244,16 +244,28 @@ def held(i: int, n: int) -> int:
     return zlib.crc32(str(i).encode()) % n
 
 
-@pytest.mark.parametrize(("name", "label", "bar"), [("op4_boosted_trees", "quality", 0.9), ("op5_subword_softmax", "toxic", 0.8)])
-def test_classifiers_on_held_out_rows(spark, name, label, bar):
-    sf = "/root/testdata/sf0.01"
-    rows = QUERIES[name](spark, sf).collect()
-    assert all(r.held_out == (held(r.doc_id, 3) == 1) and 0 <= r.score <= 1 for r in rows)
-    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    test = [(labels[r.doc_id], r.score) for r in rows if r.held_out and r.doc_id in labels]
-    good, bad = [s for y, s in test if y == 1], [s for y, s in test if y == 0]
-    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
-    assert auc > bar
+@pytest.mark.parametrize(("sf", "name", "label", "threshold", "caught"), [("0.01", "op4_boosted_trees", "quality", 0.5, 0.95), ("0.1", "op5_subword_softmax", "toxic", 0.7, 0.75)])
+def test_classifiers_on_held_out_rows(spark, sf, name, label, threshold, caught):
+    sf = f"/root/testdata/sf{sf}"
+    rows = {r.doc_id: r for r in QUERIES[name](spark, sf).collect()}
+    truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in rows and r[label] is not None}
+    assert all(r.held_out == (held(i, 3) == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= threshold) for i, r in rows.items())
+    found = {x: [rows[i].predicted for i, y in truth.items() if y == x and rows[i].held_out] for x in (0, 1)}
+    assert np.mean(found[1]) >= caught and np.mean(found[0]) <= 0.02 and len(found[0]) > 10
+
+
+def test_misspellings_of_toxic_words():
+    """Unseen misspellings share most n-grams with the words they are made from."""
+    rng = random.Random(5)
+    bad = ["grumblefoot", "snarkweasel", "blitherskunk"]
+    texts = [words(rng, 60) + (f" {rng.choice(bad)} {rng.choice(bad)}" if i % 3 == 0 else "") for i in range(600)]
+    y = np.array([i % 3 == 0 for i in range(600)], np.int64)
+    bucket, share, row = toxicity.bags(texts)
+    ends = np.searchsorted(row, np.arange(len(texts) + 1))
+    model = toxicity.train([bucket[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], [share[a:b].astype(np.float32) for a, b in zip(ends[:-1], ends[1:], strict=True)], y)
+    plain = [words(rng, 60) for _ in range(50)]
+    wrong = [t + " grumblefooot snarkweasell" for t in plain]
+    assert (model.scores(wrong) > model.scores(plain)).all() and np.mean(model.scores(wrong) > 0.7) > 0.9 and np.mean(model.scores(plain) > 0.7) < 0.05
 
 
 def test_classifiers_on_odd_rows(spark, odd, empty):
@@ -296,14 +308,12 @@ def test_statistics_by_plain_count():
 
 
 def test_subwords_by_plain_count():
-    from actmill.llm.arrays import utf8
-    import pyarrow as pa
-
-    texts = ["ab, abc", "", "x", "abc ab"]
-    bucket, of = toxicity.subwords(*utf8(pa.array(texts)))
-    n = [sum(max(len(w) + 2 - k + 1, 0) for w in t.replace(",", "").split() for k in (3, 4, 5, 6, 7)) + len(t.split()) for t in texts]
-    assert np.bincount(of, minlength=4).tolist() == n
+    texts = ["ab, abc", "", "x", "abc ab", "жук\nжук"]
+    bucket, of = toxicity.subwords(texts)
+    n = [sum(max(len(w) + 2 - k + 1, 0) for w in t.replace(",", "").split() for k in (3, 4, 5, 6)) + len(t.split()) for t in texts]
+    assert np.bincount(of, minlength=5).tolist() == n
     assert sorted(bucket[of == 0]) == sorted(bucket[of == 3])
+    assert toxicity.subwords([])[0].size == 0
 
 
 # 6
