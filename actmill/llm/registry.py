@@ -53,11 +53,14 @@ def op8_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-OP8_SQL = """
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
-w AS (SELECT doc_id, i, a[i] || chr(10) || a[i + 1] || chr(10) || a[i + 2] AS s FROM (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS i FROM l)),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, (VALUES (0), (1), (2)) AS t(k)),
+OP8_SQL = r"""
+WITH l AS MATERIALIZED (SELECT doc_id, a, list_transform(a, lambda x: len(regexp_extract_all(x, '[^ \t\r\f\v]+'))) AS c FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+w AS (
+  SELECT doc_id, i, 3 AS n, a[i] || chr(10) || a[i + 1] || chr(10) || a[i + 2] AS s FROM (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS i FROM l)
+  UNION ALL SELECT doc_id, i, 2, a[i] || chr(10) || a[i + 1] FROM (SELECT doc_id, a, c, unnest(range(1, len(a))) AS i FROM l) WHERE c[i] < 50 AND c[i + 1] < 50 AND c[i] + c[i + 1] >= 50
+  UNION ALL SELECT doc_id, i, 1, a[i] FROM (SELECT doc_id, a, c, unnest(range(1, len(a) + 1)) AS i FROM l) WHERE c[i] >= 50),
+later AS (SELECT doc_id, i, n FROM (SELECT doc_id, i, n, row_number() OVER (PARTITION BY n, s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM later),
 rows AS (SELECT doc_id, i, a[i] AS line FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM l)),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM rows ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
 n AS (SELECT doc_id, count(*) AS n_deleted FROM gone GROUP BY 1)
@@ -65,6 +68,7 @@ SELECT l.doc_id, coalesce(kept.text, '') AS text, len(a) AS n_lines, coalesce(n_
 FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

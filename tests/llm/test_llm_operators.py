@@ -455,21 +455,48 @@ def test_containment_odd_rows(spark, odd, empty):
 # 8
 
 
+def plain_windows(a: list[str]) -> list[tuple[int, int]]:
+    """(start, lines) of the least runs that count."""
+    n = [len(x.split()) for x in a]
+    out = [(i, 3) for i in range(len(a) - 2)] + [(i, 1) for i in range(len(a)) if n[i] >= 50]
+    return out + [(i, 2) for i in range(len(a) - 1) if max(n[i : i + 2]) < 50 <= n[i] + n[i + 1]]
+
+
 def plain_lines(rows: list[tuple]) -> dict:
     """By (doc_id, text): what is left."""
     docs = sorted({(i is None, i or 0, t) for i, t in rows if t is not None})
     seen, out = {}, {}
     for d in docs:
         a = d[2].split("\n")
-        for i in range(len(a) - 2):
-            seen.setdefault(tuple(a[i : i + 3]), (d, i))
+        for i, n in plain_windows(a):
+            seen[tuple(a[i : i + n])] = min(seen.get(tuple(a[i : i + n]), (d, i)), (d, i))
     for d in docs:
         a = d[2].split("\n")
-        gone = {i + k for i in range(len(a) - 2) if seen[tuple(a[i : i + 3])] != (d, i) for k in range(3)}
+        gone = {i + k for i, n in plain_windows(a) if seen[tuple(a[i : i + n])] != (d, i) for k in range(n)}
         out[None if d[0] else d[1], d[2]] = "\n".join(x for i, x in enumerate(a) if i not in gone)
     return out
 
 
+def test_long_passages_of_one_or_two_lines(spark):
+    rng = random.Random(12)
+    one, two = words(rng, 55), words(rng, 30) + "\n" + words(rng, 25)
+    short = words(rng, 40)
+    rows = [(1, one), (2, "head\n" + one + "\ntail"), (3, "x\n" + two), (4, two + "\ny"), (5, short), (6, "z\n" + short), (7, one)]
+    got = {r.doc_id: r.text for r in linededup.lines_deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: one, 2: "head\ntail", 3: rows[2][1], 4: "y", 5: short, 6: rows[5][1], 7: ""}
+    assert got == {i: t for (i, _), t in plain_lines(rows).items()}
+
+
+def test_many_lines_take_seconds(spark):
+    import time
+
+    text = "\n".join(f"line {i % 9000} of a long text" for i in range(32_000))
+    docs = spark.createDataFrame([(1, text), (2, "a\nb")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_deleted) for r in linededup.lines_deduplicated(docs).collect()}
+    assert got == {1: (32_000, 23_000), 2: (2, 0)} and time.time() - began < 20
+
+
 def test_line_dedup_by_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, "\n".join(rng.choice("abcde") for _ in range(rng.randint(0, 12)))) for i in range(120)] + [(500, None)]
