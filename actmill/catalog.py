@@ -9,6 +9,7 @@ from actmill.catalog_sql import ORACLE_SQL
 from actmill.functions import citations as cit
 from actmill.functions import html, refs, text
 from actmill.operators import chunking, evaluation, fusion, ingest, lexical, models, quality, sync, vectors
+from actmill.operators.storage import stored
 from actmill.sources import tables as src
 
 QUERIES = {}
@@ -209,12 +210,16 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    c = src.chunks(spark, d)
-    return lexical.idf_table(lexical.postings(c), lexical.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf_table(lexical.token_index(src.chunks(spark, d))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _bm25(spark: SparkSession, d: str, laws: list[str] | None = None) -> DataFrame:
-    return lexical.bm25_search(src.questions(spark, d), src.chunks(spark, d), laws=laws)
+    return lexical.bm25_search(src.questions(spark, d), lexical.token_index(src.chunks(spark, d)), laws=laws)
+
+
+@query
+def bm25_stems(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.bm25_search(src.questions(spark, d), lexical.token_index(src.chunks(spark, d), stems=True), stems=True)
 
 
 @query
@@ -234,6 +239,12 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.vector_search(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), corpus, 10)
 
 
+@query
+def vector_law_filter(spark: SparkSession, d: str) -> DataFrame:
+    v = src.document_vectors(spark, d).withColumn("law_slug", F.substring_index("id", ":", 1))
+    return vectors.vector_search(src.question_vectors(spark, d), v, laws=LAW_FILTER).withColumnRenamed("id", "chunk_id")
+
+
 @query
 def ann_search(spark: SparkSession, d: str) -> DataFrame:
     v = src.table(spark, d, "embeddings")
@@ -386,20 +397,12 @@ def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.metrics(_ranked(spark, d).filter(F.size("gold") > 0).withColumn("variant", F.lit("bm25")), ["variant"])
 
 
-VARIANTS = {"bm25": (1.0, 0.0), "vector": (0.0, 1.0), "hybrid": (1.0, 1.0), "hybrid_weighted": (0.3, 1.0)}
-
-
 def _sweep(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(questions by variant with rank, hits by variant). Both rankings are made once; variants weigh them."""
-    both = fusion.with_method(_bm25(spark, d), "bm25", 0).unionByName(fusion.with_method(_vector(spark, d), "vector", 1)).drop("weight")
-    weights = F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(m).alias("m"), F.lit(w).alias("weight")) for v, pair in VARIANTS.items() for m, w in zip(("bm25", "vector"), pair, strict=True) if w)))
-    spread = both.select("*", weights.alias("v")).filter("v.m = method").select("v.variant", "qid", "chunk_id", "rank", "method", "method_pos", "v.weight")
-    fused = fusion.reciprocal_rank_fusion(spread, ["variant", "qid"]).withColumn("final_rank", F.col("fused_rank"))
-    grouped = fusion.group_to_articles(fused, src.chunks(spark, d), ["variant", "qid"])
-    none = spark.createDataFrame([], "variant string, qid long, law_slug string, article string, ref_pos int, parts array<int>")
-    hits = fusion.top_articles(grouped, none, ["variant", "qid"], 10).select("variant", "qid", "rank", F.concat_ws(":", "law_slug", "article").alias("key"))
+    """(questions by variant with rank, hits by variant)."""
+    found = fusion.sweep(src.questions(spark, d), stored(src.chunks(spark, d)), stored(_bm25(spark, d)), stored(_vector(spark, d)), _pins(spark, d), models.overlap_scorer)
+    hits = stored(found.select("variant", "qid", "rank", F.concat_ws(":", "law_slug", "article").alias("key")))
     asked = src.evaluation_questions(spark, d).filter(F.size("gold") > 0)
-    each = asked.select("*", F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant"))
+    each = asked.select("*", F.explode(F.array(*map(F.lit, fusion.VARIANTS))).alias("variant"))
     return evaluation.first_gold_rank(each, hits, ["variant", "qid"]), hits
 
 

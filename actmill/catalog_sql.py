@@ -20,16 +20,16 @@ walk AS (SELECT doc_id, i, 0 AS g, length(u) + 1 AS size FROM units WHERE i = 1
   UNION ALL SELECT n.doc_id, n.i, CASE WHEN walk.size + length(n.u) > 3200 THEN g + 1 ELSE g END, CASE WHEN walk.size + length(n.u) > 3200 THEN 0 ELSE walk.size END + length(n.u) + 1
   FROM walk JOIN units n ON n.doc_id = walk.doc_id AND n.i = walk.i + 1),
 grouped AS (SELECT doc_id, source, lang, g, string_agg(u, {_NL} ORDER BY i) AS body FROM walk JOIN units USING (doc_id, i) GROUP BY ALL),
-chunks AS (SELECT source || ':art' || doc_id || ':' || (g + 1) AS chunk_id, doc_id, source AS law_slug, upper(source) AS law_ref, doc_id::VARCHAR AS article, (g + 1)::INT AS part,
+chunks AS MATERIALIZED (SELECT source || ':art' || doc_id || ':' || (g + 1) AS chunk_id, doc_id, source AS law_slug, upper(source) AS law_ref, doc_id::VARCHAR AS article, (g + 1)::INT AS part,
   (count(*) OVER (PARTITION BY doc_id))::INT AS n_parts, upper(source) || ' (' || upper(source) || ') > ' || lang || {_NL} || 'Art. ' || doc_id AS header, body, 'doc:' || doc_id AS url,
   upper(source) || ' (' || upper(source) || ') > ' || lang || {_NL} || 'Art. ' || doc_id || {_NL} || body AS text FROM grouped)
 """
 BM25_PARTS = f"""
-toks AS (SELECT chunk_id, {_tok("text")} AS tokens FROM chunks),
+toks AS MATERIALIZED (SELECT chunk_id, {_tok("text")} AS tokens FROM chunks),
 stats AS (SELECT count(*) AS n_chunks, avg(len(tokens)) AS avgdl FROM toks),
-post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM toks) GROUP BY 1, 2),
+post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(tokens) AS dl, unnest(tokens) AS term FROM toks) GROUP BY 1, 2),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-raw AS (SELECT term, df, ln(n_chunks - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stats),
+raw AS MATERIALIZED (SELECT term, df, ln(n_chunks - df + 0.5) - ln(df + 0.5) AS r FROM dfs, stats),
 idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)
 """
 BM25 = f"""{CHUNKS}, {BM25_PARTS},
@@ -74,11 +74,18 @@ best AS (SELECT qid, min(rank)::INT AS rank FROM keyed JOIN ask USING (qid) WHER
 ranked AS (SELECT ask.*, rank FROM ask LEFT JOIN best USING (qid))"""
 _METRICS = "count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_{k}" for k in (1, 3, 5, 10)) + ", round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr"
 SWEEP = f"""{_bm25()}, {VECTOR}, {GOLD},
-vs(variant, method, pos, weight) AS (VALUES ('bm25', 'bm25', 0, 1.0::DOUBLE), ('vector', 'vector', 1, 1.0::DOUBLE), ('hybrid', 'bm25', 0, 1.0::DOUBLE), ('hybrid', 'vector', 1, 1.0::DOUBLE), ('hybrid_weighted', 'bm25', 0, 0.3::DOUBLE), ('hybrid_weighted', 'vector', 1, 1.0::DOUBLE)),
+vs(variant, method, pos, weight) AS (SELECT v, m, p, w::DOUBLE FROM (VALUES ('bm25', 1.0, 0.0), ('vector', 0.0, 1.0), ('hybrid', 1.0, 1.0), ('hybrid_weighted', 0.3, 1.0), ('vector_rerank', 0.0, 1.0), ('hybrid_rerank', 1.0, 1.0), ('hybrid_rerank_refs', 1.0, 1.0)) AS x(v, b, e),
+  LATERAL (VALUES ('bm25', 0, b), ('vector', 1, e)) AS y(m, p, w) WHERE w > 0),
 lists AS (SELECT qid, chunk_id, rank, 'bm25' AS method FROM bm UNION ALL SELECT qid, chunk_id, rank, 'vector' FROM ve),
 fu AS (SELECT variant, qid, chunk_id, round(sum(weight / (60 + rank)), 9) AS score, min((pos, rank)) AS seen FROM lists JOIN vs USING (method) GROUP BY 1, 2, 3),
-fused AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, seen, chunk_id) AS fused_rank FROM fu),
-hits AS (SELECT * FROM (SELECT variant, qid, law_slug || ':' || article AS key, row_number() OVER (PARTITION BY variant, qid ORDER BY min(fused_rank))::INT AS rank FROM fused JOIN chunks USING (chunk_id) GROUP BY variant, qid, law_slug, article) WHERE rank <= 10),
+fused0 AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, seen, chunk_id) AS fused_rank FROM fu),
+pair AS (SELECT variant, qid, chunk_id, fused_rank, list_distinct({_tok('b.text')}) AS q, {_tok('c.text')} AS t FROM fused0 JOIN benchmark b ON item_id = qid JOIN chunks c USING (chunk_id) WHERE fused_rank <= 20 AND variant LIKE '%rerank%'),
+again AS (SELECT variant, qid, chunk_id, fused_rank, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, t)) / len(q)::DOUBLE, 6) ELSE 0 END AS score FROM pair),
+fused AS (SELECT variant, qid, chunk_id, fused_rank FROM fused0 WHERE variant NOT LIKE '%rerank%' UNION ALL SELECT variant, qid, chunk_id, row_number() OVER (PARTITION BY variant, qid ORDER BY score DESC, fused_rank) FROM again), {PINS},
+arts AS (SELECT variant, qid, law_slug, article, 1 AS other, min(fused_rank) AS spot FROM fused JOIN chunks USING (chunk_id) GROUP BY ALL),
+pinned AS (SELECT 'hybrid_rerank_refs' AS variant, qid, law_slug, article, 0 AS other, ref_pos AS spot FROM pins),
+hits AS (SELECT * FROM (SELECT variant, qid, law_slug || ':' || article AS key, row_number() OVER (PARTITION BY variant, qid ORDER BY other, spot, law_slug, article)::INT AS rank
+  FROM (SELECT * FROM pinned UNION ALL SELECT * FROM arts ANTI JOIN pinned USING (variant, qid, law_slug, article))) WHERE rank <= 10),
 each AS (SELECT DISTINCT variant, ask.* FROM ask, vs WHERE len(gold) > 0),
 best AS (SELECT variant, qid, min(rank)::INT AS rank FROM hits JOIN ask USING (qid) WHERE list_contains(gold, key) GROUP BY 1, 2),
 ranked AS (SELECT each.*, rank FROM each LEFT JOIN best USING (variant, qid))"""
@@ -151,6 +158,7 @@ SELECT coalesce(w.id, e.id) AS id, CASE WHEN e.id IS NULL THEN 'new' WHEN w.id I
     "l2_normalize": "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x * ((i - 1) % 3 + 1)) AS e FROM embeddings) SELECT vec_id, list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 6)) AS unit FROM v",
     "bm25_idf": f"WITH RECURSIVE {CHUNKS}, {BM25_PARTS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_search": f"WITH RECURSIVE {_bm25()} SELECT qid, chunk_id, score, rank FROM bm",
+    "vector_law_filter": f"WITH {VECTOR.replace("trim(replace(text, chr(10), '')) <> ''", "trim(replace(text, chr(10), '')) <> '' AND source IN ('src1', 'src2', 'src3')")} SELECT qid, chunk_id, score, rank FROM ve",
     "bm25_law_filter": f"WITH RECURSIVE {_bm25(IN_LAWS)} SELECT qid, chunk_id, score, rank FROM bm",
     "vector_topk": "SELECT qid, id, score, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.vec_id)::INT AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) WHERE rank <= 10",
     "rrf": f"WITH RECURSIVE {_fused()} SELECT * FROM fused",

@@ -1,31 +1,66 @@
-"""A stemmer for Romanian words without diacritics, after the published suffix-stripping algorithm for the language.
+"""A stemmer for Romanian words, after the published suffix-stripping algorithm for the language.
 
-The regions R1, R2 and RV, the four steps (plural and article endings, combining suffixes, standard suffixes, verb
-endings) and the removal of a final vowel follow the publication; letters have lost their diacritics beforehand.
+The regions R1, R2 and RV, the plural step, the combining suffixes, the standard suffixes, the verb endings and the final
+vowel follow the publication. Tokens have lost their diacritics, so endings that are spelt with one never match; they are
+listed as published all the same.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import product
 
-VOWELS = "aeiou"
-# The endings of the published algorithm, without diacritics.
-ARTICLES = {
+# Letters and endings of the published algorithm.
+VOWELS = "aăâeiîou"
+PLURALS = {
     "": "ul ului",
     "a": "aua",
     "e": "ea ele elor",
-    "i": "ii iua iei iile iilor ilor",
+    "i": "ii iua iei iile iilor ilor ile",
+    "at": "atei",
+    "aţi": "aţie aţia",
 }
 COMBINED = {
-    "abil": "abilitate abilitati abilitati abilitai",
+    "abil": "abilitate abilitati abilităi abilităţi",
     "ibil": "ibilitate",
-    "iv": "ivitate ivitati ivitai",
-    "ic": "icitate icitati icitai icator icatori iciv iciva icive icivi icala icale icali ical",
-    "at": "ativ ativa ative ativi atiune atoare ator atori",
-    "it": "itiv itiva itive itivi itiune itoare itor itori",
+    "iv": "ivitate ivitati ivităi ivităţi",
+    "ic": "icitate icitati icităi icităţi icator icatori iciv iciva icive icivi icivă ical icala icale icali icală",
+    "at": "ativ ativa ative ativi ativă aţiune atoare ator atori ătoare ător ători",
+    "it": "itiv itiva itive itivi itivă iţiune itoare itor itori",
 }
-STANDARD = "at ata ati ate ut uta uti ute it ita iti ite ic ica ice ici abil abila abile abili ibil ibila ibile ibili oasa oase os osi ant anta ante anti ator atori itate itati iv iva ive ivi"
-VERBS = "eaza eazam eazati easca esc esti este este indu ind andu and ari are ara arei ere eri ire iri asc ascu am ati eam iam ia au iau ui uie uiam iasera asera isera usera asem isem usem ram rati ra rau"
+STANDARD = """
+at ata ată ati ate ut uta ută uti ute it ita ită iti ite ic ica ice ici ică abil abila abile abili abilă ibil ibila
+ibile ibili ibilă oasa oasă oase os osi oşi ant anta ante anti antă ator atori itate itati ităi ităţi iv iva ive ivi ivă
+""".split()
+NOUNS = "iune iuni".split()
+PERSONS = "ism isme ist ista iste isti istă işti".split()
+VERBS = """
+are ere ire âre ind ând indu ându eze ească ez ezi ează esc eşti eşte ăsc ăşti ăşte am ai au eam eai ea eaţi eau iam iai
+ia iaţi iau ui âi
+""".split()
+PAST = "şi răm răţi ră sem seşi se serăm serăţi seră".split()
+PLAIN_VERBS = "ăm aţi em eţi im iţi âm âţi seşi serăm serăţi seră sei se sesem seseşi sese seserăm seserăţi seseră".split()
+LAST = "a e i ie ă".split()
+
+_AFTER_CONSONANT = {*VERBS, *(v + e for v, e in product("auiâ", PAST))}
+
+
+def _longest(word: str, endings: dict[str, str]) -> tuple[str, str] | None:
+    """The longest ending of a word, and what it is replaced by."""
+    for n in range(min(len(word), 9), 0, -1):
+        if word[-n:] in endings:
+            return word[-n:], endings[word[-n:]]
+    return None
+
+
+def _table(groups: dict[str, str]) -> dict[str, str]:
+    return {e: to for to, spec in groups.items() for e in spec.split()}
+
+
+_PLURALS, _COMBINED = _table(PLURALS), _table(COMBINED)
+_STANDARD = dict.fromkeys(STANDARD, "") | dict.fromkeys(NOUNS, "") | dict.fromkeys(PERSONS, "ist")
+_VERBS = dict.fromkeys([*_AFTER_CONSONANT, *PLAIN_VERBS], "")
+_LAST = dict.fromkeys(LAST, "")
 
 
 def _after(word: str, start: int) -> int:
@@ -46,42 +81,43 @@ def _rv(word: str) -> int:
     return 3
 
 
-def _endings(spec: str) -> list[str]:
-    return sorted(set(spec.split()), key=len, reverse=True)
-
-
-_PLURAL = sorted([(s, to) for to, spec in ARTICLES.items() for s in spec.split()], key=lambda x: -len(x[0]))
-_COMBINED = sorted([(s, to) for to, spec in COMBINED.items() for s in spec.split()], key=lambda x: -len(x[0]))
-_STANDARD, _VERBS = _endings(STANDARD), _endings(VERBS)
+def _marked(word: str) -> str:
+    """i and u between vowels are consonants: capitals."""
+    out = list(word)
+    for i in range(1, len(word) - 1):
+        if word[i] in "iu" and out[i - 1] in VOWELS and word[i + 1] in VOWELS:
+            out[i] = word[i].upper()
+    return "".join(out)
 
 
 @lru_cache(maxsize=65_536)
 def stem(word: str) -> str:
+    word = _marked(word)
     r1 = _after(word, 0)
     r2, rv = _after(word, r1), _rv(word)
-    before = word
-    for s, to in _PLURAL:
-        if word.endswith(s):
-            if len(word) - len(s) >= r1:
-                word = word[: -len(s)] + to
-            break
-    for _ in range(8):  # combining suffixes are reduced until none is left
-        for s, to in _COMBINED:
-            if word.endswith(s) and len(word) - len(s) >= r1:
-                word = word[: -len(s)] + to
-                break
-        else:
-            break
-    for s in _STANDARD:
-        if word.endswith(s) and len(word) - len(s) >= r2:
-            word = word[: -len(s)]
-            break
-    else:
-        if word == before:
-            for s in _VERBS:
-                if word.endswith(s) and len(word) - len(s) >= rv:
-                    word = word[: -len(s)]
-                    break
-    if word and word[-1] in "aei" and len(word) - 1 >= rv:
-        word = word[:-2] if word.endswith("ie") and len(word) - 2 >= rv else word[:-1]
-    return word
+    inside = lambda ending, region: len(word) - len(ending) >= region
+
+    hit = _longest(word, _PLURALS)
+    if hit and inside(hit[0], r1) and not (hit[0] == "ile" and word[:-3].endswith("ab")):
+        word = word[: -len(hit[0])] + hit[1]
+    removed = False
+    while (hit := _longest(word, _COMBINED)) and inside(hit[0], r1):
+        word, removed = word[: -len(hit[0])] + hit[1], True
+    hit = _longest(word, _STANDARD)
+    if hit and inside(hit[0], r2):
+        bare = word[: -len(hit[0])]
+        if hit[0] not in NOUNS:
+            word, removed = bare + hit[1], True
+        elif bare.endswith("ţ"):
+            word, removed = bare[:-1] + "t", True
+    if not removed:
+        # The longest ending that lies in RV counts.
+        endings = [e for n in range(min(len(word) - rv, 9), 0, -1) if (e := word[-n:]) in _VERBS]
+        if endings:
+            bare = word[: -len(endings[0])]
+            if endings[0] not in _AFTER_CONSONANT or (len(bare) > rv and (bare[-1] not in VOWELS or bare[-1] == "u")):
+                word = bare
+    hit = _longest(word, _LAST)
+    if hit and inside(hit[0], rv):
+        word = word[: -len(hit[0])]
+    return word.lower()

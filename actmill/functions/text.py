@@ -41,18 +41,24 @@ def collapse_ws(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def stopwords() -> Column:
-    return F.array(*map(F.lit, STOPWORDS))
+# A token that starts at the start of a word and is not a stop word as a whole.
+_KEPT = rf"(?<![\p{{L}}\p{{N}}_])(?!(?:{'|'.join(STOPWORDS)})(?!\^?[\p{{L}}\p{{N}}_])){TOKEN}"
 
 
 def tokens(plain: Column) -> Column:
     """Tokens without stop words, of a text that is lower-cased and without diacritics already."""
-    found = F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda w: ~F.array_contains(stopwords(), w))
+    return F.regexp_extract_all(plain, F.lit(_KEPT), F.lit(0))
 
 
-def tokenize(c: Column) -> Column:
-    return tokens(strip_diacritics(F.lower(c)))
+def tokenize(c: Column, stems: bool = False) -> Column:
+    found = tokens(strip_diacritics(F.lower(c)))
+    return stemmed(found) if stems else found
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def stemmed(words: pd.Series) -> pd.Series:
+    """Each token's stem; tasks stem a word once, as long as it is among the words seen of late."""
+    return words.map(lambda a: None if a is None else [stem(w) for w in a])
 
 
 @pandas_udf(T.StringType())
@@ -64,7 +70,3 @@ def stem_vocabulary(df: DataFrame, tokens_column: str) -> DataFrame:
     """(term, stem) of the distinct tokens: each word is stemmed once, however often it occurs."""
     return df.select(F.explode(tokens_column).alias("term")).distinct().withColumn("stem", _stems("term"))
 
-
-def stem_tokens(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """postings(term, ...) with term replaced by its stem."""
-    return postings.join(vocabulary, "term").drop("term").withColumnRenamed("stem", "term")

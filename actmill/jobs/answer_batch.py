@@ -1,6 +1,6 @@
 """Ranked articles and prompts for a table of questions.
 
-python -m actmill.jobs.answer_batch --chunks corpus/chunks --questions questions.jsonl --out ranked [--laws a,b]
+python -m actmill.jobs.answer_batch --chunks corpus/chunks --questions questions.jsonl --out ranked [--vectors corpus/vectors] [--laws a,b]
 """
 
 from __future__ import annotations
@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 
 from actmill import schemas
 from actmill.functions import citations, refs, text
-from actmill.operators import chunking, evaluation, fusion, lexical, models
+from actmill.operators import chunking, evaluation, fusion, lexical, models, sync, vectors
 from actmill.sources import tables
 
 
-def ranked(questions: DataFrame, chunks: DataFrame, laws: list[str] | None = None, k: int = 5) -> DataFrame:
-    """Hits of questions(qid, question) over chunks(chunk_id, chunk_pos, text and the columns of CHUNK)."""
+def ranked(questions: DataFrame, chunks: DataFrame, laws: list[str] | None = None, k: int = 5, vectors_of: DataFrame | None = None, encoder: models.Encoder | None = None) -> DataFrame:
+    """Hits of questions(qid, question) over chunks(chunk_id, chunk_pos, text and the columns of CHUNK), by stems.
+
+    vectors_of(id, embedding) are the vectors that encoder made of the chunks; without them ranks come from words alone.
+    """
     named = questions.select("qid", text.strip_diacritics(F.lower("question")).alias("plain"))
-    bm25 = lexical.bm25_search(questions, chunks, laws=laws)
-    return fusion.hybrid_search(questions, chunks, bm25, None, refs.detect_article_refs(named, "plain"), fusion.SearchConfig(use_vector=False), models.overlap_scorer, k)
+    index = lexical.token_index(chunks, stems=True)
+    bm25 = lexical.bm25_search(questions, index, laws=laws, stems=True)
+    near = None
+    if vectors_of is not None and encoder is not None:
+        asked = questions.select("qid", sync.embed_column(encoder, F.col("question")).alias("vector"))
+        corpus = vectors_of.select("id", F.col("embedding").alias("vector")).join(chunks.select(F.col("chunk_id").alias("id"), F.col("chunk_id").alias("pos"), "law_slug"), "id")
+        near = vectors.vector_search(asked, corpus, laws=laws).withColumnRenamed("id", "chunk_id")
+    config = fusion.SearchConfig(use_vector=near is not None)
+    return fusion.hybrid_search(questions, chunks, bm25, near, refs.detect_article_refs(named, "plain"), config, models.overlap_scorer, k, laws)
 
 
 def prompts(questions: DataFrame, chunks: DataFrame, hits: DataFrame) -> DataFrame:
@@ -34,12 +44,14 @@ def main() -> None:
     for name in ("--chunks", "--questions", "--out"):
         a.add_argument(name, required=True)
     a.add_argument("--laws", default="")
+    a.add_argument("--vectors", default="")
     args = a.parse_args()
     spark = SparkSession.builder.appName("answer batch").getOrCreate()
     asked = tables.read_records(spark, args.questions, schemas.QUESTION).withColumnRenamed("id", "qid")
     rows = spark.read.parquet(args.chunks).withColumnRenamed("id", "chunk_id")
     chunks = rows.withColumns({"text": chunking.chunk_text(), "chunk_pos": F.struct("law_slug", "article", "part")})
-    hits = ranked(asked, chunks, [x for x in args.laws.split(",") if x] or None, 10)
+    made = spark.read.parquet(args.vectors) if args.vectors else None
+    hits = ranked(asked, chunks, [x for x in args.laws.split(",") if x] or None, 10, made, models.hashing_encoder())
     tables.write_records(hits, f"{args.out}/hits")
     done = spark.read.parquet(f"{args.out}/hits")
     tables.write_records(prompts(asked, chunks, done.filter("rank <= 5")), f"{args.out}/prompts")

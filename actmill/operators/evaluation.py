@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K_VALUES = (1, 3, 5, 10)
+MOST_MODELS = 1_000
 
 
 def rank_percentiles(df: DataFrame, keys: list[str], value: str, places: dict[str, float]) -> DataFrame:
@@ -75,9 +76,13 @@ def error_pairs(log: DataFrame) -> DataFrame:
 
 
 def todo_answers(questions: DataFrame, models: DataFrame, log: DataFrame) -> DataFrame:
-    """Pairs without an answer. models is a short list."""
+    """Pairs without an answer. models is a short list: it is checked to have MOST_MODELS rows at most."""
+    names = [r[0] for r in models.select("model").distinct().limit(MOST_MODELS + 1).collect()]
+    if len(names) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
     done = log.filter("error is null").select("id", "model")
-    return questions.select("id").crossJoin(F.broadcast(models.select("model"))).join(done, ["id", "model"], "left_anti")
+    pairs = questions.select("id", F.explode(F.array(*map(F.lit, sorted(names))).cast("array<string>")).alias("model"))
+    return pairs.join(done, ["id", "model"], "left_anti")
 
 
 def todo_judgments(log: DataFrame, judged: DataFrame) -> DataFrame:
@@ -108,7 +113,25 @@ def answer_report(questions: DataFrame, log: DataFrame, judged: DataFrame) -> Da
 
 def judge_batch(log: DataFrame) -> DataFrame:
     """(id, labels): the answering models of a question under letters, in an order that a hash of both fixes."""
-    answers = latest_answers(log).select("id", "model")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "model"), "model"))
-    lettered = answers.withColumn("label", F.chr(F.lit(64) + place))
+    lettered = _lettered(latest_answers(log).select("id", "model"))
     return lettered.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "model")))).alias("labels"))
+
+
+def judge_prompts(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """(id, labels, prompt): one request for each question, with the answers under letters in place of model names.
+
+    questions has id, question and answer_key (what a right answer says; null where none is known); answers has id, model
+    and answer. Questions without an answer have no row.
+    """
+    lettered = _lettered(answers.select("id", "model", "answer"))
+    per = lettered.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("label", "model", "answer"))).alias("a"))
+    named = per.join(questions.select("id", "question", "answer_key"), "id")
+    shown = F.array_join(F.transform("a", lambda x: F.concat(F.lit("## "), x["label"], F.lit("\n"), F.coalesce(x["answer"], F.lit("")))), "\n\n")
+    key = F.when(F.trim("answer_key") != "", F.concat(F.lit("# Key\n"), F.col("answer_key"), F.lit("\n\n"))).otherwise("")
+    prompt = F.concat(F.lit("# Question\n"), F.col("question"), F.lit("\n\n"), F.coalesce(key, F.lit("")), F.lit("# Answers\n\n"), shown)
+    return named.select("id", F.map_from_arrays("a.label", "a.model").alias("labels"), prompt.alias("prompt"))
+
+
+def _lettered(answers: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "model"), "model"))
+    return answers.withColumn("label", F.chr(F.lit(64) + place))

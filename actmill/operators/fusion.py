@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
+METHODS = ("bm25", "vector")
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,18 @@ class SearchConfig:
     bm25_weight: float = 1.0
 
 
+#: The named configurations that are compared with each other.
+VARIANTS = {
+    "bm25": SearchConfig(use_vector=False, use_rerank=False, use_explicit_refs=False),
+    "vector": SearchConfig(use_bm25=False, use_rerank=False, use_explicit_refs=False),
+    "hybrid": SearchConfig(use_rerank=False, use_explicit_refs=False),
+    "hybrid_weighted": SearchConfig(use_rerank=False, use_explicit_refs=False, bm25_weight=0.3),
+    "vector_rerank": SearchConfig(use_bm25=False, use_explicit_refs=False),
+    "hybrid_rerank": SearchConfig(use_explicit_refs=False),
+    "hybrid_rerank_refs": SearchConfig(),
+}
+
+
 def with_method(ranking: DataFrame, name: str, pos: int, weight: float = 1.0) -> DataFrame:
     return ranking.select("qid", "chunk_id", "rank", F.lit(name).alias("method"), F.lit(pos).alias("method_pos"), F.lit(float(weight)).alias("weight"))
 
@@ -42,11 +55,12 @@ def reciprocal_rank_fusion(rankings: DataFrame, keys: list[str] | None = None, k
     return fused.withColumn("fused_rank", place).drop("seen")
 
 
-def rerank(fused: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Callable[[Column, Column], Column], top: int = 20) -> DataFrame:
+def rerank(fused: DataFrame, questions: DataFrame, chunks: DataFrame, scorer: Callable[[Column, Column], Column], top: int = 20, keys: list[str] | None = None) -> DataFrame:
     """The fused top, scored as pairs (question, text); the new score replaces the fused one, ties keep the fused order."""
+    keys = keys or ["qid"]
     pairs = fused.filter(F.col("fused_rank") <= top).join(questions.select("qid", "question"), "qid").join(chunks.select("chunk_id", "text"), "chunk_id")
     scored = pairs.withColumn("score", scorer(F.col("question"), F.col("text"))).drop("question", "text")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "fused_rank"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "fused_rank"))
     return scored.withColumn("final_rank", place)
 
 
@@ -84,9 +98,16 @@ def article_parts(chunks: DataFrame) -> DataFrame:
 
 def hybrid_search(
     questions: DataFrame, chunks: DataFrame, bm25: DataFrame | None, vector: DataFrame | None, refs: DataFrame | None,
-    config: SearchConfig, scorer: Callable[[Column, Column], Column] | None = None, k: int = 5,
+    config: SearchConfig, scorer: Callable[[Column, Column], Column] | None = None, k: int = 5, laws: list[str] | None = None,
 ) -> DataFrame:
-    """The whole search over rankings computed once; each step can be left out."""
+    """The whole search over rankings computed once; each step can be left out.
+
+    With laws, only their articles are found; the rankings should have been made with the same filter, before their cut.
+    """
+    if laws:
+        chunks = chunks.filter(F.col("law_slug").isin(laws))
+        inside = chunks.select("chunk_id")
+        bm25, vector = (r if r is None else r.join(inside, "chunk_id", "left_semi") for r in (bm25, vector))
     used = []
     if config.use_bm25 and bm25 is not None:
         used.append(with_method(bm25.filter(F.col("rank") <= config.candidates), "bm25", len(used), config.bm25_weight))
@@ -107,3 +128,28 @@ def hybrid_search(
     else:
         pinned = pinned.join(article_parts(chunks), ["law_slug", "article"])
     return top_articles(group_to_articles(ranked, chunks), pinned, k=k)
+
+
+def sweep(
+    questions: DataFrame, chunks: DataFrame, bm25: DataFrame, vector: DataFrame, refs: DataFrame, scorer: Callable[[Column, Column], Column],
+    variants: dict[str, SearchConfig] | None = None, k: int = 10,
+) -> DataFrame:
+    """(variant, qid, rank, law_slug, article, ...): hits of all variants. Both rankings are read once; variants weigh them."""
+    variants = variants or VARIANTS
+    keys = ["variant", "qid"]
+    rows = [
+        F.struct(F.lit(name).alias("variant"), F.lit(m).alias("m"), F.lit(float(w)).alias("weight"), F.lit(c.candidates).alias("candidates"))
+        for name, c in variants.items()
+        for m, w, used in zip(METHODS, (c.bm25_weight, 1.0), (c.use_bm25, c.use_vector), strict=True)
+        if used
+    ]
+    both = with_method(bm25, METHODS[0], 0).unionByName(with_method(vector, METHODS[1], 1)).drop("weight")
+    spread = both.select("*", F.explode(F.array(*rows)).alias("v")).filter("v.m = method and rank <= v.candidates")
+    fused = reciprocal_rank_fusion(spread.select("v.variant", "qid", "chunk_id", "rank", "method", "method_pos", "v.weight"), keys)
+    again = {c.rerank_top: [n for n, x in variants.items() if x.use_rerank and x.rerank_top == c.rerank_top] for c in variants.values() if c.use_rerank}
+    plain = fused.filter(~F.col("variant").isin([n for names in again.values() for n in names])).withColumn("final_rank", F.col("fused_rank"))
+    for top, names in again.items():
+        plain = plain.unionByName(rerank(fused.filter(F.col("variant").isin(names)), questions, chunks, scorer, top, keys))
+    with_refs = [n for n, c in variants.items() if c.use_explicit_refs]
+    pinned = refs.join(article_parts(chunks), ["law_slug", "article"]).select(F.explode(F.array(*map(F.lit, with_refs)).cast("array<string>")).alias("variant"), *refs.columns, "parts")
+    return top_articles(group_to_articles(plain, chunks, keys), pinned, keys, k)

@@ -1,8 +1,8 @@
 """BM25 over chunks, for many questions at once.
 
-Statistics cover the whole corpus; only the postings of terms that some question uses take part in scoring, so what is
-shuffled by (question, chunk) follows the questions' terms, not the corpus. The terms of a question side are few and are
-broadcast by Spark only below its size threshold; hot terms are split by the adaptive skew join otherwise.
+Texts are tokenised once: token_index is written to the shared folder (or comes from a table of the corpus job), and
+statistics, document frequencies and term counts are all read from it. Only tokens that some question uses take part in
+scoring, so what is shuffled by (question, chunk) follows the questions' terms, not the corpus.
 """
 
 from __future__ import annotations
@@ -11,44 +11,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actmill.functions.text import tokenize
+from actmill.operators.storage import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+INDEX = ("chunk_id", "chunk_pos", "law_slug", "tokens")
 
 
-def postings(chunks: DataFrame, text: str = "text", keep: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
-    """(*keep, dl, term, tf). Terms are counted inside the row: no shuffle."""
-    toks = chunks.select(*keep, tokenize(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    return toks.select(*keep, "dl", F.explode("tokens").alias("term")).groupBy(*keep, "dl", "term").agg(F.count("*").alias("tf"))
+def token_index(chunks: DataFrame, text: str = "text", stems: bool = False) -> DataFrame:
+    """chunks without their text, with tokens: an array for each chunk, in text order. Written once."""
+    keep = [c for c in ("chunk_id", "chunk_pos", "law_slug") if c in chunks.columns]
+    return stored(chunks.select(*keep, tokenize(F.col(text), stems).alias("tokens")))
 
 
-def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
+def corpus_stats(index: DataFrame) -> DataFrame:
     """One row: n_chunks and avgdl."""
-    return chunks.select(F.size(tokenize(F.col(text))).alias("dl")).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    return index.agg(F.count("*").alias("n_chunks"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def idf_table(post: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf). A negative idf is replaced by EPSILON times the mean idf over all terms."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+def idf_table(index: DataFrame) -> DataFrame:
+    """(term, df, idf). A negative idf is replaced by EPSILON times the mean idf over all terms.
+
+    Terms are made distinct inside the row, so that only counts by term are shuffled.
+    """
+    df = index.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    scored = df.crossJoin(F.broadcast(stats.select("n_chunks"))).select("term", "df", raw.alias("raw"))
+    # Both broadcasts are one row.
+    scored = df.crossJoin(F.broadcast(corpus_stats(index).select("n_chunks"))).select("term", "df", raw.alias("raw"))
     mean = scored.agg(F.avg("raw").alias("mean_idf"))
     return scored.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(questions: DataFrame, chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(qid, chunk_id, score), score rounded to 6 places so that ranks don't depend on the order of summation."""
-    post, stats = postings(chunks, text), corpus_stats(chunks, text)
-    asked = questions.select("qid", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    terms = idf_table(post, stats).join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = asked.join(terms.select("term", "idf"), "term")
-    matched = post.join(weighed, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+def bm25_scores(questions: DataFrame, index: DataFrame, stems: bool = False) -> DataFrame:
+    """(qid, chunk_id, chunk_pos, law_slug, score), score rounded to 6 places so that ranks don't depend on the order of
+    summation. stems must be as in the index."""
+    asked = questions.select("qid", F.explode(tokenize(F.col("question"), stems)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    weighed = stored(asked.join(idf_table(index).select("term", "idf"), "term"))
+    keep = [c for c in index.columns if c != "tokens"]
+    spread = index.select(*keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    # A left semi join drops all other tokens before anything is shuffled, where the questions' terms are few enough.
+    used = spread.join(weighed.select("term").distinct(), "term", "left_semi").groupBy(*keep, "dl", "term").agg(F.count("*").alias("tf"))
+    matched = used.join(weighed, "term").crossJoin(F.broadcast(corpus_stats(index).select("avgdl")))
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return matched.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return matched.groupBy("qid", *keep).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_search(questions: DataFrame, chunks: DataFrame, k: int = 30, laws: list[str] | None = None) -> DataFrame:
+def bm25_search(questions: DataFrame, index: DataFrame, k: int = 30, laws: list[str] | None = None, stems: bool = False) -> DataFrame:
     """(qid, chunk_id, score, rank): scores above 0, best first, corpus order (chunk_pos) on ties; filtered after scoring."""
-    scored = bm25_scores(questions, chunks).filter("score > 0").join(chunks.select("chunk_id", "chunk_pos", "law_slug"), "chunk_id")
+    scored = bm25_scores(questions, index, stems).filter("score > 0")
     if laws:
         scored = scored.filter(F.col("law_slug").isin(laws))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_pos"))

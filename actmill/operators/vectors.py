@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 
 
-def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 30) -> DataFrame:
+def vector_search(queries: DataFrame, corpus: DataFrame, k: int = 30, laws: list[str] | None = None) -> DataFrame:
     """(qid, id, score, rank) of the k most similar rows: queries(qid, vector), corpus(id, pos, vector), unit vectors.
 
-    Each task multiplies its Arrow batches with a block of queries and keeps k rows for each query; only those are
-    shuffled, by qid. Scores are rounded to 6 places; pos decides ties.
+    With laws, only rows of the corpus with one of these law_slug take part, before anything is cut. Each task multiplies
+    its Arrow batches with a block of queries and keeps k rows for each query over all its batches; only those are
+    shuffled, by qid. Scores are rounded to 6 places; pos decides ties. A block of QUERY_BLOCK queries passes the driver
+    at a time; more queries take more passes over the corpus.
     """
+    if laws:
+        corpus = corpus.filter(F.col("law_slug").isin(laws))
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK) or 1
     found = None
@@ -36,21 +40,27 @@ def _block(rows: list, corpus: DataFrame, k: int) -> DataFrame:
     matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None  # scores, positions and ids of the best rows so far, (queries, k at most)
         for b in batches:
             if not len(b) or not len(ids):
                 continue
             sims = np.round(matrix @ np.stack(b["vector"].to_numpy()).astype(np.float64).T, 6)
-            pos = b["pos"].to_numpy()
-            order = np.lexsort((np.broadcast_to(pos, sims.shape), -sims), axis=1)[:, :k]
-            take = order.ravel()
-            yield pd.DataFrame({"qid": np.repeat(ids, order.shape[1]), "id": b["id"].to_numpy()[take], "pos": pos[take], "score": np.take_along_axis(sims, order, 1).ravel()})
+            new = (sims, np.broadcast_to(b["pos"].to_numpy(), sims.shape), np.broadcast_to(b["id"].to_numpy(), sims.shape))
+            both = new if best is None else tuple(np.concatenate(x, axis=1) for x in zip(best, new, strict=True))
+            order = np.lexsort((both[1], -both[0]), axis=1)[:, :k]
+            best = tuple(np.take_along_axis(x, order, 1) for x in both)
+        if best is not None:
+            yield pd.DataFrame({"qid": np.repeat(ids, best[0].shape[1]), "id": best[2].ravel(), "pos": best[1].ravel(), "score": best[0].ravel()})
 
     kind = dict(corpus.dtypes)
     return corpus.select("id", "pos", "vector").mapInPandas(task, f"qid long, id {kind['id']}, pos {kind['pos']}, score double")
 
 
-def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, width: float = 0.5, tables: int = 16, radius: float = 1.45) -> DataFrame:
-    """Approximate variant: random projections of unit vectors choose candidates, exact scores rank them."""
+def ann_search(queries: DataFrame, corpus: DataFrame, k: int = 10, width: float = 0.5, tables: int = 16, radius: float = 1.2) -> DataFrame:
+    """Approximate variant: random projections of unit vectors choose candidates, exact scores rank them.
+
+    Rows further than radius from a query (1.41 is a right angle) are not candidates.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

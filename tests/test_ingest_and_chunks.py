@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from actmill import schemas
-from actmill.functions import html, text
+from actmill.functions import html, stemmer, text
 from actmill.jobs import answer_batch, build_corpus
 from actmill.operators import chunking, ingest, models, quality, sync
 from actmill.sources import tables
@@ -83,6 +83,10 @@ def test_text(spark):
     vocabulary = text.stem_vocabulary(spark.createDataFrame([(["concediului", "concedii", "casa"],)], "k array<string>"), "k")
     stems = {r.term: r.stem for r in vocabulary.collect()}
     assert stems["concediului"] == stems["concedii"] != stems["casa"]
+    assert {stemmer.stem(w) for w in ("lege", "legi", "legii", "legile", "legilor")} == {"leg"}
+    assert stemmer.stem("nationalitate") == stemmer.stem("nationalitatii") and stemmer.stem("ai") == "ai" and stemmer.stem("") == ""
+    caret = df.sparkSession.createDataFrame([("are are^1 a^2 la.care x^are x^y^z aceasta",)], "t string").select(text.tokenize(F.col("t"))).first()[0]
+    assert caret == ["are^1", "a^2", "x^are", "x^y", "z"]
     ws = df.sparkSession.createDataFrame([(" a \t b \n\n c d ",)], "t string").select(text.collapse_ws(F.col("t"))).first()[0]
     assert ws == "a b\nc d"
 

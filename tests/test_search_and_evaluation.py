@@ -35,7 +35,7 @@ def corpus(spark):
 
 def test_bm25_by_formula(spark):
     q = spark.createDataFrame([(1, "odihna concediu concediu"), (2, "de la")], "qid long, question string")
-    got = {r.chunk_id: r.score for r in lexical.bm25_search(q, corpus(spark)).collect()}
+    got = {r.chunk_id: r.score for r in lexical.bm25_search(q, lexical.token_index(corpus(spark))).collect()}
     docs = {"c1": ["concediu", "odihna", "platit"], "c2": ["amenda", "viteza"], "c3": ["concediu", "medical"], "c4": ["taxe"]}
     avg = sum(map(len, docs.values())) / 4
     df = {t: sum(t in d for d in docs.values()) for t in {x for d in docs.values() for x in d}}
@@ -44,7 +44,45 @@ def test_bm25_by_formula(spark):
     score = lambda d: sum(idf[t] * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for t in ("odihna", "concediu", "concediu") if t in d)
     want = {k: round(score(d), 6) for k, d in docs.items() if score(d) > 0}
     assert got == pytest.approx(want) and "c1" in got
-    assert [r.chunk_id for r in lexical.bm25_search(q, corpus(spark), laws=["y"]).collect()] == [k for k in want if k == "c3"]
+    assert [r.chunk_id for r in lexical.bm25_search(q, lexical.token_index(corpus(spark)), laws=["y"]).collect()] == [k for k in want if k == "c3"]
+
+
+def test_inflected_words_meet_on_stems(spark):
+    q = spark.createDataFrame([(1, "taxelor"), (2, "amenda")], "qid long, question string")
+    assert {r.qid for r in lexical.bm25_search(q, lexical.token_index(corpus(spark))).collect()} == {2}
+    got = lexical.bm25_search(q, lexical.token_index(corpus(spark), stems=True), stems=True).collect()
+    assert {(r.qid, r.chunk_id) for r in got} == {(1, "c4"), (2, "c2")}
+
+
+def test_laws_filter_before_the_cut(spark):
+    v = spark.createDataFrame([(i, i, [1.0, i / 100], "x" if i < 40 else "y") for i in range(50)], "id long, pos long, vector array<double>, law_slug string")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vector array<double>")
+    assert {r.id for r in vectors.vector_search(q, v, 5, ["y"]).collect()} == {45, 46, 47, 48, 49} or {r.id for r in vectors.vector_search(q, v, 5, ["y"]).collect()} == set(range(40, 45))
+    chunks = corpus(spark)
+    bm = spark.createDataFrame([(1, "c1", 9.0, 1), (1, "c3", 8.0, 2)], "qid long, chunk_id string, score double, rank int")
+    asked = spark.createDataFrame([(1, "concediu")], "qid long, question string")
+    got = fusion.hybrid_search(asked, chunks, bm, None, None, fusion.SearchConfig(use_vector=False, use_rerank=False), laws=["y"]).collect()
+    assert [(r.law_slug, r.article) for r in got] == [("y", "c")]
+
+
+def test_all_variants(spark):
+    chunks, asked = corpus(spark), spark.createDataFrame([(1, "concediu medical")], "qid long, question string")
+    bm = spark.createDataFrame([(1, "c1", 9.0, 1), (1, "c3", 8.0, 2)], "qid long, chunk_id string, score double, rank int")
+    ve = spark.createDataFrame([(1, "c4", 0.9, 1), (1, "c3", 0.8, 2)], "qid long, chunk_id string, score double, rank int")
+    pin = spark.createDataFrame([(1, 0, "x", "b")], "qid long, ref_pos int, law_slug string, article string")
+    got = {}
+    for r in fusion.sweep(asked, chunks, bm, ve, pin, models.overlap_scorer).orderBy("rank").collect():
+        got.setdefault(r.variant, []).append(r.article)
+    assert got == {"bm25": ["a", "c"], "vector": ["d", "c"], "hybrid": ["c", "a", "d"], "hybrid_weighted": ["c", "d", "a"], "vector_rerank": ["c", "d"], "hybrid_rerank": ["c", "a", "d"], "hybrid_rerank_refs": ["b", "c", "a", "d"]}
+
+
+def test_judge_prompts(spark):
+    q = spark.createDataFrame([("1", "cine?", "nimeni"), ("2", "ce?", None), ("3", "fara raspuns", "x")], "id string, question string, answer_key string")
+    a = spark.createDataFrame([("1", "m1", "eu"), ("1", "m2", "tu"), ("2", "m1", None)], "id string, model string, answer string")
+    got = {r.id: (dict(r.labels), r.prompt) for r in evaluation.judge_prompts(q, a).collect()}
+    assert set(got) == {"1", "2"} and set(got["1"][0].values()) == {"m1", "m2"} and "m1" not in got["1"][1] and "nimeni" in got["1"][1]
+    order = [got["1"][0][x] for x in "AB"]
+    assert got["1"][1].index({"m1": "eu", "m2": "tu"}[order[0]]) < got["1"][1].index({"m1": "eu", "m2": "tu"}[order[1]]) and "# Key" not in got["2"][1]
 
 
 def test_rrf(spark):
