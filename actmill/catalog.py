@@ -22,7 +22,7 @@ def query(f):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return src.table(spark, d, "documents")
+    return src.spread(src.table(spark, d, "documents").select("doc_id", "text", "source", "n_chars"), "doc_id")
 
 
 # Text.

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table of fewer files than cores dealt over all cores by key; a larger one as it is read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def read_pages(spark: SparkSession, html_glob: str, meta_glob: str) -> DataFrame:
     """PAGE_META columns and html: whole files joined with their JSON by slug, the file name up to the first dot."""
     slug = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.", 1)
@@ -55,7 +61,7 @@ def write_metrics(metrics: DataFrame, details: DataFrame, path: str) -> None:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as an article of the act named by its source, its lines as units; doc_id is carried along."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), "doc_id")
     units = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     name = F.upper("source")
     return d.select(
@@ -95,7 +101,7 @@ def gold_pairs(asked: DataFrame, docs: DataFrame) -> DataFrame:
 
 def evaluation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, question, gold, type): gold are the articles that contain the passage."""
-    asked, docs = questions(spark, sf_dir), table(spark, sf_dir, "documents")
+    asked, docs = questions(spark, sf_dir), spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     keys = docs.select("doc_id", F.concat_ws(":", "source", F.col("doc_id").cast("string")).alias("key"))
     gold = gold_pairs(asked, docs.select("doc_id", "text")).join(keys, "doc_id").groupBy("qid").agg(F.array_sort(F.collect_set("key")).alias("gold"))
     out = asked.join(gold, "qid", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
