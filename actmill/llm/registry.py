@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,7 +72,9 @@ FROM l LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # The key of the session's configuration; a session without one gets a key that no one knows.
+    key = spark.conf.get("actmill.surrogate.key", None) or secrets.token_hex(32)
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op9_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
