@@ -8,7 +8,8 @@ doubling from one part to the next, and each document is cut anew for each part:
 the part's largest size. Any run of shingles as long as such an item lies inside a window, and item and window have a
 similarity of at least 0.19 where the item is contained. HASHES minima are compared; one that agrees makes the pair a
 candidate, which a contained item misses with odds of (1 - 0.19) ** 64, about 1e-6. The windows' minima come from the
-minima of blocks, doubled from one part to the next, so all parts cost little more than one. Candidates are verified by
+minima of blocks, doubled from one part to the next, so all parts cost little more than one. The first part's blocks are
+as small as the smallest item, so that this holds for an item of a single shingle too. Candidates are verified by
 exact containment in the whole document's shingles.
 
 The items are sent to the tasks in blocks of at most BLOCK_BYTES of text; one pass over the documents for each block.
@@ -41,9 +42,9 @@ _ADD = mix(np.arange(1, HASHES + 1, dtype=U64)).astype(np.uint32)
 _NONE = np.uint32(0xFFFFFFFF)
 
 
-def _part(size: int) -> int:
-    """Part p has items of up to BLOCK * 2**p shingles."""
-    return max(0, int(np.ceil(np.log2(max(size, 1) / BLOCK))))
+def _part(size: int, block: int) -> int:
+    """Part p has items of up to block * 2**p shingles."""
+    return max(0, int(np.ceil(np.log2(max(size, 1) / block))))
 
 
 class Items:
@@ -58,10 +59,12 @@ class Items:
         #: Distinct shingles of each item, and how many of them a document must have.
         self.shingles = [np.unique(sh[e - c : e]) for e, c in zip(ends, n, strict=True)]
         self.needs = [int(np.ceil(CONTAINED * len(s) - 1e-9)) for s in self.shingles]
+        #: Shingles of a block: as many as the smallest item has, rounded up to a power of two, BLOCK at most.
+        self.block = min(BLOCK, 1 << (min((len(s) for s in self.shingles if len(s)), default=BLOCK) - 1).bit_length())
         minima: dict[int, list[tuple[int, np.ndarray]]] = {}
         for at, s in enumerate(self.shingles):
             if len(s):
-                minima.setdefault(_part(len(s)), []).append((at, hashed(s).min(axis=1)))
+                minima.setdefault(_part(len(s), self.block), []).append((at, hashed(s).min(axis=1)))
         self.parts = {}
         for p, found in minima.items():
             which = np.array([at for at, _ in found])
@@ -77,7 +80,7 @@ class Items:
         if not self.parts:
             return []
         # A long document is searched in pieces that overlap by the widest window.
-        overlap = 2 * BLOCK << max(self.parts)
+        overlap = 2 * self.block << max(self.parts)
         step = max(PIECE, 8 * overlap)
         pieces = [(int(ends[d] - n[d] + at), int(min(n[d] - at, step + overlap)), int(d)) for d in np.flatnonzero(n) for at in range(0, int(n[d]), step)]
         candidates: set[tuple[int, int]] = set()
@@ -99,16 +102,16 @@ class Items:
     def _candidates(self, sh: np.ndarray, pieces: list[tuple[int, int, int]]) -> set[tuple[int, int]]:
         # Each piece starts a new block; the last one is padded with the largest value.
         n, name = np.array([p[1] for p in pieces]), np.array([p[2] for p in pieces])
-        blocks = -(-n // BLOCK)
+        blocks = -(-n // self.block)
         first = np.cumsum(blocks) - blocks
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place, source = within + np.repeat(first * BLOCK, n), within + np.repeat([p[0] for p in pieces], n)
+        place, source = within + np.repeat(first * self.block, n), within + np.repeat([p[0] for p in pieces], n)
         folded = _fold(sh[source])
         low = np.empty((HASHES, int(blocks.sum())), np.uint32)
         for i in range(HASHES):
-            row = np.full(low.shape[1] * BLOCK, _NONE, np.uint32)
+            row = np.full(low.shape[1] * self.block, _NONE, np.uint32)
             row[place] = _hash(folded, i)
-            low[i] = row.reshape(-1, BLOCK).min(axis=1)
+            low[i] = row.reshape(-1, self.block).min(axis=1)
         piece = np.repeat(np.arange(len(n)), blocks)
         found: set[tuple[int, int]] = set()
         for p in range(max(self.parts) + 1):

@@ -488,6 +488,15 @@ def test_containment_by_brute_force(spark):
         decontam.BLOCK_BYTES = old
 
 
+def test_tiny_items_inside_long_texts(spark):
+    """Items of one to four shingles are found in every text that holds them."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"tiny{i}x{j}" for j in range(i + 4))) for i in range(1, 5)]
+    docs = [(k, f"{words(rng, 40)} {items[k % 4][1]} {words(rng, 40)}") for k in range(1200)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert all(list(r.item_ids) == [items[r.doc_id % 4][0]] for r in decontam.contained_items(d, q).collect())
+
+
 def test_containment_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, "one two three")], "item_id long, text string")
     out = decontam.with_items(odd.withColumn("item_ids", F.lit("clash")), items)
