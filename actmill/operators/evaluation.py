@@ -2,24 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K_VALUES = (1, 3, 5, 10)
 MOST_MODELS = 1_000
+#: Bins of a group, of about as many rows each, among which a percentile is looked up.
+BINS = 64
 
 
 def rank_percentiles(df: DataFrame, keys: list[str], value: str, places: dict[str, float]) -> DataFrame:
-    """(*keys, *places): the sorted value at place floor(n * q) from 0, so the upper of two middle values at 0.5.
+    """(*keys, *places): the sorted value at place floor(n * q) from 0, q below 1, so the upper of two middle values at 0.5.
 
-    Values are counted by (keys, value) first, combined before the shuffle, so the window runs over distinct values.
-    Nulls are left out.
+    Values (numbers, dates or times) are counted by (keys, value) first, combined before the shuffle. Approximate
+    quantiles only choose where each group's values are cut into BINS bins; the counts of the bins tell the few that hold
+    a wanted place, and only their values are ordered, bin by bin. So no task orders a whole group, and results are exact.
+    Nulls are left out; a null key is a group.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    run = counted.withColumns({"_upto": F.sum("_c").over(w), "_n": F.sum("_c").over(Window.partitionBy(*keys))})
-    hit = lambda q: F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * q), F.col(value)))
-    return run.groupBy(*keys).agg(*(hit(q).alias(name) for name, q in places.items()))
+    known = df.filter(F.col(value).isNotNull())
+    counted = known.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    cuts = known.groupBy(*keys).agg(F.percentile_approx(value, [i / BINS for i in range(1, BINS)], 10 * BINS).alias("_cuts"))
+    binned = _joined(counted, cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda x: x <= F.col(value)))).drop("_cuts")
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_held").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_held")).withColumns({"_before": before, "_n": F.sum("_held").over(group)})
+    place = lambda q: F.floor(F.col("_n") * q)
+    holds = [(place(q) >= F.col("_before")) & (place(q) < F.col("_before") + F.col("_held")) for q in places.values()]
+    near = _joined(binned, bins.filter(reduce(Column.__or__, holds)), [*keys, "_bin"])
+    run = F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    hit = lambda q: F.min(F.when(F.col("_upto") > place(q), F.col(value)))
+    return near.withColumn("_upto", F.col("_before") + run).groupBy(*keys).agg(*(hit(q).alias(name) for name, q in places.items()))
+
+
+def _joined(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join by keys, a null key equal to a null key."""
+    named = facts.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return rows.join(named, same).drop(*(f"_of_{k}" for k in keys))
 
 
 def first_gold_rank(questions: DataFrame, hits: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -161,6 +162,19 @@ def test_logs(spark):
     assert {r.k: (r.p50, r.p90) for r in evaluation.rank_percentiles(p, ["k"], "v", {"p50": 0.5, "p90": 0.9}).collect()} == {"g": (3, 4), "h": (5, 5)}
 
 
+def test_percentiles_by_bins(spark):
+    rng = random.Random(3)
+    rows = [("hot", rng.choice((rng.random(), 0.5, rng.randrange(9)))) for _ in range(6000)] + [(None, rng.random()) for _ in range(700)] + [("one", 2.0), ("none", None)]
+    rows = [(k, None if v is None else float(v)) for k, v in rows]
+    places = {"low": 0.0, "p50": 0.5, "p90": 0.9, "high": 0.9999}
+    want = {}
+    for key in ("hot", None, "one"):
+        values = sorted(v for k, v in rows if k == key)
+        want[key] = tuple(values[int(len(values) * q)] for q in places.values())
+    got = evaluation.rank_percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", places).collect()
+    assert {r.k: (r.low, r.p50, r.p90, r.high) for r in got} == want
+
+
 def test_question_checks(spark):
     q = spark.createDataFrame([("1", "natural", ["x:1"], "k"), ("1", "odd", ["z:1"], "k"), ("2", "trap", [], " ")], "id string, type string, gold array<string>, answer_key string")
     got = {(r.id, r.problem) for r in quality.check_questions(q, spark.createDataFrame([("x",)], "law_slug string")).collect()}
