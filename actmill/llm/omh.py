@@ -37,7 +37,7 @@ from actmill.llm.arrays import BASE, OTHER_BASE, U64, checkpointed, lowered, mix
 SHINGLE_WORDS, LIKENESS = 5, 0.8
 ENTRIES, TUPLE, DEPTHS = 16, 3, 3
 #: Bins of a text's shingle counts, and members of one block where all pairs of a bucket are compared.
-BINS, BLOCK = 256, 256
+BINS, BLOCK = 128, 256
 _ODD = mix(np.arange(1, ENTRIES + 1, dtype=U64)) | U64(1)
 
 
@@ -141,20 +141,20 @@ def _shared(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> int:
 
 
 def binned(shingles: np.ndarray) -> bytes:
-    """The number of shingles (of 32 bits) in each bin, in two bytes; nothing for a text in which a bin overflows, which bounds no pair."""
-    counts = np.bincount(shingles >> 24, minlength=BINS)
-    return counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else b""
+    """The number of shingles (of 32 bits) in each bin, in a byte; nothing for a text in which a bin overflows, which bounds no pair."""
+    counts = np.bincount(shingles // ((1 << 32) // BINS), minlength=BINS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
 def possible(sizes: np.ndarray, bins: list[bytes], its_sizes: np.ndarray, its_bins: list[bytes]) -> np.ndarray:
     """Which pairs of two blocks can reach LIKENESS: a matrix. A pair has no more common shingles than its bins allow."""
     out = np.minimum.outer(sizes, its_sizes) >= LIKENESS * np.maximum.outer(sizes, its_sizes)
-    theirs = np.stack([np.frombuffer(x or bytes(2 * BINS), "<u2") for x in its_bins])
+    theirs = np.stack([np.frombuffer(x or bytes(BINS), np.uint8) for x in its_bins])
     open_ended = np.array([not x for x in its_bins])
     for i, x in enumerate(bins):
         at = np.flatnonzero(out[i] & ~open_ended)
         if x and len(at):
-            common = np.minimum(np.frombuffer(x, "<u2"), theirs[at]).sum(axis=1, dtype=np.int64)
+            common = np.minimum(np.frombuffer(x, np.uint8), theirs[at]).sum(axis=1, dtype=np.int64)
             out[i, at] = common / (sizes[i] + its_sizes[at] - common) >= LIKENESS
     return out
 
@@ -218,7 +218,10 @@ def most_linked(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFr
 
 
 def all_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFrame:
-    """In each bucket, every text with those of other classes that possible() leaves. Blocks of members meet, not rows."""
+    """In each bucket, every text with those of other classes that possible() leaves. Blocks of members meet, not rows.
+
+    A bucket of one block is judged where it was gathered; only blocks of larger buckets are shuffled again to meet.
+    """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,8 +230,12 @@ def all_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFram
 
     bins = seqs.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(counted, "key long, bins binary")
     dealt = members.join(bins, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)))
-    blocks = dealt.groupBy("value", "block").agg(F.collect_list(F.struct("key", "size", "label", "bins")).alias("own"))
-    met = blocks.join(blocks.select("value", F.col("block").alias("its_block"), F.col("own").alias("its")), "value").filter("block <= its_block")
+    gathered = lambda rows: rows.groupBy("value", "block").agg(
+        F.collect_list(F.struct("key", "size", "label", "bins")).alias("own")
+    )
+    alone = gathered(dealt.filter(F.col("n") <= BLOCK)).select("own", F.col("own").alias("its"))
+    blocks = gathered(dealt.filter(F.col("n") > BLOCK))
+    met = blocks.join(blocks.select("value", F.col("block").alias("its_block"), F.col("own").alias("its")), "value").filter("block <= its_block").select("own", "its").unionByName(alone)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,7 +246,7 @@ def all_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFram
                 low, high = np.minimum(k[i], its_k[j]), np.maximum(k[i], its_k[j])
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["hub", "key"])
 
-    return met.select("own", "its").mapInArrow(judge, "hub long, key long").distinct()
+    return met.mapInArrow(judge, "hub long, key long").distinct()
 
 
 def degrees(links: DataFrame) -> DataFrame:
