@@ -7,8 +7,8 @@ distance, not only with their sets. Colliding texts are candidates at three dept
 neighbouring entries. In each bucket every text is first a candidate of the bucket's smallest one, so a bucket of n
 texts gives n - 1 pairs, and the deeper buckets give a text nearer partners than the first one of a crowd. Where texts
 of several classes then still share an entry, they are compared with the one of most links, and last all pairs of
-different classes that share an entry are judged, block by block of a bucket: counts of shingles in BINS bins bound the
-number of common ones from above, and the pairs whose bound allows the likeness are aligned. So any two texts that share
+different classes that share an entry are judged, block by block of a bucket: counts of shingles in about as many bins as
+shingles bound the number of common ones from above, and the pairs whose bound allows the likeness are aligned. So any two texts that share
 an entry have been judged or are in one class already; deeper buckets hold no other pairs.
 
 A candidate pair is linked if banded alignment finds a common subsequence of c shingles, in order, with
@@ -36,8 +36,8 @@ from actmill.llm.arrays import BASE, OTHER_BASE, U64, checkpointed, lowered, mix
 
 SHINGLE_WORDS, LIKENESS = 5, 0.8
 ENTRIES, TUPLE, DEPTHS = 16, 3, 3
-#: Bins of a text's shingle counts, and members of one block where all pairs of a bucket are compared.
-BINS, BLOCK = 128, 256
+#: Fewest and most bins of a text's shingle counts, and members of one block where all pairs of a bucket are compared.
+FEWEST_BINS, MOST_BINS, BLOCK = 512, 2048, 256
 _ODD = mix(np.arange(1, ENTRIES + 1, dtype=U64)) | U64(1)
 
 
@@ -141,21 +141,34 @@ def _shared(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> int:
 
 
 def binned(shingles: np.ndarray) -> bytes:
-    """The number of shingles (of 32 bits) in each bin, in a byte; nothing for a text in which a bin overflows, which bounds no pair."""
-    counts = np.bincount(shingles // ((1 << 32) // BINS), minlength=BINS)
+    """The number of shingles (of 32 bits) in each bin, in a byte; nothing for a text in which a bin overflows, which bounds no pair.
+
+    The bins are a power of two, not fewer than the shingles within the limits, so that the bound of long texts is as
+    tight as that of short ones.
+    """
+    bins = min(max(1 << (len(shingles) - 1).bit_length(), FEWEST_BINS), MOST_BINS)
+    counts = np.bincount(shingles // ((1 << 32) // bins), minlength=bins)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def folded(counts: np.ndarray, bins: int) -> np.ndarray:
+    """The same counts in fewer bins."""
+    return counts if counts.shape[-1] == bins else counts.reshape(*counts.shape[:-1], bins, -1).sum(axis=-1, dtype=np.uint16)
+
+
 def possible(sizes: np.ndarray, bins: list[bytes], its_sizes: np.ndarray, its_bins: list[bytes]) -> np.ndarray:
     """Which pairs of two blocks can reach LIKENESS: a matrix. A pair has no more common shingles than its bins allow."""
     out = np.minimum.outer(sizes, its_sizes) >= LIKENESS * np.maximum.outer(sizes, its_sizes)
-    theirs = np.stack([np.frombuffer(x or bytes(BINS), np.uint8) for x in its_bins])
-    open_ended = np.array([not x for x in its_bins])
+    held = np.array([len(x) for x in its_bins])
+    groups = {n: np.flatnonzero(held == n) for n in np.unique(held[held > 0]).tolist()}
+    theirs = {n: np.stack([np.frombuffer(its_bins[j], np.uint8) for j in at]) for n, at in groups.items()}
     for i, x in enumerate(bins):
-        at = np.flatnonzero(out[i] & ~open_ended)
-        if x and len(at):
-            common = np.minimum(np.frombuffer(x, np.uint8), theirs[at]).sum(axis=1, dtype=np.int64)
-            out[i, at] = common / (sizes[i] + its_sizes[at] - common) >= LIKENESS
+        for n, at in groups.items() if x else ():
+            fit = out[i, at]
+            if fit.any():
+                fewer = min(n, len(x))
+                common = np.minimum(folded(np.frombuffer(x, np.uint8), fewer), folded(theirs[n][fit], fewer)).sum(axis=1, dtype=np.int64)
+                out[i, at[fit]] = common / (sizes[i] + its_sizes[at[fit]] - common) >= LIKENESS
     return out
 
 

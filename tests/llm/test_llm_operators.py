@@ -126,6 +126,21 @@ def test_banded_alignment_equals_full(spark):
             assert omh.alike(a, b) < 0.8
 
 
+def test_bound_of_pairs_loses_no_alike_texts_of_any_length():
+    rng = np.random.default_rng(5)
+    base, seqs = rng.integers(0, 1 << 32, 5000, dtype=np.uint32), [np.full(300, 7, np.uint32)]
+    for n in (1, 5, 500, 520, 1000, 1100, 2047, 2300, 4900):
+        for share in (0, 0.05, 0.1, 0.3):
+            seq = base[:n].copy()
+            seq[rng.choice(n, int(n * share), False)] = rng.integers(0, 1 << 32, int(n * share), dtype=np.uint32)
+            seqs.append(seq)
+    sizes, bins = np.array([len(x) for x in seqs]), [omh.binned(x) for x in seqs]
+    kept = omh.possible(sizes, bins, sizes, bins)
+    alike = np.array([[omh.alike(a, b) >= omh.LIKENESS for b in seqs] for a in seqs])
+    assert not bins[0] and not (alike & ~kept).any()
+    assert (kept & ~alike)[1:, 1:].mean() < 0.1
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     rows = omh.near_duplicate_classes(odd).collect()
     assert len(rows) == odd.count()
