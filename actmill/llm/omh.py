@@ -230,7 +230,12 @@ def most_linked(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFr
     return fit.select(F.least("key", "best.key").alias("hub"), F.greatest("key", "best.key").alias("key")).distinct()
 
 
-def all_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFrame:
+def nearest_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Of all_pairs(), in each block one pair of any two classes: so large classes of one group merge before their pairs are judged."""
+    return all_pairs(members, links, seqs, one_each=True)
+
+
+def all_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame, one_each: bool = False) -> DataFrame:
     """In each bucket, every text with those of other classes that possible() leaves. Blocks of members meet, not rows.
 
     A bucket of one block is judged where it was gathered; only blocks of larger buckets are shuffled again to meet.
@@ -256,6 +261,13 @@ def all_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFram
                 (k, n, c, x), (its_k, its_n, its_c, its_x) = ([col[row].values.field(f) for f in range(4)] for col in (b.column(0), b.column(1)))
                 k, n, c, its_k, its_n, its_c = (z.to_numpy() for z in (k, n, c, its_k, its_n, its_c))
                 i, j = np.nonzero(possible(n, x.to_pylist(), its_n, its_x.to_pylist()) & np.not_equal.outer(c, its_c))
+                if one_each and len(i):
+                    # nearest in size first: of a pair of classes the one of least difference
+                    near = np.argsort(np.abs(n[i] - its_n[j]), kind="stable")
+                    i, j = i[near], j[near]
+                    pair = np.stack([np.minimum(c[i], its_c[j]), np.maximum(c[i], its_c[j])], axis=1)
+                    first = np.unique(pair, axis=0, return_index=True)[1]
+                    i, j = i[first], j[first]
                 low, high = np.minimum(k[i], its_k[j]), np.maximum(k[i], its_k[j])
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["hub", "key"])
 
@@ -330,7 +342,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     seqs = checkpointed(sequences(docs, tried))  # of all texts that share a bucket, hence of all later pairs
     links = checkpointed(verified(seqs, tried))
     classes = components(links)
-    for chosen in (most_linked, all_pairs):
+    for chosen in (most_linked, nearest_pairs, all_pairs):
         pairs = checkpointed(chosen(unsettled(sketches, classes), links, seqs).join(tried, ["hub", "key"], "left_anti"))
         found = checkpointed(verified(seqs, pairs))
         if not found.isEmpty():
