@@ -6,7 +6,8 @@ function and keeps their order in the text; texts collide in an entry with a cha
 distance, not only with their sets. Colliding texts are candidates at three depths: one entry, two and three
 neighbouring entries. In each bucket every text is first a candidate of the bucket's smallest one, so a bucket of n
 texts gives n - 1 pairs, and the deeper buckets give a text nearer partners than the first one of a crowd. Where texts
-of several classes then still share an entry, they are compared with the one of most links, and last all pairs of
+of several classes then still share an entry, they are compared with the one of most links; then each two classes that
+meet in a block are tried by one pair, the one nearest in size, to merge large classes of one group; last all pairs of
 different classes that share an entry are judged, block by block of a bucket: counts of shingles in about as many bins as
 shingles bound the number of common ones from above, and the pairs whose bound allows the likeness are aligned. So any two texts that share
 an entry have been judged or are in one class already; deeper buckets hold no other pairs.
