@@ -11,9 +11,12 @@ from actmill.llm.bpe import with_tokens
 from actmill.llm.decontam import contained_items
 from actmill.llm.langid import predicted_languages
 from actmill.llm.linededup import lines_deduplicated
+from actmill.llm.merkle import tampering_report
 from actmill.llm.multiset import edited_neighbours
 from actmill.llm.omh import near_duplicate_classes
 from actmill.llm.quality import quality_scores
+from actmill.llm.sharding import document_shards
+from actmill.llm.sql import OP11_SQL, op12_sql
 from actmill.llm.sufdedup import repeated_strings_removed
 from actmill.llm.surrogate import pseudonymised
 from actmill.llm.toxicity import toxicity_scores
@@ -94,7 +97,18 @@ SELECT d.doc_id, coalesce(item_ids, []::BIGINT[]) AS item_ids, item_ids IS NOT N
 FROM documents d LEFT JOIN per USING (doc_id)
 """
 
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampering_report(table(spark, sf_dir, "documents"))
+
+
+def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op12_feistel_shards": op12_feistel_shards,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op9_transducer_bpe": op9_transducer_bpe,
     "op3_surrogates": op3_surrogates,
     "op8_line_winnowing": op8_line_winnowing,
@@ -109,4 +123,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op7_containment": OP7_SQL,
     "op8_line_winnowing": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_feistel_shards": op12_sql(),
 }
