@@ -7,6 +7,7 @@ import secrets
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from actmill.llm.alignment import token_alignment
 from actmill.llm.bpe import with_tokens
 from actmill.llm.decontam import contained_items
 from actmill.llm.langid import predicted_languages
@@ -106,7 +107,12 @@ def op12_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_shards(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op13_token_alignment": op13_token_alignment,
     "op12_feistel_shards": op12_feistel_shards,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op9_transducer_bpe": op9_transducer_bpe,
