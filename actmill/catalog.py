@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actmill.catalog_sql import ORACLE_SQL
 from actmill.functions import citations as cit
 from actmill.functions import html, refs, text
-from actmill.operators import chunking, evaluation, fusion, ingest, lexical, models, quality, sync, vectors
-from actmill.operators.storage import stored
+from actmill import schemas
+from actmill.operators import ann, chunking, evaluation, fusion, ingest, lexical, models, postings, quality, sync, vectors
+from actmill.operators.snapshot import Snapshot
+from actmill.operators.storage import shared_folder, stored
 from actmill.sources import tables as src
 
 QUERIES = {}
@@ -140,6 +144,16 @@ def parse_pages(spark: SparkSession, d: str) -> DataFrame:
     return articles
 
 
+@query
+def hierarchy_paths(spark: SparkSession, d: str) -> DataFrame:
+    # Each page's own markup as the body of an article, below a title and, for every other page, a chapter.
+    n = F.col("page_id")
+    title = F.concat(F.lit('<div class="S_TTL"><span class="S_TTL_TTL">Partea '), n, F.lit('</span><span class="S_TTL_DEN">despre '), n % 7, F.lit("</span>"))
+    chapter = F.when(n % 2 == 0, F.concat(F.lit('<div class="S_CAP"><span class="S_CAP_TTL">Grupa '), n % 5, F.lit("</span>"))).otherwise("")
+    html_of = F.concat(title, chapter, F.lit('<div class="S_ART"><span class="S_ART_TTL">Articolul 1</span><div class="S_ART_BDY">'), "html", F.lit("</div></div>"))
+    return html.raw_articles(src.table(spark, d, "pages").select("page_id", html_of.alias("html"))).select("page_id", "heading", "hierarchy")
+
+
 # Chunks.
 
 
@@ -193,6 +207,14 @@ def sync_apply(spark: SparkSession, d: str) -> DataFrame:
     return sync.apply_sync(old, _wanted(spark, d), lambda todo: todo.withColumn("origin", F.lit("embedded")))
 
 
+@query
+def snapshot_sync(spark: SparkSession, d: str) -> DataFrame:
+    table = Snapshot(spark, f"{shared_folder(spark)}/snapshot-{uuid.uuid4()}", "id long, hash string, origin string", 16)
+    table.sync(_existing(spark, d).select("id", "hash"), lambda todo: todo.withColumn("origin", F.lit("kept")))
+    table.sync(_wanted(spark, d).select("id", "hash"), lambda todo: todo.withColumn("origin", F.lit("embedded")))
+    return table.read()
+
+
 @query
 def embed_hash(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", sync.embed_column(models.hashing_encoder(), F.col("text")).alias("embedding"))
@@ -232,6 +254,27 @@ def bm25_law_filter(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, LAW_FILTER)
 
 
+def _limited(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with their own acts: two for a third of them, an empty list and none for the others."""
+    laws = F.when(F.col("qid") % 3 == 0, F.array(F.lit("src1"), F.lit("src5"))).when(F.col("qid") % 3 == 1, F.array().cast("array<string>"))
+    return src.questions(spark, d).withColumn("laws", laws)
+
+
+@query
+def bm25_laws_each(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.bm25_search(_limited(spark, d), lexical.token_index(src.chunks(spark, d)))
+
+
+@query
+def bm25_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return postings.pruned_search(src.questions(spark, d), postings.postings(lexical.token_index(src.chunks(spark, d))))
+
+
+@query
+def bm25_skipped(spark: SparkSession, d: str) -> DataFrame:
+    return postings.skipped_share(src.questions(spark, d), postings.postings(lexical.token_index(src.chunks(spark, d))))
+
+
 @query
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     v = src.table(spark, d, "embeddings")
@@ -239,17 +282,38 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return vectors.vector_search(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), corpus, 10)
 
 
+@query
+def vector_laws_each(spark: SparkSession, d: str) -> DataFrame:
+    v = src.document_vectors(spark, d).withColumn("law_slug", F.substring_index("id", ":", 1))
+    asked = src.question_vectors(spark, d).join(_limited(spark, d).select("qid", "laws"), "qid")
+    return vectors.vector_search(asked, v).withColumnRenamed("id", "chunk_id")
+
+
 @query
 def vector_law_filter(spark: SparkSession, d: str) -> DataFrame:
     v = src.document_vectors(spark, d).withColumn("law_slug", F.substring_index("id", ":", 1))
     return vectors.vector_search(src.question_vectors(spark, d), v, laws=LAW_FILTER).withColumnRenamed("id", "chunk_id")
 
 
-@query
-def ann_search(spark: SparkSession, d: str) -> DataFrame:
+def _embeddings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = src.table(spark, d, "embeddings")
     corpus = v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
-    return vectors.ann_search(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), corpus, 10)
+    return v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), corpus
+
+
+@query
+def ann_search(spark: SparkSession, d: str) -> DataFrame:
+    asked, corpus = _embeddings(spark, d)
+    return ann.search(asked, corpus, ann.build(corpus))
+
+
+@query
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the exact search's rows, whether the index finds nine tenths at least, and as many rows for every question."""
+    asked, corpus = _embeddings(spark, d)
+    found, exact = stored(ann.search(asked, corpus, ann.build(corpus))), vectors.vector_search(asked, corpus, 10)
+    told = ann.recall(found, exact).join(found.groupBy("qid").agg(F.count("*").alias("given")), "qid", "left")
+    return told.agg(F.count("*").alias("n_queries"), (F.sum("hit") >= 0.9 * F.sum("n")).alias("enough"), F.every(F.col("given") == F.col("n")).alias("full"))
 
 
 def _vector(spark: SparkSession, d: str) -> DataFrame:
@@ -301,6 +365,14 @@ def hybrid_top5(spark: SparkSession, d: str) -> DataFrame:
     return hits.withColumn("score", F.when(F.col("explicit"), -1.0).otherwise(F.col("score")))
 
 
+@query
+def hybrid_laws(spark: SparkSession, d: str) -> DataFrame:
+    """Each question inside its own acts; its explicit references in any."""
+    chunks, asked = src.chunks(spark, d), _limited(spark, d)
+    hits = fusion.hybrid_search(asked, chunks, bm25_laws_each(spark, d), vector_laws_each(spark, d), _pins(spark, d), fusion.SearchConfig(use_rerank=False))
+    return hits.withColumn("score", F.when(F.col("explicit"), -1.0).otherwise(F.col("score")))
+
+
 # References and citations.
 
 
@@ -444,6 +516,46 @@ def compare_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query
+def compare_articles(spark: SparkSession, d: str) -> DataFrame:
+    # Three vectors in a row are an article's chunks; gold are the other articles with a vector of the question's label.
+    v = src.table(spark, d, "embeddings").select("vec_id", "label", F.concat(F.lit("art"), F.floor(F.col("vec_id") / 3)).alias("key"), F.col("embedding").cast("array<double>").alias("full"))
+    models_of = F.explode(F.array(F.struct(F.lit("full").alias("model"), F.col("full").alias("vector")), F.struct(F.lit("half").alias("model"), sync.l2_normalize(F.slice("full", 1, 32)).alias("vector"))))
+    rows = v.select("vec_id", "key", models_of.alias("m")).select("m.model", F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), "key", "m.vector")
+    asked = rows.filter("id % 100 = 0").select("model", F.col("id").alias("qid"), "vector")
+    own = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label", F.col("key").alias("own"))
+    gold = own.join(v.select("label", "key").distinct(), "label").filter("key <> own").groupBy("qid").agg(F.array_sort(F.collect_set("key")).alias("gold"))
+    return evaluation.compare_models(rows, asked, gold)
+
+
+@query
+def log_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The answer log appended in two batches, the first one twice."""
+    rows, path = src.answer_log(spark, d).drop("seq"), f"{shared_folder(spark)}/log-{uuid.uuid4()}"
+    for batch, kept in (("a", "model <> 'm2'"), ("a", "model <> 'm2'"), ("b", "model = 'm2'")):
+        src.append_log(rows.filter(kept), path, batch)
+    log = src.read_log(spark, path, schemas.ANSWER_LOG)
+    return log.groupBy((F.col("model") != "m2").alias("first")).agg(F.count("*").alias("n"), F.countDistinct("seq").alias("n_seq"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+
+
+@query
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    # A conversation's first question, the last answers of three models, and two documents as what they go by.
+    c = src.table(spark, d, "conversations")
+    key = F.when(F.col("conv_id") % 3 == 1, " ").when(F.col("conv_id") % 3 == 2, F.concat(F.lit("key "), "conv_id"))
+    asked = c.filter("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q")).select(F.col("conv_id").cast("string").alias("id"), F.col("q.text").alias("question"), key.alias("answer_key"))
+    answers = c.filter("role = 'assistant'").groupBy("conv_id", F.concat(F.lit("m"), F.col("turn") % 3).alias("model")).agg(F.max(F.struct("turn", "text")).alias("a"))
+    given = c.filter("conv_id % 4 <> 0").select("conv_id").distinct().select("conv_id", F.posexplode(F.array(F.col("conv_id"), F.col("conv_id") + 1)).alias("at", "doc_id"))
+    header = F.concat(F.upper("source"), F.lit(": "), "doc_id")
+    sources = given.join(docs(spark, d), "doc_id").select(F.col("conv_id").cast("string").alias("id"), (F.col("at") + 1).alias("rank"), header.alias("header"), F.array("text").alias("bodies"), (1 + F.col("doc_id") % 2).alias("n_parts"))
+    told = evaluation.judge_prompts(asked, answers.select(F.col("conv_id").cast("string").alias("id"), "model", F.col("a.text").alias("answer")), sources)
+    return told.select("id", _labels(), "prompt")
+
+
+def _labels():
+    return F.transform(F.map_entries("labels"), lambda x: F.concat(x["key"], F.lit("="), x["value"])).alias("labels")
+
+
 @query
 def latest_logs(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.latest_answers(src.answer_log(spark, d)).select("id", "model", "seq", "latency_ms", "cited")
@@ -473,7 +585,7 @@ def answer_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def judge_batch(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.judge_batch(src.answer_log(spark, d)).select("id", F.map_entries("labels").alias("labels"))
+    return evaluation.judge_batch(src.answer_log(spark, d)).select("id", _labels())
 
 
 @query

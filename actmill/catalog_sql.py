@@ -52,8 +52,13 @@ ve AS (SELECT qid, chunk_id, score, rank FROM (SELECT qid, chunk_id, score, row_
   FROM (SELECT qid, chunk_id, doc_id, round(list_dot_product(qv.v, dv.v), 6) AS score FROM qv, dv)) WHERE rank <= 30)"""
 
 
-def _fused(weight: float = 1.0) -> str:
-    return f"""{_bm25()}, {VECTOR},
+#: Each question's own acts, as the queries give them.
+EACH = "(qid % 3 <> 0 OR {} IN ('src1', 'src5'))"
+VECTOR_EACH = VECTOR.replace("FROM qv, dv)", f"FROM qv, dv WHERE {EACH.format("split_part(chunk_id, ':', 1)")})")
+
+
+def _fused(weight: float = 1.0, where: str = "true", vector: str = VECTOR) -> str:
+    return f"""{_bm25(where)}, {vector},
 lists AS (SELECT qid, chunk_id, rank, 'bm25' AS method, 0 AS pos, {weight}::DOUBLE AS weight FROM bm UNION ALL SELECT qid, chunk_id, rank, 'vector', 1, 1.0::DOUBLE FROM ve),
 fu AS (SELECT qid, chunk_id, round(sum(weight / (60 + rank)), 9) AS score, min((pos, rank)) AS seen, list(DISTINCT method ORDER BY method) AS methods FROM lists GROUP BY 1, 2),
 fused AS (SELECT qid, chunk_id, score, methods, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, chunk_id)::INT AS fused_rank FROM fu)"""
@@ -172,6 +177,31 @@ SELECT qid, chunk_id, score, fused_rank, row_number() OVER (PARTITION BY qid ORD
     "hybrid_top5": f"""WITH RECURSIVE {_fused()}, {GROUPED}, {PINS},
 every AS (SELECT qid, law_slug, article, -1.0::DOUBLE AS score, true AS explicit, ['ref'] AS sources, parts, ref_pos AS spot FROM pins UNION ALL SELECT qid, law_slug, article, score, false, sources, parts, best_rank FROM arts ANTI JOIN pins USING (qid, law_slug, article))
 SELECT * EXCLUDE (spot) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY explicit DESC, spot, law_slug, article)::INT AS rank FROM every) WHERE rank <= 5""",
+    "hybrid_laws": f"""WITH RECURSIVE {_fused(where=EACH.format('law_slug'), vector=VECTOR_EACH)}, {GROUPED}, {PINS},
+every AS (SELECT qid, law_slug, article, -1.0::DOUBLE AS score, true AS explicit, ['ref'] AS sources, parts, ref_pos AS spot FROM pins UNION ALL SELECT qid, law_slug, article, score, false, sources, parts, best_rank FROM arts ANTI JOIN pins USING (qid, law_slug, article))
+SELECT * EXCLUDE (spot) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY explicit DESC, spot, law_slug, article)::INT AS rank FROM every) WHERE rank <= 5""",
+    "bm25_pruned": f"WITH RECURSIVE {_bm25()} SELECT qid, chunk_id, score, rank FROM bm",
+    "bm25_laws_each": f"WITH RECURSIVE {_bm25(EACH.format('law_slug'))} SELECT qid, chunk_id, score, rank FROM bm",
+    "vector_laws_each": f"WITH {VECTOR_EACH} SELECT qid, chunk_id, score, rank FROM ve",
+    "ann_recall": "SELECT count(*) AS n_queries, true AS enough, true AS full FROM embeddings WHERE vec_id % 100 = 0",
+    "snapshot_sync": "SELECT doc_id AS id, left(sha256(text), 16) AS hash, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'embedded' ELSE 'kept' END AS origin FROM documents",
+    "hierarchy_paths": "SELECT page_id, 'Articolul 1' AS heading, CASE WHEN page_id % 2 = 0 THEN ['Partea ' || page_id || ' - despre ' || (page_id % 7), 'Grupa ' || (page_id % 5)] ELSE ['Partea ' || page_id || ' - despre ' || (page_id % 7)] END AS hierarchy FROM pages",
+    "compare_articles": f"""WITH m AS (SELECT vec_id, label, 'full' AS model, 64 AS dim, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id, label, 'half', 32, list_transform(h, lambda x: x / sqrt(list_dot_product(h, h))) FROM (SELECT vec_id, label, (embedding::DOUBLE[])[1:32] AS h FROM embeddings)),
+s AS (SELECT q.model, q.dim, q.vec_id AS qid, q.label AS want, c.vec_id // 3 AS art, max(round(list_dot_product(q.v, c.v), 6)) AS score, arg_max(c.vec_id, (round(list_dot_product(q.v, c.v), 6), -c.vec_id)) AS pos FROM m q JOIN m c ON q.model = c.model WHERE q.vec_id % 100 = 0 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY model, qid ORDER BY score DESC, pos) AS k FROM s), g AS (SELECT DISTINCT label AS want, vec_id // 3 AS art, true AS gold FROM embeddings),
+r AS (SELECT model, dim, qid, min(k) FILTER (gold AND art <> qid // 3 AND k <= 10) AS rank FROM k LEFT JOIN g USING (want, art) GROUP BY 1, 2, 3) SELECT model, {_METRICS}, dim::INT AS dim FROM r GROUP BY model, dim""",
+    "log_batches": f"""WITH {LOGS}, c AS (SELECT model <> 'm2' AS first, count(*) AS n FROM log GROUP BY 1)
+SELECT first, n, n AS n_seq, coalesce((SELECT n FROM c f WHERE f.first AND NOT c.first), 0) AS low, coalesce((SELECT n FROM c f WHERE f.first AND NOT c.first), 0) + n - 1 AS high FROM c""",
+    "judge_batch": f"""WITH {LOGS}, o AS (SELECT id, model, chr((64 + row_number() OVER (PARTITION BY id ORDER BY sha256(id || ':' || model), model))::INT) AS label FROM last_answers)
+SELECT id, list(label || '=' || model ORDER BY label) AS labels FROM o GROUP BY 1""",
+    "judge_prompts": """WITH q AS (SELECT conv_id, min((turn, text))[2] AS question, CASE conv_id % 3 WHEN 1 THEN ' ' WHEN 2 THEN 'key ' || conv_id END AS key FROM conversations WHERE role = 'user' GROUP BY conv_id),
+a AS (SELECT conv_id, 'm' || (turn % 3) AS model, max((turn, text))[2] AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+o AS (SELECT *, chr((64 + row_number() OVER (PARTITION BY conv_id ORDER BY sha256(conv_id || ':' || model), model))::INT) AS label FROM a),
+p AS (SELECT conv_id, list(label || '=' || model ORDER BY label) AS labels, string_agg('## ' || label || chr(10) || answer, chr(10) || chr(10) ORDER BY label) AS shown FROM o GROUP BY 1),
+g AS (SELECT conv_id, unnest([1, 2]) AS rank, unnest([conv_id, conv_id + 1]) AS doc_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 <> 0)),
+s AS (SELECT conv_id, string_agg('[' || rank || '] ' || upper(source) || ': ' || doc_id || CASE WHEN doc_id % 2 = 1 THEN ' (extras)' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS given FROM g JOIN documents USING (doc_id) GROUP BY 1)
+SELECT conv_id::VARCHAR AS id, labels, '# Question' || chr(10) || question || chr(10) || chr(10) || CASE WHEN given IS NULL THEN '' ELSE '# Sources' || chr(10) || given || chr(10) || chr(10) END
+  || CASE WHEN trim(coalesce(key, '')) = '' THEN '' ELSE '# Key' || chr(10) || key || chr(10) || chr(10) END || '# Answers' || chr(10) || chr(10) || shown AS prompt FROM p JOIN q USING (conv_id) LEFT JOIN s USING (conv_id)""",
     "detect_laws": f"WITH {SCRIPTED} SELECT qid, laws FROM law",
     "detect_refs": f"""WITH {SCRIPTED}, n AS (SELECT qid, laws[1] AS law_slug, CASE WHEN coalesce(s, '') = '' THEN a ELSE a || '^' || s END AS article, i FROM (SELECT qid, laws, unnest(regexp_extract_all(plain, {_ART}, 1)) AS a, unnest(regexp_extract_all(plain, {_ART}, 2)) AS s, unnest(range(len(regexp_extract_all(plain, {_ART}, 1)))) AS i FROM law WHERE len(laws) = 1)),
 f AS (SELECT qid, law_slug, article, min(i) AS i FROM n GROUP BY 1, 2, 3) SELECT qid, law_slug, article, (row_number() OVER (PARTITION BY qid ORDER BY i) - 1)::INT AS ref_pos FROM f""",
@@ -203,7 +233,7 @@ p AS (SELECT model, list_sort(list(latency_ms)) AS l FROM r GROUP BY 1), e AS (S
 f AS (SELECT model, count(*) AS n, round(avg(correctness / 2.0::DOUBLE), 6) AS score, round(avg((correctness = 2)::INT), 6) AS fully_correct, round(avg(faithful::INT), 6) AS faithful, round(avg(list_has_any(cited, gold)::INT) FILTER (len(gold) > 0), 6) AS cites_gold,
   round(avg(refused::INT) FILTER (len(gold) = 0), 6) AS correct_refusals, round(avg(refused::INT) FILTER (len(gold) > 0 AND type <> 'trap'), 6) AS false_refusals, round(avg((correctness = 2)::INT) FILTER (type = 'trap'), 6) AS traps,
   sum(len(invalid_citations))::BIGINT AS invalid_citations, round(avg(output_tokens), 6) AS output_tokens FROM r GROUP BY 1)
-SELECT f.*, l[(floor(len(l) * 0.5) + 1)::INT] / 1000.0::DOUBLE AS latency_p50_s, l[(floor(len(l) * 0.9) + 1)::INT] / 1000.0::DOUBLE AS latency_p90_s, coalesce(errors, 0) AS errors FROM f JOIN p USING (model) LEFT JOIN e USING (model)""",
+SELECT f.* EXCLUDE (n), coalesce(n, 0) AS n, judged - coalesce(n, 0) AS dropped, l[(floor(len(l) * 0.5) + 1)::INT] / 1000.0::DOUBLE AS latency_p50_s, l[(floor(len(l) * 0.9) + 1)::INT] / 1000.0::DOUBLE AS latency_p90_s, coalesce(errors, 0) AS errors FROM (SELECT model, count(*) AS judged FROM newest GROUP BY 1) LEFT JOIN f USING (model) LEFT JOIN p USING (model) LEFT JOIN e USING (model)""",
     "rank_percentile": "SELECT event_type, l[(floor(len(l) * 0.5) + 1)::INT] AS p50, l[(floor(len(l) * 0.9) + 1)::INT] AS p90 FROM (SELECT event_type, list_sort(list(value) FILTER (value IS NOT NULL)) AS l FROM events GROUP BY 1)",
     "dq_questions": f"""WITH {GOLD}, q AS (SELECT (qid - CASE WHEN qid % 10 = 9 THEN 1 ELSE 0 END)::VARCHAR AS id, CASE WHEN qid % 8 = 1 THEN 'other' ELSE type END AS type, gold, CASE WHEN qid % 6 = 5 THEN ' ' ELSE question END AS answer_key FROM ask)
 SELECT id, 'repeated id' AS problem FROM q GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'unknown type' FROM q WHERE type = 'other' UNION ALL SELECT id, 'gold against type' FROM q WHERE (len(gold) = 0) <> (type = 'unanswerable')

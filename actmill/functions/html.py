@@ -10,11 +10,13 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from actmill.operators.ingest import AMENDMENT_NOTE
+
 # Classes of the markup.
 HIERARCHY = ("S_ANX", "S_TTL", "S_CAP", "S_SEC", "S_PRG")
 BLOCKS = frozenset(("S_ALN", "S_LIT", "S_PCT", "S_LIN", "S_PAR"))
-NOTE = re.compile(r"^\(la (data de )?\d{2}-\d{2}-\d{4}")
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
+NOTE = re.compile(AMENDMENT_NOTE)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -108,19 +110,21 @@ def _clean(root: Node) -> None:
 
 def _rendered(node: Node) -> str:
     out: list[str] = []
-
-    def emit(n: Node) -> None:
-        for c in n.children:
+    open_nodes: list[tuple[Node, Iterator[Node | str]]] = [(node, iter(node.children))]
+    while open_nodes:  # a stack of its own: markup may be nested deeper than calls can be
+        n, rest = open_nodes[-1]
+        for c in rest:
             if isinstance(c, str):
                 out.append(c)
                 continue
             if BLOCKS.intersection(c.classes):
                 out.append("\n")
-            emit(c)
-            if any(x.endswith("_TTL") for x in c.classes):
+            open_nodes.append((c, iter(c.children)))
+            break
+        else:
+            open_nodes.pop()
+            if n is not node and any(x.endswith("_TTL") for x in n.classes):
                 out.append(" ")
-
-    emit(node)
     lines = (BLANKS.sub(" ", x).strip() for x in "".join(out).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -155,15 +159,27 @@ def article_rows(html: str) -> list[dict]:
     return rows
 
 
+#: What a page's markup can make the walk raise; anything else is a fault of the program and stops the job.
+BAD_MARKUP = (AssertionError, IndexError, KeyError, RecursionError, ValueError)
+
+
+def page_rows(html: str) -> list[dict]:
+    """article_rows(), or for a page that cannot be read one row that says why."""
+    try:
+        return article_rows(html)
+    except BAD_MARKUP as e:
+        return [{"heading": None, "title": "", "hierarchy": [], "units": [], "references": [], "problem": f"not read: {type(e).__name__}: {e}"[:200]}]
+
+
 RAW = "page_id BIGINT, pos INT, heading STRING, title STRING, hierarchy ARRAY<STRING>, units ARRAY<STRING>, references ARRAY<STRING>, problem STRING"
 
 
 def raw_articles(pages: DataFrame) -> DataFrame:
-    """One row for each article of pages(page_id, html)."""
+    """One row for each article of pages(page_id, html); a page that cannot be read has one row with its problem."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [{"page_id": i, "pos": k, **r} for i, html in zip(b.page_id, b.html, strict=True) for k, r in enumerate(article_rows(html or ""))]
+            rows = [{"page_id": i, "pos": k, **r} for i, html in zip(b.page_id, b.html, strict=True) for k, r in enumerate(page_rows(html or ""))]
             yield pd.DataFrame(rows, columns=["page_id", "pos", "heading", "title", "hierarchy", "units", "references", "problem"])
 
     return pages.select("page_id", "html").mapInPandas(task, RAW)

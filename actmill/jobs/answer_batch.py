@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from actmill import schemas
 from actmill.functions import citations, refs, text
 from actmill.operators import chunking, evaluation, fusion, lexical, models, sync, vectors
+from actmill.operators.snapshot import Snapshot
 from actmill.sources import tables
 
 
@@ -26,7 +27,8 @@ def ranked(questions: DataFrame, chunks: DataFrame, laws: list[str] | None = Non
     bm25 = lexical.bm25_search(questions, index, laws=laws, stems=True)
     near = None
     if vectors_of is not None and encoder is not None:
-        asked = questions.select("qid", sync.embed_column(encoder, F.col("question")).alias("vector"))
+        limit = [c for c in ("laws",) if c in questions.columns]
+        asked = questions.select("qid", *limit, sync.embed_column(encoder, F.col("question")).alias("vector"))
         corpus = vectors_of.select("id", F.col("embedding").alias("vector")).join(chunks.select(F.col("chunk_id").alias("id"), F.col("chunk_id").alias("pos"), "law_slug"), "id")
         near = vectors.vector_search(asked, corpus, laws=laws).withColumnRenamed("id", "chunk_id")
     config = fusion.SearchConfig(use_vector=near is not None)
@@ -50,14 +52,15 @@ def main() -> None:
     asked = tables.read_records(spark, args.questions, schemas.QUESTION).withColumnRenamed("id", "qid")
     rows = spark.read.parquet(args.chunks).withColumnRenamed("id", "chunk_id")
     chunks = rows.withColumns({"text": chunking.chunk_text(), "chunk_pos": F.struct("law_slug", "article", "part")})
-    made = spark.read.parquet(args.vectors) if args.vectors else None
+    made = Snapshot(spark, args.vectors, schemas.VECTOR).read() if args.vectors else None
     hits = ranked(asked, chunks, [x for x in args.laws.split(",") if x] or None, 10, made, models.hashing_encoder())
     tables.write_records(hits, f"{args.out}/hits")
     done = spark.read.parquet(f"{args.out}/hits")
     tables.write_records(prompts(asked, chunks, done.filter("rank <= 5")), f"{args.out}/prompts")
     tables.write_records(citations.unanswered(asked, done), f"{args.out}/unanswered")
-    keyed = done.select("qid", "rank", F.concat_ws(":", "law_slug", "article").alias("key")).withColumn("variant", F.lit("bm25"))
-    measured = evaluation.first_gold_rank(asked.filter(F.size("gold") > 0).withColumn("variant", F.lit("bm25")), keyed, ["variant", "qid"])
+    variant = "hybrid_rerank_refs" if made is not None else "bm25_rerank_refs"
+    keyed = done.select("qid", "rank", F.concat_ws(":", "law_slug", "article").alias("key")).withColumn("variant", F.lit(variant))
+    measured = evaluation.first_gold_rank(asked.filter(F.size("gold") > 0).withColumn("variant", F.lit(variant)), keyed, ["variant", "qid"])
     tables.write_metrics(evaluation.metrics(measured, ["variant"]), evaluation.detail_rows(measured, keyed), f"{args.out}/metrics")
 
 

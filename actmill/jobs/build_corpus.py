@@ -6,35 +6,51 @@ python -m actmill.jobs.build_corpus --html 'pages/*.html' --meta 'pages/*.json'
 from __future__ import annotations
 
 import argparse
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actmill import schemas
 from actmill.functions import html
 from actmill.operators import chunking, ingest, models, quality, sync
+from actmill.operators.snapshot import Snapshot
 from actmill.sources import tables
 
 
 def build(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(articles, chunks, quarantine) of pages(page_id, html and the columns of PAGE_META). Pages are dealt evenly first."""
-    good, empty = ingest.reject_empty(pages)
+    """(articles, chunks, quarantine) of pages(page_id, html and the columns of PAGE_META). Pages are dealt evenly first.
+
+    In quarantine are pages without metadata, without articles or that cannot be read, and articles with a problem.
+    """
+    unknown = F.coalesce("name", "short_ref", "url").isNull()
+    good, empty = ingest.reject_empty(pages.filter(~unknown))
+    unnamed = pages.filter(unknown).select("page_id", F.lit("no metadata").alias("problem"))
     dealt = good.repartition("page_id")
     articles, broken = ingest.clean_articles(html.raw_articles(dealt), good.drop("html", "n_articles"))
     rows = chunking.chunk_articles(articles.drop("page_id", "pos"))
-    return articles, rows, broken.select("page_id", "problem").unionByName(empty.select("page_id", F.lit("no articles").alias("problem")))
+    quarantine = broken.select("page_id", "problem").unionByName(empty.select("page_id", F.lit("no articles").alias("problem"))).unionByName(unnamed)
+    return articles, rows, quarantine
 
 
-def next_vectors(existing: DataFrame, chunks: DataFrame, encoder: models.Encoder) -> DataFrame:
+def wanted_vectors(chunks: DataFrame) -> DataFrame:
     text = chunking.chunk_text()
-    wanted = chunks.select("id", text.alias("text"), "law_slug", "law_ref", "article", "part", chunking.content_hash(text).alias("hash"))
-    return sync.apply_sync(existing, wanted, lambda todo: todo.withColumn("embedding", sync.embed_column(encoder, F.col("text"))))
+    return chunks.select("id", text.alias("text"), "law_slug", "law_ref", "article", "part", chunking.content_hash(text).alias("hash"))
+
+
+def embedder(encoder: models.Encoder) -> Callable[[DataFrame], DataFrame]:
+    return lambda todo: todo.withColumn("embedding", sync.embed_column(encoder, F.col("text")))
+
+
+def next_vectors(existing: DataFrame, chunks: DataFrame, encoder: models.Encoder) -> DataFrame:
+    return sync.apply_sync(existing, wanted_vectors(chunks), embedder(encoder))
 
 
 def main() -> None:
     a = argparse.ArgumentParser()
     for name in ("--html", "--meta", "--out"):
         a.add_argument(name, required=True)
-    a.add_argument("--vectors", help="the last snapshot of the vector table")
+    a.add_argument("--vectors", help="the vector table, a snapshot of buckets that is brought in step; made where it is missing")
     args = a.parse_args()
     spark = SparkSession.builder.appName("build corpus").getOrCreate()
     pages = tables.read_pages(spark, args.html, args.meta).drop("n_articles").withColumn("page_id", F.xxhash64("slug"))
@@ -47,7 +63,7 @@ def main() -> None:
     tables.write_records(quality.check_parse(written, counted), f"{args.out}/problems_parse")
     tables.write_records(quality.check_chunks(spark.read.parquet(f"{args.out}/chunks")), f"{args.out}/problems_chunks")
     if args.vectors:
-        tables.write_records(next_vectors(spark.read.parquet(args.vectors), spark.read.parquet(f"{args.out}/chunks"), models.hashing_encoder()), f"{args.out}/vectors")
+        Snapshot(spark, args.vectors, schemas.VECTOR).sync(wanted_vectors(spark.read.parquet(f"{args.out}/chunks")), embedder(models.hashing_encoder()))
 
 
 if __name__ == "__main__":

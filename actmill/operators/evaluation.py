@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actmill.functions.citations import format_source
+from actmill.operators.vectors import vector_search
+
 K_VALUES = (1, 3, 5, 10)
 MOST_MODELS = 1_000
 #: Bins of a group, of about as many rows each, among which a percentile is looked up.
@@ -114,7 +117,11 @@ def todo_judgments(log: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def answer_report(questions: DataFrame, log: DataFrame, judged: DataFrame) -> DataFrame:
-    """One row for each judged model; null where a group is empty. A judged pair without an answer is left out."""
+    """One row for each judged model; null where a group is empty.
+
+    A judged pair without an answer, or whose question is not known, is in no figure but dropped, which counts them; a
+    model with no other pairs has n 0.
+    """
     scores = latest_judgments(judged).select("id", F.explode("scores").alias("model", "s"))
     rows = scores.join(latest_answers(log).select("id", "model", "latency_ms", "output_tokens", "cited", "invalid_citations"), ["id", "model"]).join(questions.select("id", "type", "gold"), "id")
     answerable = F.size("gold") > 0
@@ -128,7 +135,9 @@ def answer_report(questions: DataFrame, log: DataFrame, judged: DataFrame) -> Da
         mean(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"),
     )
     spread = rank_percentiles(rows, ["model"], "latency_ms", {"p50": 0.5, "p90": 0.9})
-    out = facts.join(spread, "model", "left").join(error_pairs(log), "model", "left")
+    every = scores.groupBy("model").agg(F.count("*").alias("judged"))
+    out = every.join(facts, "model", "left").join(spread, "model", "left").join(error_pairs(log), "model", "left")
+    out = out.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("dropped", F.col("judged") - F.col("n")).drop("judged")
     return out.withColumns({"latency_p50_s": F.col("p50") / 1000, "latency_p90_s": F.col("p90") / 1000, "errors": F.coalesce("errors", F.lit(0))}).drop("p50", "p90")
 
 
@@ -138,21 +147,46 @@ def judge_batch(log: DataFrame) -> DataFrame:
     return lettered.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "model")))).alias("labels"))
 
 
-def judge_prompts(questions: DataFrame, answers: DataFrame) -> DataFrame:
+def judge_prompts(questions: DataFrame, answers: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, labels, prompt): one request for each question, with the answers under letters in place of model names.
 
-    questions has id, question and answer_key (what a right answer says; null where none is known); answers has id, model
-    and answer. Questions without an answer have no row.
+    questions has id, question and answer_key (what a right answer says; null where none is known), answers has id, model
+    and answer, sources has id, rank, header, bodies and n_parts, as prompts have them: what the answers were given to go
+    by. Questions without an answer have no row; one without sources has none in its prompt.
     """
     lettered = _lettered(answers.select("id", "model", "answer"))
     per = lettered.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("label", "model", "answer"))).alias("a"))
-    named = per.join(questions.select("id", "question", "answer_key"), "id")
+    source = format_source(F.col("rank"), F.col("header"), F.col("bodies"), F.col("n_parts"))
+    given = sources.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", source.alias("source")))).alias("s"))
+    named = per.join(questions.select("id", "question", "answer_key"), "id").join(given, "id", "left")
     shown = F.array_join(F.transform("a", lambda x: F.concat(F.lit("## "), x["label"], F.lit("\n"), F.coalesce(x["answer"], F.lit("")))), "\n\n")
-    key = F.when(F.trim("answer_key") != "", F.concat(F.lit("# Key\n"), F.col("answer_key"), F.lit("\n\n"))).otherwise("")
-    prompt = F.concat(F.lit("# Question\n"), F.col("question"), F.lit("\n\n"), F.coalesce(key, F.lit("")), F.lit("# Answers\n\n"), shown)
+    part = lambda head, text, where: F.when(where, F.concat(F.lit(f"# {head}\n"), text, F.lit("\n\n"))).otherwise("")
+    prompt = F.concat(
+        part("Question", F.col("question"), F.lit(True)), part("Sources", F.array_join("s.source", "\n\n"), F.col("s").isNotNull()),
+        part("Key", F.col("answer_key"), F.coalesce(F.trim("answer_key") != "", F.lit(False))), F.lit("# Answers\n\n"), shown,
+    )
     return named.select("id", F.map_from_arrays("a.label", "a.model").alias("labels"), prompt.alias("prompt"))
 
 
+def compare_models(vectors: DataFrame, asked: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+    """(model, n, recall_1 ... recall_10, mrr, dim): embedding models by exact search alone.
+
+    vectors has model, id, pos, key (of the article) and vector, asked has model, qid and vector, questions has qid and
+    gold (keys). A question's k hits are distinct articles: the cut falls after each article's best chunk was chosen, in
+    the search itself. models are a short list, checked to have MOST_MODELS rows at most.
+    """
+    dims = vectors.groupBy("model").agg(F.max(F.size("vector")).alias("dim")).limit(MOST_MODELS + 1).collect()
+    if len(dims) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    out = []
+    for model, dim in sorted(dims):
+        rows, own = vectors.filter(F.col("model") == model), asked.filter(F.col("model") == model)
+        hits = vector_search(own.select("qid", "vector"), rows.select("id", "pos", "key", "vector"), k, key="key")
+        ranked = first_gold_rank(questions.join(own.select("qid"), "qid", "left_semi"), hits)
+        out.append(metrics(ranked.withColumn("model", F.lit(model)), ["model"]).withColumn("dim", F.lit(dim)))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _lettered(answers: DataFrame) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "model"), "model"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.sha2(F.concat_ws(":", "id", "model"), 256), "model"))
     return answers.withColumn("label", F.chr(F.lit(64) + place))

@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actmill.functions.refs import pinned_articles
+from actmill.operators.lexical import in_laws, with_laws
+
 RRF_K = 60
 METHODS = ("bm25", "vector")
 
@@ -102,12 +105,14 @@ def hybrid_search(
 ) -> DataFrame:
     """The whole search over rankings computed once; each step can be left out.
 
-    With laws, only their articles are found; the rankings should have been made with the same filter, before their cut.
+    With laws, or a column laws of questions, only articles of these acts are found, but explicit references are found in
+    any act; the rankings should have been made with the same filter, before their cut.
     """
-    if laws:
-        chunks = chunks.filter(F.col("law_slug").isin(laws))
-        inside = chunks.select("chunk_id")
-        bm25, vector = (r if r is None else r.join(inside, "chunk_id", "left_semi") for r in (bm25, vector))
+    asked = with_laws(questions, laws)
+    if "laws" in asked.columns:
+        inside = chunks.select("chunk_id", "law_slug")
+        within = lambda r: r.join(asked.select("qid", "laws"), "qid").join(inside, "chunk_id").filter(in_laws(F.col("laws"), F.col("law_slug"))).select(*r.columns)
+        bm25, vector = (r if r is None else within(r) for r in (bm25, vector))
     used = []
     if config.use_bm25 and bm25 is not None:
         used.append(with_method(bm25.filter(F.col("rank") <= config.candidates), "bm25", len(used), config.bm25_weight))
@@ -126,7 +131,7 @@ def hybrid_search(
         spark = questions.sparkSession
         pinned = spark.createDataFrame([], f"qid {dict(questions.dtypes)['qid']}, law_slug string, article string, ref_pos int, parts array<int>")
     else:
-        pinned = pinned.join(article_parts(chunks), ["law_slug", "article"])
+        pinned = pinned_articles(pinned, article_parts(chunks))
     return top_articles(group_to_articles(ranked, chunks), pinned, k=k)
 
 

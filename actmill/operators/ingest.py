@@ -12,7 +12,7 @@ VERSION_TITLE = r"Consolidarea din (\d{2}\.\d{2}\.\d{4})"
 PAGE_NUMBER = r"DetaliiDocument(?:Afis)?/(\d+)"
 ARTICLE_MARK = 'class="S_ART"'
 AMENDMENT_NOTE = r"^\(la (data de )?\d{2}-\d{2}-\d{4}"
-ABROGATED = r"(?iu)^(\(\d+(\^\d+)?\)\s*|[a-z](\^\d+)?\)\s*|\d+\.\s*)?abrogat[ăe]?\.?$"
+ABROGATED = r"^(\(\d+(\^\d+)?\)\s*|[a-z](\^\d+)?\)\s*|\d+\.\s*)?Abrogat[ăe]?\.?$"
 HEADING = r"^Articolul\s+(.+)$"
 TITLE_CHARS = 120
 
@@ -45,7 +45,8 @@ def is_amendment_note(text: Column) -> Column:
 
 
 def is_abrogated(text: Column) -> Column:
-    return text.rlike(ABROGATED)
+    """Whatever the case of its letters."""
+    return text.rlike(f"(?iu){ABROGATED}")
 
 
 def article_abrogated(units: Column) -> Column:

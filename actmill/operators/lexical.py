@@ -7,7 +7,7 @@ scoring, so what is shuffled by (question, chunk) follows the questions' terms,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actmill.functions.text import tokenize
@@ -34,31 +34,57 @@ def idf_table(index: DataFrame) -> DataFrame:
     Terms are made distinct inside the row, so that only counts by term are shuffled.
     """
     df = index.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return idf_of(df, corpus_stats(index))
+
+
+def idf_of(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """idf_table() of document frequencies (term, df) and the corpus' row of counts."""
     raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     # Both broadcasts are one row.
-    scored = df.crossJoin(F.broadcast(corpus_stats(index).select("n_chunks"))).select("term", "df", raw.alias("raw"))
+    scored = df.crossJoin(F.broadcast(stats.select("n_chunks"))).select("term", "df", raw.alias("raw"))
     mean = scored.agg(F.avg("raw").alias("mean_idf"))
     return scored.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(questions: DataFrame, index: DataFrame, stems: bool = False) -> DataFrame:
+def with_laws(questions: DataFrame, laws: list[str] | None) -> DataFrame:
+    """questions with the acts each is limited to: its own column laws (null or empty: all), or the same list for all."""
+    if laws and "laws" in questions.columns:
+        raise ValueError("acts are given twice")
+    return questions.withColumn("laws", F.array(*map(F.lit, laws))) if laws else questions
+
+
+def in_laws(laws: Column, law: Column) -> Column:
+    return laws.isNull() | (F.size(laws) == 0) | F.array_contains(laws, law)
+
+
+def asked_terms(questions: DataFrame, stems: bool, laws: list[str] | None) -> DataFrame:
+    """(qid, term, qtf) of questions(qid, question), with laws where they are limited."""
+    named = with_laws(questions, laws)
+    limit = [c for c in ("laws",) if c in named.columns]
+    return named.select("qid", *limit, F.explode(tokenize(F.col("question"), stems)).alias("term")).groupBy("qid", *limit, "term").agg(F.count("*").alias("qtf"))
+
+
+def bm25_scores(questions: DataFrame, index: DataFrame, stems: bool = False, laws: list[str] | None = None) -> DataFrame:
     """(qid, chunk_id, chunk_pos, law_slug, score), score rounded to 6 places so that ranks don't depend on the order of
-    summation. stems must be as in the index."""
-    asked = questions.select("qid", F.explode(tokenize(F.col("question"), stems)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    summation. stems must be as in the index. Where questions or laws limit the acts, only their chunks have a score."""
+    asked = asked_terms(questions, stems, laws)
     weighed = stored(asked.join(idf_table(index).select("term", "idf"), "term"))
     keep = [c for c in index.columns if c != "tokens"]
     spread = index.select(*keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     # A left semi join drops all other tokens before anything is shuffled, where the questions' terms are few enough.
     used = spread.join(weighed.select("term").distinct(), "term", "left_semi").groupBy(*keep, "dl", "term").agg(F.count("*").alias("tf"))
     matched = used.join(weighed, "term").crossJoin(F.broadcast(corpus_stats(index).select("avgdl")))
+    if "laws" in matched.columns:
+        matched = matched.filter(in_laws(F.col("laws"), F.col("law_slug")))
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return matched.groupBy("qid", *keep).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25_search(questions: DataFrame, index: DataFrame, k: int = 30, laws: list[str] | None = None, stems: bool = False) -> DataFrame:
-    """(qid, chunk_id, score, rank): scores above 0, best first, corpus order (chunk_pos) on ties; filtered after scoring."""
-    scored = bm25_scores(questions, index, stems).filter("score > 0")
-    if laws:
-        scored = scored.filter(F.col("law_slug").isin(laws))
+    """(qid, chunk_id, score, rank): scores above 0, best first, corpus order (chunk_pos) on ties.
+
+    laws limits all questions to the same acts, a column laws of questions each to its own; statistics are of all chunks.
+    """
+    scored = bm25_scores(questions, index, stems, laws).filter("score > 0")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_pos"))
     return scored.withColumn("rank", place).filter(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actmill import schemas
 from actmill.operators.chunking import chunk_articles, chunk_text
+from actmill.operators.snapshot import Files
+from actmill.operators.storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +25,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, html_glob: str, meta_glob: str) -> DataFrame:
-    """PAGE_META columns and html: whole files joined with their JSON by slug, the file name up to the first dot."""
+    """PAGE_META columns and html: whole files joined with their JSON by slug, the file name up to the first dot.
+
+    A page without JSON stays, with nulls in all other columns.
+    """
     slug = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)\.", 1)
     html = spark.read.text(html_glob, wholetext=True).select(slug.alias("slug"), F.col("value").alias("html"))
-    return spark.read.schema(schemas.PAGE_META).json(meta_glob, multiLine=True).join(html, "slug")
+    meta = spark.read.schema(schemas.PAGE_META).json(meta_glob, multiLine=True)
+    return html.join(meta, "slug", "left").select(*meta.columns, "html")
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -38,17 +46,37 @@ def write_records(df: DataFrame, path: str, kind: str = "parquet", by: str | Non
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A log of JSON lines; empty where it does not exist yet. seq orders its rows."""
+    """A log of JSON lines, batches and loose files alike; empty where it does not exist yet. seq orders its rows."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def append_log(df: DataFrame, path: str, batch: str) -> bool:
+    """Add a batch of rows once: a batch of the same name that is there whole already adds nothing (False).
+
+    The batch is a folder of its own, which counts when its job has ended; one left by a job that failed is written over.
+    seq continues from the log's highest, without gaps, in the order of the rows as given; a seq of df gives way to it.
+    One batch is added at a time: two jobs that append at once would number from the same place.
+    """
+    spark = df.sparkSession
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError("a batch is named by letters, digits, _ . and -")
+    if Files(spark, path).exists(f"batch-{batch}/_SUCCESS"):
+        return False
+    last = read_log(spark, path, "seq BIGINT").agg(F.max("seq")).first()[0]
+    seated = stored(df.drop("seq").withColumn("_seat", F.monotonically_increasing_id()))
+    part = F.shiftright("_seat", 33)
+    counts = seated.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A row for each partition of the batch.
+    placed = seated.withColumn("_part", part).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    seq = F.lit(-1 if last is None else last) + 1 + F.col("_before") + F.col("_seat").bitwiseAND(F.lit((1 << 33) - 1))
+    placed.withColumn("seq", seq).drop("_seat", "_part", "_n", "_before").write.mode("overwrite").json(f"{path}/batch-{batch}")
+    return True
 
 
 def write_metrics(metrics: DataFrame, details: DataFrame, path: str) -> None:

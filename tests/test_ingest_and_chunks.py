@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import datetime
+import random
+import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from actmill import schemas
 from actmill.functions import html, stemmer, text
 from actmill.jobs import answer_batch, build_corpus
 from actmill.operators import chunking, ingest, models, quality, sync
+from actmill.operators.snapshot import Snapshot
 from actmill.sources import tables
 
 HISTORY = """<div id="istoric_fa"><a id="fa_selectata" title="Consolidarea din 05.03.2024">x</a>
@@ -21,8 +25,8 @@ def art(number: str, body: str, title: str = "") -> str:
 
 
 PAGE = (
-    '<span class="S_TTL"><span class="S_TTL_TTL">Titlul I</span><span class="S_TTL_DEN">Dispoziţii</span><span class="S_TTL_BDY">'
-    '<span class="S_CAP"><span class="S_CAP_TTL">Capitolul II</span><span class="S_CAP_BDY">'
+    '<span class="S_TTL"><span class="S_TTL_TTL">Partea a VII-a</span><span class="S_TTL_DEN">Pescuit şi vânat</span><span class="S_TTL_BDY">'
+    '<span class="S_CAP"><span class="S_CAP_TTL">Grupa 9</span><span class="S_CAP_BDY">'
     + art("1", '<span class="S_ALN"><span class="S_ALN_TTL">(1)</span><span class="S_ALN_BDY">Prima regulă, vezi <span class="S_LGI">art. 9</span> şi <span class="S_LGI">art. 2</span>.</span><span class="S_ALN_SHORT">(1) scurt</span></span><!-- c -->'
           '<span class="S_PAR">(la data de 01-02-2020 a fost modificat)</span><span class="S_NTA">notă</span><span class="S_ALN"><span class="S_ALN_TTL">(2)</span><span class="S_ALN_BDY">A doua:<span class="S_LIT"><span class="S_LIT_TTL">a)</span>unu;</span><span class="S_LIT"><span class="S_LIT_TTL">b)</span>abrogată.</span></span></span>')
     + art("2^1", '<span class="S_ALN">Abrogat.</span>')
@@ -50,7 +54,7 @@ def test_parse(spark):
     good, bad = parsed(spark)
     a = {r.number: r for r in good.collect()}
     assert list(a) and set(a) == {"1", "2^1", "3"} and [r.problem for r in bad.collect()] == ["no heading"]
-    assert a["1"].hierarchy == ["Titlul I - Dispoziții", "Capitolul II"]
+    assert a["1"].hierarchy == ["Partea a VII-a - Pescuit și vânat", "Grupa 9"]
     assert a["1"].units == ["(1) Prima regulă, vezi art. 9 și art. 2.", "(2) A doua:\na) unu;"]
     assert a["1"].references == ["art. 2", "art. 9"] and not a["1"].abrogated
     assert a["2^1"].abrogated and a["3"].title == "Statul nostru" and a["3"].units == ["Este unul."]
@@ -59,6 +63,42 @@ def test_parse(spark):
     assert [r.problem for r in quality.check_parse(good, pages).collect()] == ["count differs"]
 
 
+def test_markup_nested_deeply(spark):
+    deep = 10_000
+    page = '<div class="S_TTL"><span class="S_TTL_TTL">Unu</span>' + art("1", '<span class="S_PAR">' + "<b>" * deep + "jos" + "</b>" * deep + "</span>") + "</div>"
+    rows = html.raw_articles(spark.createDataFrame([(1, page)], "page_id long, html string")).collect()
+    assert [(r.units, r.hierarchy, r.problem) for r in rows] == [(["jos"], ["Unu"], None)]
+
+
+def test_pages_that_cannot_be_read_go_to_quarantine(spark, monkeypatch):
+    plain = html.article_rows
+
+    def failing(text):
+        if "broken" in text:
+            raise ValueError("no end")
+        return plain(text)
+
+    monkeypatch.setattr(html, "article_rows", failing)
+    assert html.page_rows("broken")[0]["problem"] == "not read: ValueError: no end"
+    assert html.page_rows(art("1", "x")) == plain(art("1", "x"))
+    monkeypatch.setattr(html, "article_rows", lambda text: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        html.page_rows("x")
+
+
+def test_diacritics_as_unicode_has_them(spark):
+    chosen = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x20000, 3), *range(0x2F800, 0x2FA20), *range(0xE0100, 0x110000, 9999))]
+    rng = random.Random(2)
+    texts = ["".join(chosen[i : i + 50]) for i in range(0, len(chosen), 50)] + ["".join(rng.choices(chosen, k=40)) for _ in range(500)] + ["", None, "ascii", "ﬁ½한글각…ș"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", text.strip_diacritics("t").alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for i, t in enumerate(texts)}
+
+
+def test_tokenize_stays_in_the_engine(spark):
+    plan = spark.range(1).select(text.tokenize(F.col("id").cast("string")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_groups_and_chunks(spark):
     df = spark.createDataFrame([(["a" * 10, "b" * 10, "c" * 10],), (["x" * 40, "y"],), ([],)], "units array<string>")
     got = [[len(g) for g in r.g] for r in df.select(chunking.group_units(F.col("units"), F.lit(15)).alias("g")).collect()]
@@ -101,6 +141,35 @@ def test_sync_and_vectors(spark):
     assert abs(sum(x * x for x in v[0].v) - 1) < 1e-6 and not any(v[1].v)
 
 
+def test_snapshot_keeps_the_files_of_unchanged_buckets(spark, tmp_path):
+    at, schema = str(tmp_path / "table"), "id string, hash string, by string"
+    rows = lambda changes: spark.createDataFrame([(f"k{i}", changes.get(i, str(i))) for i in range(200) if changes.get(i, "") is not None], "id string, hash string")
+    embed = lambda who: lambda todo: todo.withColumn("by", F.lit(who))
+    table = Snapshot(spark, at, schema, 16)
+    assert table.read().count() == 0
+    assert table.sync(rows({}), embed("one")) == {"new": 200, "changed": 0, "same": 0, "stale": 0}
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "table").rglob("*.parquet")}
+    first, before = files(), {r.id: r.by for r in table.read().collect()}
+    assert table.sync(rows({7: "new", 8: None}), embed("two")) == {"new": 0, "changed": 1, "same": 198, "stale": 1}
+    version, of = table.manifest()
+    assert version == 2 and sum(v == 2 for v in of.values()) <= 2 and len(of) == 16
+    assert {f: t for f, t in files().items() if "/v=1/" in f} == first
+    used = {f.rsplit("file:", 1)[-1].rsplit("/", 1)[0] for f in table.read().inputFiles()}
+    assert {u.split("/table/")[1] for u in used} == {f"v={v}/bucket={k}" for k, v in of.items()}
+    assert {r.id: r.by for r in table.read().collect()} == {k: "two" if k == "k7" else by for k, by in before.items() if k != "k8"}
+    assert table.sync(rows({7: "new", 8: None}), embed("three"))["same"] == 199 and table.manifest()[0] == 2
+    # A sync that fails before its last step leaves the version that readers see, and the next one is whole.
+    with pytest.raises(Exception):
+        table.sync(rows({1: "x"}), lambda todo: todo.withColumn("by", F.raise_error(F.lit("stopped")).cast("string")))
+    assert table.manifest()[0] == 2 and table.read().filter("by = 'three'").count() == 0
+    table.sync(rows({1: "x"}), embed("four"))
+    assert {r.id for r in table.read().filter("by = 'four'").collect()} == {"k1", "k7", "k8"}
+    table.sync(rows({}).filter("false"), embed("five"))
+    assert table.read().count() == 0 and table.manifest()[1] == {}
+    with pytest.raises(ValueError):
+        Snapshot(spark, at, schema, 8).manifest()
+
+
 def test_round_trips_and_jobs(spark, tmp_path):
     good, _ = parsed(spark)
     articles = good.drop("page_id", "pos")
@@ -109,15 +178,22 @@ def test_round_trips_and_jobs(spark, tmp_path):
     assert {r.number: r.units for r in back.collect()} == {r.number: r.units for r in articles.collect()}
     log = f"{tmp_path}/log"
     assert tables.read_log(spark, log, schemas.ANSWER_LOG).count() == 0
-    for k in range(2):
-        tables.append_log(spark.createDataFrame([(str(k), "m", k)], "id string, model string, seq long"), log)
-    assert sorted(r.seq for r in tables.read_log(spark, log, schemas.ANSWER_LOG).collect()) == [0, 1]
+    for batch in ("a", "b", "a"):
+        added = tables.append_log(spark.createDataFrame([(f"{batch}{i}", "m", 0) for i in range(9)], "id string, model string, seq long").repartition(3), log, batch)
+    assert not added and {r.id for r in tables.read_log(spark, log, schemas.ANSWER_LOG).filter("seq < 9").collect()} == {f"a{i}" for i in range(9)}
+    assert sorted(r.seq for r in tables.read_log(spark, log, schemas.ANSWER_LOG).collect()) == list(range(18))
+    # A batch whose job failed has no mark of its end, and is written over.
+    (tmp_path / "log" / "batch-b" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError):
+        tables.append_log(spark.range(1), log, "../x")
     (tmp_path / "act.html").write_text(PAGE, encoding="utf-8")
     (tmp_path / "act.meta.json").write_text('{"slug": "act", "name": "Actul", "short_ref": "L", "doc_id": 3, "url": "u", "consolidation_date": null}', encoding="utf-8")
     pages = tables.read_pages(spark, f"{tmp_path}/*.html", f"{tmp_path}/*.meta.json")
     assert pages.first().html == PAGE
-    _, chunks, quarantine = build_corpus.build(pages.drop("n_articles").withColumn("page_id", F.lit(1)))
-    assert chunks.count() == 2 and quarantine.count() == 1
+    (tmp_path / "alone.html").write_text(PAGE, encoding="utf-8")
+    pages = tables.read_pages(spark, f"{tmp_path}/*.html", f"{tmp_path}/*.meta.json")
+    _, chunks, quarantine = build_corpus.build(pages.drop("n_articles").withColumn("page_id", F.xxhash64("slug")))
+    assert chunks.count() == 2 and sorted(r.problem for r in quarantine.collect()) == ["no heading", "no metadata"]
     empty = spark.createDataFrame([], "id string, embedding array<float>, text string, law_slug string, law_ref string, article string, part int, hash string")
     assert build_corpus.next_vectors(empty, chunks, models.hashing_encoder()).count() == 2
     rows = chunks.withColumnRenamed("id", "chunk_id").withColumns({"text": chunking.chunk_text(), "chunk_pos": F.struct("law_slug", "article", "part")})

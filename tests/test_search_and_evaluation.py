@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actmill.functions import citations, refs, text
-from actmill.operators import evaluation, fusion, lexical, models, quality, vectors
+from actmill.operators import ann, evaluation, fusion, lexical, models, postings, quality, vectors
 
 
 @pytest.mark.parametrize(
@@ -62,8 +62,17 @@ def test_laws_filter_before_the_cut(spark):
     chunks = corpus(spark)
     bm = spark.createDataFrame([(1, "c1", 9.0, 1), (1, "c3", 8.0, 2)], "qid long, chunk_id string, score double, rank int")
     asked = spark.createDataFrame([(1, "concediu")], "qid long, question string")
-    got = fusion.hybrid_search(asked, chunks, bm, None, None, fusion.SearchConfig(use_vector=False, use_rerank=False), laws=["y"]).collect()
+    config = fusion.SearchConfig(use_vector=False, use_rerank=False)
+    got = fusion.hybrid_search(asked, chunks, bm, None, None, config, laws=["y"]).collect()
     assert [(r.law_slug, r.article) for r in got] == [("y", "c")]
+    # An explicit reference is found in any act, whatever the filter.
+    pin = spark.createDataFrame([(1, 0, "x", "b")], "qid long, ref_pos int, law_slug string, article string")
+    for own in ({"laws": ["y"]}, {}):
+        each = asked if own else asked.withColumn("laws", F.array(F.lit("y")))
+        got = fusion.hybrid_search(each, chunks, bm, None, pin, config, **own).orderBy("rank").collect()
+        assert [(r.law_slug, r.article) for r in got] == [("x", "b"), ("y", "c")]
+    with pytest.raises(ValueError):
+        lexical.with_laws(each, ["y"])
 
 
 def test_all_variants(spark):
@@ -80,7 +89,9 @@ def test_all_variants(spark):
 def test_judge_prompts(spark):
     q = spark.createDataFrame([("1", "cine?", "nimeni"), ("2", "ce?", None), ("3", "fara raspuns", "x")], "id string, question string, answer_key string")
     a = spark.createDataFrame([("1", "m1", "eu"), ("1", "m2", "tu"), ("2", "m1", None)], "id string, model string, answer string")
-    got = {r.id: (dict(r.labels), r.prompt) for r in evaluation.judge_prompts(q, a).collect()}
+    s = spark.createDataFrame([("1", 2, "H2", ["b"], 1), ("1", 1, "H1", ["a"], 3)], "id string, rank int, header string, bodies array<string>, n_parts int")
+    got = {r.id: (dict(r.labels), r.prompt) for r in evaluation.judge_prompts(q, a, s).collect()}
+    assert "\n\n# Sources\n[1] H1 (extras)\na\n\n[2] H2\nb\n\n# Key\nnimeni\n\n# Answers\n\n## A\n" in got["1"][1] and "# Sources" not in got["2"][1]
     assert set(got) == {"1", "2"} and set(got["1"][0].values()) == {"m1", "m2"} and "m1" not in got["1"][1] and "nimeni" in got["1"][1]
     order = [got["1"][0][x] for x in "AB"]
     assert got["1"][1].index({"m1": "eu", "m2": "tu"}[order[0]]) < got["1"][1].index({"m1": "eu", "m2": "tu"}[order[1]]) and "# Key" not in got["2"][1]
@@ -106,6 +117,11 @@ def test_hybrid_pins_and_groups(spark):
     assert [r.article for r in again] == ["c", "a"] and again[0].score == 1.0
 
 
+def unit_vectors(n, width, seed):
+    m = np.random.default_rng(seed).normal(size=(n, width))
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def test_vectors_exact_and_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(60, 8))
@@ -113,16 +129,106 @@ def test_vectors_exact_and_in_blocks(spark, monkeypatch):
     c = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, pos long, vector array<float>")
     q = c.filter("id < 7").select(F.col("id").alias("qid"), "vector")
     want = {i: [int(j) for j in np.lexsort((np.arange(60), -np.round(m.astype(np.float32).astype(float)[i] @ m.astype(np.float32).astype(float).T, 6)))[:5]] for i in range(7)}
-    for block in (4096, 3):
-        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    for size in (1 << 20, 8 * 8 * 4):  # one block, or four vectors each
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", size)
         got = {}
-        for r in vectors.vector_search(q, c, 5).orderBy("qid", "rank").collect():
+        for r in vectors.vector_search(q, c.repartition(3), 5).orderBy("qid", "rank").collect():
             got.setdefault(r.qid, []).append(r.id)
         assert got == want
-    near = {}
-    for r in vectors.ann_search(q, c, 5).collect():
-        near.setdefault(r.qid, set()).add(r.id)
-    assert np.mean([len(near[i] & set(want[i])) / 5 for i in range(7)]) >= 0.9
+
+
+def test_vector_search_plans_without_the_driver(spark):
+    c = spark.range(10).select("id", F.col("id").alias("pos"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    vectors.vector_search(c.withColumnRenamed("id", "qid"), c, 3)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+
+
+def test_vectors_of_distinct_keys_and_own_laws(spark, monkeypatch):
+    m = unit_vectors(90, 6, 4)
+    rows = [(i, i % 40, [float(x) for x in v], f"k{i % 11}" if i % 11 else None, f"law{i % 4}") for i, v in enumerate(m)]
+    c = spark.createDataFrame(rows, "id long, pos long, vector array<double>, key string, law_slug string").unionByName(spark.createDataFrame([(99, 0, None, "k1", "law1")], "id long, pos long, vector array<double>, key string, law_slug string"))
+    own = {0: None, 1: [], 2: ["law1", "law3", "none"], 3: ["none"]}
+    q = spark.createDataFrame([(i, [float(x) for x in m[i]], own[i]) for i in own], "qid long, vector array<double>, laws array<string>")
+    sims = np.round(m @ m.T, 6)
+
+    def plain(i, k, by_key):
+        out, seen = [], set()
+        for j in sorted(range(90), key=lambda j: (-sims[i, j], j % 40)):
+            if (not own[i] or f"law{j % 4}" in own[i]) and not (by_key and j % 11 in seen):
+                seen.add(j % 11)
+                out.append(j)
+        return out[:k]
+
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 8 * 6 * 7)
+    for key in (None, "key"):
+        got = {}
+        for r in vectors.vector_search(q, c, 7, key=key).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert got == {i: plain(i, 7, key) for i in own if plain(i, 7, key)}
+
+
+def test_inverted_lists(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    m = np.repeat(unit_vectors(12, 16, 6), 60, axis=0) + 0.4 * rng.normal(size=(720, 16))
+    m = np.vstack([m, np.repeat(m[:1], 500, axis=0)])  # a crowd of one vector
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    c = spark.createDataFrame([(i, i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, pos long, vector array<double>")
+    q = c.filter("id % 37 = 1").select(F.col("id").alias("qid"), "vector")
+    exact = vectors.vector_search(q, c, 10)
+    index = ann.build(c)
+    assert index.centroids.agg(F.sum("size")).first()[0] == len(m) and index.lists.select(F.sum(F.size("ids"))).first()[0] == len(m)
+    index.write(str(tmp_path / "index"))
+    found = ann.search(q, c, ann.read_index(spark, str(tmp_path / "index")), 10)
+    told = ann.recall(found, exact).collect()
+    assert sum(r.hit for r in told) >= 0.9 * sum(r.n for r in told)
+    assert {r["n"] for r in found.groupBy("qid").agg(F.count("*").alias("n")).collect()} == {10}
+    # All lists probed, all rows scored again: the exact result.
+    few = c.filter("id < 200")
+    whole = ann.search(q, few, ann.build(few, 8), 50, probes=8)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, vectors.vector_search(q, few, 50).collect()))
+    assert ann.search(q, c.filter("false"), ann.build(c.filter("false"))).count() == 0
+
+
+def some_chunks(spark, n, seed):
+    rng = random.Random(seed)
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(20_000)]
+    rows = [(f"c{i}", i, f"law{i % 3}", f"a{i}", 1, " ".join(rng.choices(words, k=rng.choice((3, 20, 120))))) for i in range(n)]
+    return spark.createDataFrame(rows, corpus(spark).schema), words
+
+
+@pytest.mark.parametrize(("block", "one_block", "share"), [(1024, 128, 0.5), (4, 2, 1.0)])
+def test_pruned_bm25_equals_all_postings(spark, monkeypatch, block, one_block, share):
+    chunks, words = some_chunks(spark, 300, 8)
+    rng = random.Random(9)
+    asked = [(i, " ".join(rng.choices(words, k=rng.choice((1, 3, 12)))), [None, [], ["law1"]][i % 3]) for i in range(25)] + [(98, "nothing known", None), (99, "", None)]
+    q = spark.createDataFrame(asked, "qid long, question string, laws array<string>")
+    for name, value in (("BLOCK", block), ("ONE_BLOCK", one_block), ("SHARE", share), ("PROBE_POSTINGS", 16)):
+        monkeypatch.setattr(postings, name, value)
+    index = lexical.token_index(chunks)
+    want = sorted(map(tuple, lexical.bm25_search(q, index, 7).collect()))
+    made = postings.postings(index)
+    assert sorted(map(tuple, postings.pruned_search(q, made, 7).collect())) == want
+    told = postings.skipped_share(q, made, 7).collect()
+    assert len(told) == 25 and sum(r.skipped_postings for r in told) > 0
+
+
+def test_pruned_bm25_with_terms_in_most_chunks_and_stored(spark, tmp_path):
+    rows = [(f"c{i}", i, "x", "a", 1, "often " + "often " * (i % 5) + ("rare " if i % 17 == 0 else "") + f"own{i}") for i in range(60)]
+    index = lexical.token_index(spark.createDataFrame(rows, corpus(spark).schema))
+    q = spark.createDataFrame([(1, "often rare own3"), (2, "often"), (3, "own5 often often")], "qid long, question string")
+    made = postings.postings(index)
+    made.write(str(tmp_path / "p"))
+    got = postings.pruned_search(q, postings.read_postings(spark, str(tmp_path / "p")), 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lexical.bm25_search(q, index, 4).collect()))
+
+
+def test_report_counts_dropped_pairs(spark):
+    q = spark.createDataFrame([("1", "natural", ["x:1"]), ("2", "trap", ["x:2"])], "id string, type string, gold array<string>")
+    log = spark.createDataFrame([("1", "a", 10, 5, ["x:1"], [], None, 1), ("2", "a", 30, 5, [], [], "quota", 2)], "id string, model string, latency_ms long, output_tokens long, cited array<string>, invalid_citations array<int>, error string, seq long")
+    s = {"correctness": 2, "faithful": True, "refused": False}
+    judged = spark.createDataFrame([("1", {"a": s, "b": s}, 1), ("2", {"a": s}, 2), ("9", {"a": s}, 3)], "id string, scores map<string, struct<correctness: int, faithful: boolean, refused: boolean>>, seq long")
+    assert {r.model: (r.n, r.dropped, r.errors) for r in evaluation.answer_report(q, log, judged).collect()} == {"a": (1, 2, 1), "b": (0, 1, 0)}
 
 
 def test_citations(spark):
