@@ -6,11 +6,10 @@ function and keeps their order in the text; texts collide in an entry with a cha
 distance, not only with their sets. Colliding texts are candidates at three depths: one entry, two and three
 neighbouring entries. In each bucket every text is first a candidate of the bucket's smallest one, so a bucket of n
 texts gives n - 1 pairs, and the deeper buckets give a text nearer partners than the first one of a crowd. Where texts
-of several classes then still share an entry, they are compared with the one of most links; then each two classes that
-meet in a block are tried by one pair, the one nearest in size, to merge large classes of one group; last all pairs of
-different classes that share an entry are judged, block by block of a bucket: counts of shingles in about as many bins as
-shingles bound the number of common ones from above, and the pairs whose bound allows the likeness are aligned. So any two texts that share
-an entry have been judged or are in one class already; deeper buckets hold no other pairs.
+of several classes then still share an entry, all pairs of different classes are judged, block by block of a bucket, in
+the task where the blocks meet: counts of shingles in about as many bins as shingles bound the likeness from above, and
+the pairs whose bound allows it are aligned in order of their bounds, unless their classes have met by then. So any two
+texts that share an entry have been judged or are in one class already; deeper buckets hold no other pairs.
 
 A candidate pair is linked if banded alignment finds a common subsequence of c shingles, in order, with
 c / (m + n - c) >= 0.8 for sequences of m and n shingles. At that likeness the texts differ by at most (m + n) / 9
@@ -37,8 +36,8 @@ from actmill.llm.arrays import BASE, OTHER_BASE, U64, checkpointed, lowered, mix
 
 SHINGLE_WORDS, LIKENESS = 5, 0.8
 ENTRIES, TUPLE, DEPTHS = 16, 3, 3
-#: Fewest and most bins of a text's shingle counts, and members of one block where all pairs of a bucket are compared.
-FEWEST_BINS, MOST_BINS, BLOCK = 512, 2048, 256
+#: Fewest and most bins of a text's shingle counts; texts, and shingles, of a block where all pairs of a bucket are compared.
+FEWEST_BINS, MOST_BINS, BLOCK, BLOCK_SHINGLES = 512, 2048, 256, 1 << 18
 _ODD = mix(np.arange(1, ENTRIES + 1, dtype=U64)) | U64(1)
 
 
@@ -157,19 +156,24 @@ def folded(counts: np.ndarray, bins: int) -> np.ndarray:
     return counts if counts.shape[-1] == bins else counts.reshape(*counts.shape[:-1], bins, -1).sum(axis=-1, dtype=np.uint16)
 
 
-def possible(sizes: np.ndarray, bins: list[bytes], its_sizes: np.ndarray, its_bins: list[bytes]) -> np.ndarray:
-    """Which pairs of two blocks can reach LIKENESS: a matrix. A pair has no more common shingles than its bins allow."""
-    out = np.minimum.outer(sizes, its_sizes) >= LIKENESS * np.maximum.outer(sizes, its_sizes)
+def bounds(sizes: np.ndarray, bins: list[bytes], its_sizes: np.ndarray, its_bins: list[bytes], wanted: np.ndarray | None = None) -> np.ndarray:
+    """The most that the likeness of each pair of two blocks can be: a matrix, 0 where that is below LIKENESS or not wanted.
+
+    A pair has no more common shingles than its sizes and its bins allow.
+    """
+    short, long = np.minimum.outer(sizes, its_sizes), np.maximum.outer(sizes, its_sizes)
+    out = np.where((short >= LIKENESS * long) & (True if wanted is None else wanted), short / long, 0.0)
     held = np.array([len(x) for x in its_bins])
     groups = {n: np.flatnonzero(held == n) for n in np.unique(held[held > 0]).tolist()}
     theirs = {n: np.stack([np.frombuffer(its_bins[j], np.uint8) for j in at]) for n, at in groups.items()}
     for i, x in enumerate(bins):
         for n, at in groups.items() if x else ():
-            fit = out[i, at]
+            fit = out[i, at] > 0
             if fit.any():
                 fewer = min(n, len(x))
                 common = np.minimum(folded(np.frombuffer(x, np.uint8), fewer), folded(theirs[n][fit], fewer)).sum(axis=1, dtype=np.int64)
-                out[i, at[fit]] = common / (sizes[i] + its_sizes[at[fit]] - common) >= LIKENESS
+                most = common / (sizes[i] + its_sizes[at[fit]] - common)
+                out[i, at[fit]] = np.where(most >= LIKENESS, most, 0.0)
     return out
 
 
@@ -213,66 +217,96 @@ def candidates(sketches: DataFrame) -> DataFrame:
 
 
 def unsettled(sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """(value, n, key, size, label): the members of the one-entry buckets in which texts of several classes meet.
+    """(value, parts, key, label, entries): the members of the one-entry buckets in which texts of several classes meet.
 
-    A pair that shares a deeper bucket shares its entries, so these buckets hold all pairs. n is the bucket's size.
+    A pair that shares a deeper bucket shares its entries, so these buckets hold all pairs. parts is how many blocks the
+    bucket makes, by its members and by their shingles.
     """
-    labels = sketches.join(classes, "key", "left").withColumn("label", F.coalesce("class_key", "key"))
-    members = labels.select("key", "size", "label", F.explode(F.slice("entries", 1, ENTRIES)).alias("value"))
-    mixed = members.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("value", "n")
-    return members.join(mixed, "value")
+    first = F.slice("entries", 1, ENTRIES).alias("entries")
+    labels = sketches.join(classes, "key", "left").select("key", "size", F.coalesce("class_key", "key").alias("label"), first)
+    members = labels.select("key", "size", "label", "entries", F.explode("entries").alias("value"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts")
+    mixed = members.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), parts).filter("low <> high").select("value", "parts")
+    return members.join(mixed, "value").drop("size")
 
 
-def most_linked(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFrame:
-    """In each bucket, every text with the one of most links: the original of a crowd, whose copies are alike only through it."""
-    ranked = members.join(degrees(links), "key", "left").groupBy("value").agg(F.max(F.struct(F.coalesce("n_links", F.lit(0)).alias("n_links"), "key", "size", "label")).alias("best"))
-    both = members.join(ranked, "value").filter(F.col("label") != F.col("best.label"))
-    fit = both.filter(F.least("size", "best.size") >= F.lit(LIKENESS) * F.greatest("size", "best.size"))
-    return fit.select(F.least("key", "best.key").alias("hub"), F.greatest("key", "best.key").alias("key")).distinct()
+class Merged:
+    """Union-find over class labels, inside one pair of blocks."""
 
+    def __init__(self) -> None:
+        self.of: dict[int, int] = {}
 
-def nearest_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Of all_pairs(), in each block one pair of any two classes: so large classes of one group merge before their pairs are judged."""
-    return all_pairs(members, links, seqs, one_each=True)
+    def find(self, x: int) -> int:
+        root = x
+        while (up := self.of.get(root, root)) != root:
+            root = up
+        while (up := self.of.get(x, x)) != root:
+            self.of[x], x = root, up
+        return root
 
+    def union(self, x: int, y: int) -> None:
+        self.of[self.find(x)] = self.find(y)
 
-def all_pairs(members: DataFrame, links: DataFrame, seqs: DataFrame, one_each: bool = False) -> DataFrame:
-    """In each bucket, every text with those of other classes that possible() leaves. Blocks of members meet, not rows.
 
-    A bucket of one block is judged where it was gathered; only blocks of larger buckets are shuffled again to meet.
-    """
+def judged(value: int, own: tuple, its: tuple, same: bool) -> Iterator[tuple[int, int, float]]:
+    """The links (hub, key, likeness) between two blocks of a bucket that join classes; own and its are the same block if same.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bins = [binned(np.frombuffer(x, "<u4")) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bins, pa.binary())], ["key", "bins"])
-
-    bins = seqs.join(members.select("key").distinct(), "key", "left_semi").mapInArrow(counted, "key long, bins binary")
-    dealt = members.join(bins, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)))
-    gathered = lambda rows: rows.groupBy("value", "block").agg(
-        F.collect_list(F.struct("key", "size", "label", "bins")).alias("own")
-    )
-    alone = gathered(dealt.filter(F.col("n") <= BLOCK)).select("own", F.col("own").alias("its"))
-    blocks = gathered(dealt.filter(F.col("n") > BLOCK))
-    met = blocks.join(blocks.select("value", F.col("block").alias("its_block"), F.col("own").alias("its")), "value").filter("block <= its_block").select("own", "its").unionByName(alone)
+    own and its are keys, labels, entries (a line for each text) and shingles. The pairs of texts of different classes that
+    can be alike are taken in order of their bounds; those whose classes have been joined on the way need no alignment. A
+    pair that shares an earlier entry as well is judged in that entry's bucket.
+    """
+    (k, c, e, x), (its_k, its_c, its_e, its_x) = own, its
+    n, its_n = (np.array([len(s) for s in y]) for y in (x, its_x))
+    wanted = np.not_equal.outer(c, its_c)
+    if same:
+        wanted &= np.less.outer(k, its_k)
+    if not wanted.any():
+        return
+    most = bounds(n, [binned(s) for s in x], its_n, [binned(s) for s in its_x], wanted)
+    i, j = np.nonzero(most)
+    if not len(i):
+        return
+    here = e[i, (e[i] == its_e[j]).argmax(axis=1)] == value
+    i, j = i[here], j[here]
+    merged = Merged()
+    for at in np.argsort(-most[i, j], kind="stable").tolist():
+        a, b = i[at], j[at]
+        one, two = merged.find(int(c[a])), merged.find(int(its_c[b]))
+        if one != two and (score := alike(x[a], its_x[b])) >= LIKENESS:
+            merged.union(one, two)
+            yield min(int(k[a]), int(its_k[b])), max(int(k[a]), int(its_k[b])), score
+
+
+def judged_links(members: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Links between the classes of members: all pairs of a bucket, block by block, bounded and aligned in one place.
+
+    Sequences travel with the blocks, once for each bucket and side, and not with pairs; what comes out are links. Blocks
+    of a bucket meet in a plain join, which the adaptive plan can split; a bucket of one block needs none.
+    """
+    dealt = members.join(seqs, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")))
+    gathered = lambda rows: rows.groupBy("value", "block").agg(F.collect_list(F.struct("key", "label", "entries", "shingles")).alias("own"))
+    none = F.array().cast("array<struct<key: bigint, label: bigint, entries: array<bigint>, shingles: binary>>")
+    alone = gathered(dealt.filter("parts = 1")).select("value", "own", none.alias("its"))
+    blocks = gathered(dealt.filter("parts > 1"))
+    others = blocks.select("value", F.col("block").alias("its_block"), F.col("own").alias("its"))
+    # A block meets itself as an empty other side.
+    met = blocks.join(others, "value").filter("block <= its_block").select("value", "own", F.when(F.col("block") < F.col("its_block"), F.col("its")).otherwise(none).alias("its"))
+
+    def side(rows: pa.StructArray) -> tuple:
+        keys, labels, entries, shingles = (rows.field(f) for f in range(4))
+        return keys.to_numpy(), labels.to_numpy(), entries.flatten().to_numpy().reshape(len(keys), -1), [np.frombuffer(s, "<u4") for s in shingles.to_pylist()]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found = []
             for row in range(b.num_rows):
-                (k, n, c, x), (its_k, its_n, its_c, its_x) = ([col[row].values.field(f) for f in range(4)] for col in (b.column(0), b.column(1)))
-                k, n, c, its_k, its_n, its_c = (z.to_numpy() for z in (k, n, c, its_k, its_n, its_c))
-                i, j = np.nonzero(possible(n, x.to_pylist(), its_n, its_x.to_pylist()) & np.not_equal.outer(c, its_c))
-                if one_each and len(i):
-                    # nearest in size first: of a pair of classes the one of least difference
-                    near = np.argsort(np.abs(n[i] - its_n[j]), kind="stable")
-                    i, j = i[near], j[near]
-                    pair = np.stack([np.minimum(c[i], its_c[j]), np.maximum(c[i], its_c[j])], axis=1)
-                    first = np.unique(pair, axis=0, return_index=True)[1]
-                    i, j = i[first], j[first]
-                low, high = np.minimum(k[i], its_k[j]), np.maximum(k[i], its_k[j])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["hub", "key"])
-
-    return met.mapInArrow(judge, "hub long, key long").distinct()
+                own = side(b.column(1)[row].values)
+                alone = not len(b.column(2)[row].values)
+                found += judged(b.column(0)[row].as_py(), own, own if alone else side(b.column(2)[row].values), alone)
+            hub, key, score = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(key, pa.int64()), pa.array(score, pa.float64())], ["hub", "key", "likeness"])
+
+    return alone.unionByName(met).mapInArrow(judge, "hub long, key long, likeness double")
 
 
 def degrees(links: DataFrame) -> DataFrame:
@@ -343,13 +377,10 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     seqs = checkpointed(sequences(docs, tried))  # of all texts that share a bucket, hence of all later pairs
     links = checkpointed(verified(seqs, tried))
     classes = components(links)
-    for chosen in (most_linked, nearest_pairs, all_pairs):
-        pairs = checkpointed(chosen(unsettled(sketches, classes), links, seqs).join(tried, ["hub", "key"], "left_anti"))
-        found = checkpointed(verified(seqs, pairs))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            classes = components(links)
-        tried = tried.unionByName(pairs)
+    found = checkpointed(judged_links(unsettled(sketches, classes), seqs).distinct())
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        classes = components(links)
     degree = degrees(links)
     texts = docs.groupBy(text_key(F.col("text")).alias("key")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     named = texts.join(classes, "key", "left").join(degree, "key", "left").withColumn("class_key", F.coalesce("class_key", "key"))
