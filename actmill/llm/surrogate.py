@@ -13,10 +13,13 @@ and nobody without the key can make or undo it:
   "Herr. Meyer" and "Frau Meyer" share a surname. Honorifics stay as they are; given names get one of their gender and
   script, surnames are made of syllables of the same script, and names in Cyrillic keep their feminine ending.
 
+Names are one to three capitalised words after an honorific, with particles (von, de) between them, which stay; the first
+of several is the given name. Names without an honorific are not found.
+
 Collision checks: entities of one kind that share a surrogate, or whose surrogate is itself an entity of the table, make
 another attempt, but for the first of them, until none is left; from ROOMIER attempts on surrogates get extra characters,
 so that a crowded format cannot go on forever. As parts are distinct, so are the addresses and names made of them. Given
-names come from short lists and may be shared: they are told apart by the surname.
+names come from short lists, and are made of syllables with an ending of their gender where the list has been used up.
 
 Defined results: a null text stays null and has no entity; an empty text stays empty; repeated entities are replaced
 each time, and rows equal in all columns get the same result; a null doc_id is a row like any other. Other columns stay
@@ -31,22 +34,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actmill.llm.arrays import checkpointed
+from actmill.llm.ordering import apart
 
+# Honorifics that tell the gender, and those that do not; words inside surnames.
+TITLES, NEUTRAL, PARTICLES = "Mr Mrs Ms Miss Herr Frau Monsieur Madame Señor Señora Господин Госпожа".split(), "Dr Prof".split(), "von van der den de da del di la".split()
+#: A word of a name: O'Brien, McDonald and Jean-Luc are one each.
+_WORD = r"\p{Lu}(?:\p{L}*\p{Ll}|['’]\p{Lu}\p{L}+)(?:-\p{Lu}\p{L}+)*"
+_NAME = rf"(?<!\p{{L}})(?:{'|'.join(TITLES + NEUTRAL)})\.? {_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )*{_WORD}){{0,2}}(?![\p{{L}}'’-])"
 #: Kinds in order of preference where two could start at one place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z0-9]{16,})(?![0-9A-Za-z])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|(?<![\d.(-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
-    "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{L})",
+    "name": _NAME,
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What each pattern needs, in searches that are much cheaper: a text without any of it has no entity.
-HINTS = ("[@0-9]", r"[a-f]{32}|(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z]{16}", r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}")
-MALE = "^(?:Mr|Herr|Monsieur|Señor|Господин)\\b|^(?:Mr|Herr|Monsieur|Señor|Господин)\\."
+HINTS = ("[@0-9]", r"[a-f]{32}|(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z]{16}", rf"(?:{'|'.join(TITLES + NEUTRAL)})\.? \p{{Lu}}")
+#: Where the title says nothing, a given name that ends like a woman's decides.
+MALE = r"^(?:Mr|Herr|Monsieur|Señor|Господин)(?:\.| )|^(?:Dr|Prof)\.? (?!\p{L}*[aая] )"
 GIVEN = {
     ("latin", "m"): "Adam Boris Carl David Emil Felix Georg Hugo Ivo Jonas Karl Leo Max Noel Otto Paul".split(),
     ("latin", "f"): "Alma Berta Clara Dora Emma Flora Greta Hanna Ida Julia Klara Lena Mona Nora Olga Paula".split(),
@@ -108,10 +118,10 @@ def parts_of(entity: Column) -> Column:
     one = lambda k, x: F.struct(k.alias("kind"), x.alias("part"))
     names = F.split(F.regexp_replace(entity, HONORIFIC, ""), " ")
     gender = F.when(entity.rlike(MALE), "m").otherwise("f")
-    family = one(F.concat(F.lit("family"), F.when(entity.rlike("\\p{IsCyrillic}"), gender).otherwise("")), F.element_at(names, -1))
-    given = one(F.concat(F.lit("given"), gender), F.element_at(names, 1))
+    family = F.concat(F.lit("family"), F.when(entity.rlike("\\p{IsCyrillic}"), gender).otherwise(""))
+    kind_at = lambda x, i: F.when(x.isin(PARTICLES), "particle").when((i == 0) & (F.size(names) > 1), F.concat(F.lit("given"), gender)).otherwise(family)
+    name = F.transform(names, lambda x, i: one(kind_at(x, i), x))
     mail = F.array(one(F.lit("local"), F.substring_index(entity, "@", 1)), one(F.lit("domain"), F.lower(F.substring_index(entity, "@", -1))))
-    name = F.when(F.size(names) > 1, F.array(given, family)).otherwise(F.array(family))
     return F.when(kind == "email", mail).when(kind == "name", name).otherwise(F.array(one(kind, entity)))
 
 
@@ -151,19 +161,28 @@ def surrogate_of(kind: Column, part: Column, attempt: Column, key: str) -> Colum
     last = F.substring(drawn, -1, 1).cast("int")
     card = F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), F.pmod(last + turn, F.lit(10)).cast("string"), more)
     script = F.when(part.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    given = lambda g: F.when(script == "latin", F.element_at(F.array(*map(F.lit, GIVEN["latin", g])), _draw(seed, 0, len(GIVEN["latin", g])) + 1)).otherwise(F.element_at(F.array(*map(F.lit, GIVEN["cyrillic", g])), _draw(seed, 0, len(GIVEN["cyrillic", g])) + 1))
+    listed = lambda g: F.when(script == "latin", F.element_at(F.array(*map(F.lit, GIVEN["latin", g])), _draw(seed, 0, len(GIVEN["latin", g])) + 1)).otherwise(F.element_at(F.array(*map(F.lit, GIVEN["cyrillic", g])), _draw(seed, 0, len(GIVEN["cyrillic", g])) + 1))
 
     def surname(alphabet: str) -> Column:
         pieces = F.transform(F.sequence(F.lit(1), F.lit(3) + F.least(attempt, F.lit(6))), lambda i: F.element_at(F.array(*map(F.lit, SYLLABLES[alphabet])), _draw(seed, i, 16) + 1))
         return F.initcap(F.array_join(pieces, ""))
 
+    def given(gender: str) -> Column:
+        """One of the list; at later attempts a made name that ends like those of its gender."""
+        latin, cyrillic = {"m": ("n", "н"), "f": ("na", "на")}[gender]
+        made = F.when(script == "cyrillic", F.concat(surname("cyrillic"), F.lit(cyrillic))).otherwise(F.concat(surname("latin"), F.lit(latin)))
+        return F.when(attempt == 0, listed(gender)).otherwise(made)
+
     family = F.when(script == "cyrillic", F.concat(surname("cyrillic"), F.when(kind == "familyf", "ва").otherwise("в"))).otherwise(surname("latin"))
     made = {"local": F.concat(_like(part, seed), more), "domain": domain, "secret": secret, "ip": octets, "phone": phone, "iban": iban, "ssn": F.concat(_like(part, seed), more), "card": card, "givenm": given("m"), "givenf": given("f"), "family": family, "familym": family, "familyf": family}
     return reduce(lambda rest, k: F.when(kind == k, made[k]).otherwise(rest), made, part)
 
 
 def surrogates(parts: DataFrame, key: str) -> DataFrame:
-    """(kind, part, surrogate) of the distinct rows; no two parts of a kind share one, but for given names."""
+    """(kind, part, surrogate) of the distinct rows; no two parts of a kind share one.
+
+    A listed given name may be one that somebody in the table has: lists are short and the whole name differs.
+    """
     # Few bytes but long expressions: dealt out by a fixed number, or all would be one task's.
     tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = parts.select("kind", "part").distinct().repartition(tasks, "kind", "part").withColumn("attempt", F.lit(0))
@@ -171,8 +190,8 @@ def surrogates(parts: DataFrame, key: str) -> DataFrame:
     current = checkpointed(distinct.withColumn("surrogate", made))
     known = current.select("kind", F.col("part").alias("surrogate"))
     for _ in range(MOST_ATTEMPTS):
-        shared = current.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "part")).alias("owner"), F.count("*").alias("n")).filter("n > 1 and kind not like 'given%'").select("kind", "surrogate", "owner")
-        real = current.filter("kind not like 'given%'").join(known, ["kind", "surrogate"], "left_semi").select("kind", "part")
+        shared = current.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "part")).alias("owner"), F.count("*").alias("n")).filter("n > 1").select("kind", "surrogate", "owner")
+        real = current.filter("kind not like 'given%' or attempt > 0").join(known, ["kind", "surrogate"], "left_semi").select("kind", "part")
         clash = current.join(shared, ["kind", "surrogate"]).filter("part <> owner.part").select("kind", "part").unionByName(real).distinct()
         if clash.isEmpty():
             break
@@ -191,7 +210,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     if not key:
         raise ValueError("a key is needed")
     docs = docs.drop("n_entities", "kinds")
-    row, found = "_row_key", "_found"
+    row, found, put = (apart(docs, x) for x in ("row_key", "found", "put"))
     none = F.array().cast("array<string>")
     hinted = F.col("text").isNotNull() & (F.col("text").rlike(HINTS[0]) | F.col("text").rlike(HINTS[1]) | F.col("text").rlike(HINTS[2]))
     clean = docs.filter(~F.when(hinted, F.col("text").rlike(ENTITY)).otherwise(False)).withColumns({"n_entities": F.lit(0), "kinds": none})
@@ -204,11 +223,12 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     # Each different entity is taken apart and put together once.
     entities = checkpointed(places.select("entity").distinct().withColumn("parts", parts_of(F.col("entity"))))
     parts = entities.select("entity", F.posexplode("parts").alias("at", "p")).select("entity", "at", "p.kind", "p.part")
-    table = surrogates(parts.select("kind", "part"), key)
-    made = parts.join(table, ["kind", "part"]).groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("s"))
+    table = surrogates(parts.filter("kind <> 'particle'").select("kind", "part"), key)
+    shown = parts.join(table, ["kind", "part"], "left").withColumn("surrogate", F.coalesce("surrogate", "part"))
+    made = shown.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("s"))
     whole = made.select("entity", put_together(F.col("entity"), F.col("s.surrogate")).alias("surrogate"), kind_of(F.col("entity")).alias("kind"))
-    put = places.join(whole, "entity").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("place", "surrogate", "kind"))).alias("put"))
+    answers = places.join(whole, "entity").groupBy(row).agg(F.sort_array(F.collect_list(F.struct("place", "surrogate", "kind"))).alias(put))
     split = F.split("text", ENTITY, -1)
-    rebuilt = F.array_join(F.zip_with(split, F.col("put.surrogate"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    done = marked.join(put, row).select(*(rebuilt.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.size("put").alias("n_entities"), F.col("put.kind").alias("kinds"))
+    rebuilt = F.array_join(F.zip_with(split, F.col(f"{put}.surrogate"), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    done = marked.join(answers, row).select(*(rebuilt.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.size(put).alias("n_entities"), F.col(f"{put}.kind").alias("kinds"))
     return clean.unionByName(done)

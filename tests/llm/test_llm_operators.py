@@ -103,7 +103,7 @@ def test_bins_bound_the_likeness():
     seqs += [np.concatenate([seqs[2][:k], rng.integers(0, 1 << 64, 100 - k, dtype=np.uint64)]) for k in (50, 88, 89, 95)]
     seqs.append(np.zeros(1 << 16, np.uint64))  # overflows its bin
     sizes, bins = np.array([len(x) for x in seqs]), [omh.binned((x >> np.uint64(32)).astype("<u4")) for x in seqs]
-    kept = omh.possible(sizes, bins, sizes, bins)
+    kept = omh.bounds(sizes, bins, sizes, bins) > 0
     assert all(kept[i, j] for i, a in enumerate(seqs) for j, b in enumerate(seqs) if omh.alike(a, b) >= 0.8)
     assert not kept[2, 3] and not kept[2, 1] and kept[-1, -1] and bins[-1] == b""
 
@@ -135,12 +135,51 @@ def test_bound_of_pairs_loses_no_alike_texts_of_any_length():
             seq[rng.choice(n, int(n * share), False)] = rng.integers(0, 1 << 32, int(n * share), dtype=np.uint32)
             seqs.append(seq)
     sizes, bins = np.array([len(x) for x in seqs]), [omh.binned(x) for x in seqs]
-    kept = omh.possible(sizes, bins, sizes, bins)
+    kept = omh.bounds(sizes, bins, sizes, bins) > 0
     alike = np.array([[omh.alike(a, b) >= omh.LIKENESS for b in seqs] for a in seqs])
     assert not bins[0] and not (alike & ~kept).any()
     assert (kept & ~alike)[1:, 1:].mean() < 0.1
 
 
+def test_pairs_of_a_bucket_in_blocks_of_any_size(spark, monkeypatch):
+    """Whatever the blocks are, the classes are those of all pairs that share an entry."""
+    rng = random.Random(11)
+    base = words(rng, 120).split()
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(i % 6):
+            w[rng.randrange(120)] = words(rng, 1)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = []
+    for block, shingles in ((256, 1 << 18), (7, 1 << 18), (256, 900)):
+        monkeypatch.setattr(omh, "BLOCK", block)
+        monkeypatch.setattr(omh, "BLOCK_SHINGLES", shingles)
+        told.append(sorted((r.doc_id, r.class_id) for r in omh.near_duplicate_classes(df).collect()))
+    assert told[0] == told[1] == told[2]
+    pairs = [(i, j) for i, x in rows for j, y in rows[:i] if jaccard(x, y) >= 0.85]
+    of = dict(told[0])
+    assert len(pairs) > 100 and all(of[i] == of[j] for i, j in pairs)
+
+
+def test_judged_pairs_join_each_two_classes_once():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 200, dtype=np.uint32)
+    x = []
+    for _ in range(12):
+        s = base.copy()
+        s[rng.choice(200, 4, False)] = 0
+        x.append(s)
+    x.append(rng.integers(0, 1 << 32, 200, dtype=np.uint32))
+    k, e = np.arange(13), np.tile(np.arange(16), (13, 1))
+    links = list(omh.judged(0, (k, k, e, x), (k, k, e, x), True))
+    assert len(links) == 11 and {y for a, b, _ in links for y in (a, b)} == set(range(12))
+    # The pairs share entry 0, so no other bucket judges them.
+    assert not list(omh.judged(5, (k, k, e, x), (k, k, e, x), True))
+    assert not list(omh.judged(0, (k, k * 0, e, x), (k, k * 0, e, x), True))
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     rows = omh.near_duplicate_classes(odd).collect()
     assert len(rows) == odd.count()
@@ -266,6 +305,29 @@ def test_parts_keep_coreference(spark):
         surrogate.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "")
 
 
+def test_names_of_many_forms(spark):
+    given = "Adrian Bruno Cesar Dario Enzo Fabio Gino Heiko Igor Jan Kai Lars Marco Nils Omar Piet".split()
+    rows = [(i, f"Mr {g} Smith") for i, g in enumerate(given)] + [(100 + i, f"Ms {g}a Smith") for i, g in enumerate(given)]
+    rows += [
+        (200, "Mr O'Brien, Mr. McDonald, Monsieur Jean-Luc Picard; Señor Juan García López."),
+        (201, "Frau Hanna von der Leine met Dr Smith, Dr. Anna Meyer and Prof. Meyer"),
+        (202, "call (212) 555-0123 or 212-555-0124, not 12-3456 or 2020-10-1234"),
+    ]
+    extra = spark.createDataFrame([(i, t, "a", "b", "c") for i, t in rows], "doc_id long, text string, put string, row_key string, found string")
+    told = surrogate.pseudonymised(extra, "key").collect()
+    got = {r.doc_id: r.text for r in told}
+    assert {(r["put"], r.row_key, r.found) for r in told} == {("a", "b", "c")} and len(told) == len(rows)
+    for first in (0, 100):
+        names = {got[first + i] for i in range(16)}
+        assert len(names) == 16 and len({n.split()[2] for n in names}) == 1
+    assert got[0].split()[2] == got[100].split()[2] == got[201].split("Dr ")[1].split(",")[0]
+    assert all(n.split()[1].endswith("a") for i, n in got.items() if 100 <= i < 116)
+    assert not any(x in got[200] for x in ("Brien", "Donald", "Jean", "Luc", "Picard", "Juan", "García", "López"))
+    assert " von der " in got[201] and not any(x in got[201] for x in ("Hanna", "Leine", "Smith", "Anna", "Meyer"))
+    assert got[201].split("Prof. ")[1] == got[201].split("Dr. ")[1].split()[1]
+    assert "555" not in got[202][:30] and got[202].endswith("not 12-3456 or 2020-10-1234") and got[202][5] == "(" and got[202][9:11] == ") "
+
+
 def test_surrogates_over_the_table(spark, sample):
     """Independent of the operator's patterns: what surrounds plain addresses and long digit runs stays, they go."""
     import re
@@ -577,6 +639,9 @@ def test_line_dedup_by_brute_force(spark):
 
 
 def test_line_dedup_odd_rows(spark, odd, empty):
+    own = {c: F.lit(c) for c in ("deleted", "lines", "row_key", "_lines", "doc", "w")}
+    kept = linededup.lines_deduplicated(odd.withColumns(own)).collect()
+    assert len(kept) == odd.count() and {tuple(r[c] for c in own) for r in kept} == {tuple(own)}
     out = linededup.lines_deduplicated(odd.withColumn("n_lines", F.lit("clash")))
     assert out.count() == odd.count() and set(odd.columns) < set(out.columns)
     by = {r.doc_id: r for r in out.filter("doc_id is not null").collect()}
