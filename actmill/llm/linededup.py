@@ -29,6 +29,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actmill.llm.ordering import apart
+
 RUN, WORDS, SALTS = 3, 50, 8
 
 
@@ -86,16 +88,16 @@ def repeated_lines(docs: DataFrame, row_key: str) -> DataFrame:
 def lines_deduplicated(docs: DataFrame) -> DataFrame:
     """docs with its text shortened, and n_lines and n_deleted; columns of these names are replaced."""
     docs = docs.drop("n_lines", "n_deleted")
-    key, own = "_row_key", "_lines"
+    key, own, gone = (apart(docs, x) for x in ("row_key", "lines", "deleted"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    deleted = repeated_lines(keyed.select("doc_id", "text", key), key)
+    deleted = repeated_lines(keyed.select("doc_id", "text", key), key).withColumnRenamed("deleted", gone)
     # Texts are split below the join and rebuilt above it, so that they are split once however many lines stay.
     cut = keyed.select(*(lines(F.col("text")).alias(own) if c == "text" else F.col(f"`{c}`") for c in docs.columns), key)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("deleted"))
-    short = F.when(F.col("deleted").isNull(), F.col(own)).otherwise(F.transform(kept, lambda i: F.get(F.col(own), i)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col(gone))
+    short = F.when(F.col(gone).isNull(), F.col(own)).otherwise(F.transform(kept, lambda i: F.get(F.col(own), i)))
     out = cut.join(deleted, key, "left")
     return out.select(
         *(F.array_join(short, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         F.when(F.col(own).isNull(), 0).otherwise(F.size(own)).alias("n_lines"),
-        F.when(F.col("deleted").isNull(), 0).otherwise(F.size("deleted")).alias("n_deleted"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias("n_deleted"),
     )

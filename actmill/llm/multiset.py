@@ -80,11 +80,13 @@ def hexed(equal: np.ndarray) -> list[str]:
 
 
 def fingerprint_documents(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with fingerprint string, and equal_lanes and like_lanes binary, from which documents can be edited and compared."""
+    """df with fingerprint string, and equal_lanes and like_lanes binary, from which documents can be edited and compared.
+
+    Columns of these names give way to them.
+    """
     small_batches(df.sparkSession)
     extra = ["fingerprint", "equal_lanes", "like_lanes"]
-    if clash := set(extra) & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    df = df.drop(*extra)
     at = df.columns.index(text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
