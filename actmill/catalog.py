@@ -235,6 +235,13 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     return lexical.idf_table(lexical.token_index(src.chunks(spark, d))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query
+def bm25_idf_levels(spark: SparkSession, d: str) -> DataFrame:
+    """An idf depends on the document frequency alone: how many terms have each."""
+    idf = lexical.idf_table(lexical.token_index(src.chunks(spark, d)))
+    return idf.groupBy("df").agg(F.count("*").alias("n_terms"), F.round(F.max("idf"), 6).alias("idf"), F.count_distinct(F.round("idf", 6)).alias("n_idf"))
+
+
 def _bm25(spark: SparkSession, d: str, laws: list[str] | None = None) -> DataFrame:
     return lexical.bm25_search(src.questions(spark, d), lexical.token_index(src.chunks(spark, d)), laws=laws)
 

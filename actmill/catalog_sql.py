@@ -162,6 +162,7 @@ SELECT coalesce(w.id, e.id) AS id, CASE WHEN e.id IS NULL THEN 'new' WHEN w.id I
     "sync_apply": "SELECT doc_id AS id, left(sha256(text), 16) AS hash, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'embedded' ELSE 'kept' END AS origin FROM documents",
     "l2_normalize": "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x * ((i - 1) % 3 + 1)) AS e FROM embeddings) SELECT vec_id, list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 6)) AS unit FROM v",
     "bm25_idf": f"WITH RECURSIVE {CHUNKS}, {BM25_PARTS} SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_idf_levels": f"WITH RECURSIVE {CHUNKS}, {BM25_PARTS} SELECT df, count(*) AS n_terms, round(max(idf), 6) AS idf, count(DISTINCT round(idf, 6)) AS n_idf FROM idf GROUP BY df",
     "bm25_search": f"WITH RECURSIVE {_bm25()} SELECT qid, chunk_id, score, rank FROM bm",
     "vector_law_filter": f"WITH {VECTOR.replace("trim(replace(text, chr(10), '')) <> ''", "trim(replace(text, chr(10), '')) <> '' AND source IN ('src1', 'src2', 'src3')")} SELECT qid, chunk_id, score, rank FROM ve",
     "bm25_law_filter": f"WITH RECURSIVE {_bm25(IN_LAWS)} SELECT qid, chunk_id, score, rank FROM bm",

@@ -1,6 +1,6 @@
 """Ranked articles and prompts for a table of questions.
 
-python -m actmill.jobs.answer_batch --chunks corpus/chunks --questions questions.jsonl --out ranked [--vectors corpus/vectors] [--laws a,b]
+python -m actmill.jobs.answer_batch --chunks corpus/chunks --questions questions.jsonl --out ranked [--vectors corpus/vectors] [--postings corpus/postings] [--laws a,b]
 """
 
 from __future__ import annotations
@@ -12,19 +12,22 @@ from pyspark.sql import functions as F
 
 from actmill import schemas
 from actmill.functions import citations, refs, text
-from actmill.operators import chunking, evaluation, fusion, lexical, models, sync, vectors
+from actmill.operators import chunking, evaluation, fusion, lexical, models, postings, sync, vectors
 from actmill.operators.snapshot import Snapshot
 from actmill.sources import tables
 
 
-def ranked(questions: DataFrame, chunks: DataFrame, laws: list[str] | None = None, k: int = 5, vectors_of: DataFrame | None = None, encoder: models.Encoder | None = None) -> DataFrame:
+def ranked(questions: DataFrame, chunks: DataFrame, laws: list[str] | None = None, k: int = 5, vectors_of: DataFrame | None = None, encoder: models.Encoder | None = None, found: postings.Postings | None = None) -> DataFrame:
     """Hits of questions(qid, question) over chunks(chunk_id, chunk_pos, text and the columns of CHUNK), by stems.
 
     vectors_of(id, embedding) are the vectors that encoder made of the chunks; without them ranks come from words alone.
+    found are the chunks' postings by stems, if they are stored: then no text is read for BM25, and the rows are the same.
     """
     named = questions.select("qid", text.strip_diacritics(F.lower("question")).alias("plain"))
-    index = lexical.token_index(chunks, stems=True)
-    bm25 = lexical.bm25_search(questions, index, laws=laws, stems=True)
+    if found is None:
+        bm25 = lexical.bm25_search(questions, lexical.token_index(chunks, stems=True), laws=laws, stems=True)
+    else:
+        bm25 = postings.pruned_search(questions, found, laws=laws, stems=True)
     near = None
     if vectors_of is not None and encoder is not None:
         limit = [c for c in ("laws",) if c in questions.columns]
@@ -47,13 +50,15 @@ def main() -> None:
         a.add_argument(name, required=True)
     a.add_argument("--laws", default="")
     a.add_argument("--vectors", default="")
+    a.add_argument("--postings", default="")
     args = a.parse_args()
     spark = SparkSession.builder.appName("answer batch").getOrCreate()
     asked = tables.read_records(spark, args.questions, schemas.QUESTION).withColumnRenamed("id", "qid")
-    rows = spark.read.parquet(args.chunks).withColumnRenamed("id", "chunk_id")
-    chunks = rows.withColumns({"text": chunking.chunk_text(), "chunk_pos": F.struct("law_slug", "article", "part")})
+    rows = spark.read.parquet(args.chunks)
+    chunks = chunking.searchable(rows)
     made = Snapshot(spark, args.vectors, schemas.VECTOR).read() if args.vectors else None
-    hits = ranked(asked, chunks, [x for x in args.laws.split(",") if x] or None, 10, made, models.hashing_encoder())
+    found = postings.read_postings(spark, args.postings) if args.postings else None
+    hits = ranked(asked, chunks, [x for x in args.laws.split(",") if x] or None, 10, made, models.hashing_encoder(), found)
     tables.write_records(hits, f"{args.out}/hits")
     done = spark.read.parquet(f"{args.out}/hits")
     tables.write_records(prompts(asked, chunks, done.filter("rank <= 5")), f"{args.out}/prompts")

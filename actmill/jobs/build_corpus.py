@@ -1,6 +1,6 @@
 """Stored pages to articles, chunks and an updated vector table.
 
-python -m actmill.jobs.build_corpus --html 'pages/*.html' --meta 'pages/*.json' --out corpus [--vectors vectors]
+python -m actmill.jobs.build_corpus --html 'pages/*.html' --meta 'pages/*.json' --out corpus [--vectors vectors] [--postings]
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from actmill import schemas
 from actmill.functions import html
-from actmill.operators import chunking, ingest, models, quality, sync
+from actmill.operators import chunking, ingest, lexical, models, postings, quality, sync
 from actmill.operators.snapshot import Snapshot
 from actmill.sources import tables
 
@@ -51,6 +51,7 @@ def main() -> None:
     for name in ("--html", "--meta", "--out"):
         a.add_argument(name, required=True)
     a.add_argument("--vectors", help="the vector table, a snapshot of buckets that is brought in step; made where it is missing")
+    a.add_argument("--postings", action="store_true", help="store the chunks' postings by stems too")
     args = a.parse_args()
     spark = SparkSession.builder.appName("build corpus").getOrCreate()
     pages = tables.read_pages(spark, args.html, args.meta).drop("n_articles").withColumn("page_id", F.xxhash64("slug"))
@@ -64,6 +65,9 @@ def main() -> None:
     tables.write_records(quality.check_chunks(spark.read.parquet(f"{args.out}/chunks")), f"{args.out}/problems_chunks")
     if args.vectors:
         Snapshot(spark, args.vectors, schemas.VECTOR).sync(wanted_vectors(spark.read.parquet(f"{args.out}/chunks")), embedder(models.hashing_encoder()))
+    if args.postings:
+        index = lexical.token_index(chunking.searchable(spark.read.parquet(f"{args.out}/chunks")), stems=True)
+        postings.postings(index).write(f"{args.out}/postings")
 
 
 if __name__ == "__main__":

@@ -85,3 +85,8 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     total = sized.agg(F.count("*").alias("n_chunks"), F.max("n").alias("longest"))
     whole = total.crossJoin(F.broadcast(median.drop("g"))).select(F.lit(None).cast("string").alias("law_slug"), "n_chunks", "median", "longest")
     return by.select("law_slug", "n_chunks", F.lit(None).cast("int").alias("median"), F.lit(None).cast("int").alias("longest")).unionByName(whole)
+
+
+def searchable(chunks: DataFrame) -> DataFrame:
+    """Chunk rows as the search has them: chunk_id, text, and chunk_pos by act, article and part."""
+    return chunks.withColumnRenamed("id", "chunk_id").withColumns({"text": chunk_text(), "chunk_pos": F.struct("law_slug", "article", "part")})

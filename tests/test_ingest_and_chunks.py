@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from actmill import schemas
 from actmill.functions import html, stemmer, text
 from actmill.jobs import answer_batch, build_corpus
-from actmill.operators import chunking, ingest, models, quality, sync
+from actmill.operators import chunking, ingest, lexical, models, postings, quality, sync
 from actmill.operators.snapshot import Snapshot
 from actmill.sources import tables
 
@@ -196,10 +196,13 @@ def test_round_trips_and_jobs(spark, tmp_path):
     assert chunks.count() == 2 and sorted(r.problem for r in quarantine.collect()) == ["no heading", "no metadata"]
     empty = spark.createDataFrame([], "id string, embedding array<float>, text string, law_slug string, law_ref string, article string, part int, hash string")
     assert build_corpus.next_vectors(empty, chunks, models.hashing_encoder()).count() == 2
-    rows = chunks.withColumnRenamed("id", "chunk_id").withColumns({"text": chunking.chunk_text(), "chunk_pos": F.struct("law_slug", "article", "part")})
+    rows = chunking.searchable(chunks)
     # Two chunks alone would make each term as common as not, with an idf of 0.
     rows = rows.unionByName(rows.withColumns({"chunk_id": F.concat("chunk_id", F.lit("x")), "article": F.concat("article", F.lit("x")), "text": F.lit("altceva")}))
     asked = spark.createDataFrame([("q", "Statul nostru este unul"), ("z", "nimic")], "qid string, question string")
     hits = answer_batch.ranked(asked, rows)
     assert hits.filter("qid = 'q' and rank = 1").first().article == "3"
+    stored = postings.postings(lexical.token_index(rows, stems=True))
+    same = lambda df: sorted(repr(r) for r in df.collect())
+    assert same(answer_batch.ranked(asked, rows, found=stored)) == same(hits)
     assert answer_batch.prompts(asked, rows, hits).filter("qid = 'q'").first().prompt.startswith("SURSE:\n\n[1] Actul (L)")
