@@ -17,6 +17,8 @@ from actmill.operators.storage import shared_folder, stored
 from actmill.sources import tables as src
 
 QUERIES = {}
+#: Below this BM25 score a chunk is not relevant enough to answer from.
+LEAST_SCORE = 45
 LAW_FILTER = ["src1", "src2", "src3"]
 
 
@@ -119,8 +121,10 @@ def marginal_title(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def article_number(spark: SparkSession, d: str) -> DataFrame:
-    heading = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Anexa "), "doc_id")).otherwise(F.concat(F.lit("Articolul  "), "doc_id", F.when(F.col("doc_id") % 2 == 0, "^1 ").otherwise("")))
-    return docs(spark, d).select("doc_id", ingest.article_number(heading).alias("number"))
+    # Each line as a heading, of an article or of something else.
+    heading = lambda x, i: F.concat(F.when((F.col("doc_id") + i) % 3 == 0, "Anexa ").otherwise("Articolul  "), x, F.when(i % 2 == 0, "^1 ").otherwise(""))
+    numbers = F.transform(F.split("text", "\n"), lambda x, i: ingest.article_number(heading(x, i)))
+    return docs(spark, d).select("doc_id", numbers.alias("numbers"))
 
 
 @query
@@ -291,14 +295,14 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vector_laws_each(spark: SparkSession, d: str) -> DataFrame:
-    v = src.document_vectors(spark, d).withColumn("law_slug", F.substring_index("id", ":", 1))
+    v = src.document_vectors(spark, d)
     asked = src.question_vectors(spark, d).join(_limited(spark, d).select("qid", "laws"), "qid")
     return vectors.vector_search(asked, v).withColumnRenamed("id", "chunk_id")
 
 
 @query
 def vector_law_filter(spark: SparkSession, d: str) -> DataFrame:
-    v = src.document_vectors(spark, d).withColumn("law_slug", F.substring_index("id", ":", 1))
+    v = src.document_vectors(spark, d)
     return vectors.vector_search(src.question_vectors(spark, d), v, laws=LAW_FILTER).withColumnRenamed("id", "chunk_id")
 
 
@@ -415,8 +419,8 @@ def resolve_citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """The three best chunks of each question as sources of one chunk each."""
-    best = _bm25(spark, d).filter("rank <= 3 and qid % 3 <> 0")
+    """The three best chunks of each question as sources of one chunk each; chunks of a low score are no source."""
+    best = _bm25(spark, d).filter(f"rank <= 3 and score >= {LEAST_SCORE}")
     return best.join(src.chunks(spark, d), "chunk_id").select("qid", "rank", "header", F.array("body").alias("bodies"), "n_parts", "law_slug", "law_ref", "article", "part")
 
 

@@ -46,15 +46,15 @@ bm AS (SELECT qid, chunk_id, score, rank FROM (SELECT qid, chunk_id, score, row_
 
 IN_LAWS = "law_slug IN ('src1', 'src2', 'src3')"
 VECTOR = """
-dv AS (SELECT source || ':art' || doc_id || ':1' AS chunk_id, doc_id, embedding::DOUBLE[] AS v FROM embeddings JOIN documents ON vec_id = doc_id WHERE trim(replace(text, chr(10), '')) <> ''),
+dv AS (SELECT chunk_id, law_slug, doc_id, part, embedding::DOUBLE[] AS v FROM embeddings JOIN chunks ON vec_id = doc_id),
 qv AS (SELECT item_id AS qid, embedding::DOUBLE[] AS v FROM embeddings JOIN benchmark ON vec_id = item_id),
-ve AS (SELECT qid, chunk_id, score, rank FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank
-  FROM (SELECT qid, chunk_id, doc_id, round(list_dot_product(qv.v, dv.v), 6) AS score FROM qv, dv)) WHERE rank <= 30)"""
+ve AS (SELECT qid, chunk_id, score, rank FROM (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, part)::INT AS rank
+  FROM (SELECT qid, chunk_id, doc_id, part, round(list_dot_product(qv.v, dv.v), 6) AS score FROM qv, dv)) WHERE rank <= 30)"""
 
 
 #: Each question's own acts, as the queries give them.
 EACH = "(qid % 3 <> 0 OR {} IN ('src1', 'src5'))"
-VECTOR_EACH = VECTOR.replace("FROM qv, dv)", f"FROM qv, dv WHERE {EACH.format("split_part(chunk_id, ':', 1)")})")
+VECTOR_EACH = VECTOR.replace("FROM qv, dv)", f"FROM qv, dv WHERE {EACH.format("law_slug")})")
 
 
 def _fused(weight: float = 1.0, where: str = "true", vector: str = VECTOR) -> str:
@@ -124,7 +124,7 @@ _LAW_CASES = ", ".join(
 _ALIASES = "[" + ", ".join(f"'{law[4][-1].upper()}'" for law in LAWS) + "]"
 SCRIPTED = rf"""
 asked AS (SELECT doc_id AS qid, strip_accents(lower('Art. ' || (doc_id % 400) || CASE WHEN doc_id % 5 = 0 THEN ' ind. ' || (doc_id % 4) ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN ', articolul ' || (doc_id % 31) || '^2' ELSE '' END
-  || CASE WHEN doc_id % 8 = 0 THEN '' ELSE ' din ' || ({_ALIASES})[doc_id % 6 + 1] END || CASE WHEN doc_id % 7 = 0 THEN ' și Codul Penal' ELSE '' END || ' ' || string_split(text, {_NL})[1])) AS plain FROM documents),
+  || CASE WHEN doc_id % 8 = 0 THEN '' ELSE ' din ' || ({_ALIASES})[doc_id % 6 + 1] END || CASE WHEN doc_id % 7 = 0 THEN ' și Codul Penal' ELSE '' END || ' ' || text)) AS plain FROM documents),
 law AS (SELECT qid, plain, list_filter([{_LAW_CASES}], lambda x: x IS NOT NULL) AS laws FROM asked)"""
 _ART = r"'\bart(?:icolul|icolului|icol|\.)?\s*(\d+)(?:\s*(?:\^|ind(?:ice)?\.?)\s*(\d+))?'"
 
@@ -141,7 +141,8 @@ ORACLE_SQL = {
     "marginal_title": f"""WITH u AS (SELECT doc_id, list_transform(list_filter(string_split(text, {_NL}), lambda x: trim(x) <> ''), lambda x: CASE WHEN doc_id % 3 = 0 THEN regexp_replace(x, '[.]$', '') ELSE x END) AS units FROM documents),
 m AS (SELECT doc_id, units, len(units) > 1 AND length(units[1]) < 120 AND NOT regexp_matches(units[1], '[.:;,]$') AS moved FROM u)
 SELECT doc_id, CASE WHEN moved THEN units[1] ELSE '' END AS title, CASE WHEN moved THEN units[2:] ELSE units END AS units FROM m""",
-    "article_number": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Anexa ' || doc_id WHEN doc_id % 2 = 0 THEN doc_id || '^1' ELSE doc_id::VARCHAR END AS number FROM documents",
+    "article_number": f"""SELECT doc_id, list_transform(string_split(text, {_NL}), lambda x, i: CASE WHEN (doc_id + i - 1) % 3 = 0 THEN 'Anexa ' || x || CASE WHEN i % 2 = 1 THEN '^1 ' ELSE '' END
+  WHEN trim(x || CASE WHEN i % 2 = 1 THEN '^1 ' ELSE '' END) = '' THEN 'Articolul  ' || x ELSE trim(ltrim(x, ' ' || chr(9)) || CASE WHEN i % 2 = 1 THEN '^1 ' ELSE '' END) END) AS numbers FROM documents""",
     "article_stats": "SELECT source AS law_slug, count(*) AS n_articles, count(*) FILTER (doc_id % 10 <> 3) AS n_in_force FROM documents GROUP BY 1",
     "article_references": "SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '[A-Z]\\p{L}+'))) AS \"references\" FROM documents",
     "group_units": f"""WITH RECURSIVE units AS (SELECT doc_id, u, i FROM (SELECT doc_id, string_split(text, {_NL}) AS a FROM documents), unnest(a) WITH ORDINALITY AS t(u, i)),
@@ -164,7 +165,7 @@ SELECT coalesce(w.id, e.id) AS id, CASE WHEN e.id IS NULL THEN 'new' WHEN w.id I
     "bm25_idf": f"WITH RECURSIVE {CHUNKS}, {BM25_PARTS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_idf_levels": f"WITH RECURSIVE {CHUNKS}, {BM25_PARTS} SELECT df, count(*) AS n_terms, round(max(idf), 6) AS idf, count(DISTINCT round(idf, 6)) AS n_idf FROM idf GROUP BY df",
     "bm25_search": f"WITH RECURSIVE {_bm25()} SELECT qid, chunk_id, score, rank FROM bm",
-    "vector_law_filter": f"WITH {VECTOR.replace("trim(replace(text, chr(10), '')) <> ''", "trim(replace(text, chr(10), '')) <> '' AND source IN ('src1', 'src2', 'src3')")} SELECT qid, chunk_id, score, rank FROM ve",
+    "vector_law_filter": f"WITH RECURSIVE {CHUNKS}, {VECTOR.replace('FROM qv, dv)', f'FROM qv, dv WHERE {IN_LAWS})')} SELECT qid, chunk_id, score, rank FROM ve",
     "bm25_law_filter": f"WITH RECURSIVE {_bm25(IN_LAWS)} SELECT qid, chunk_id, score, rank FROM bm",
     "vector_topk": "SELECT qid, id, score, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.vec_id)::INT AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) WHERE rank <= 10",
     "rrf": f"WITH RECURSIVE {_fused()} SELECT * FROM fused",
@@ -183,7 +184,7 @@ every AS (SELECT qid, law_slug, article, -1.0::DOUBLE AS score, true AS explicit
 SELECT * EXCLUDE (spot) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY explicit DESC, spot, law_slug, article)::INT AS rank FROM every) WHERE rank <= 5""",
     "bm25_pruned": f"WITH RECURSIVE {_bm25()} SELECT qid, chunk_id, score, rank FROM bm",
     "bm25_laws_each": f"WITH RECURSIVE {_bm25(EACH.format('law_slug'))} SELECT qid, chunk_id, score, rank FROM bm",
-    "vector_laws_each": f"WITH {VECTOR_EACH} SELECT qid, chunk_id, score, rank FROM ve",
+    "vector_laws_each": f"WITH RECURSIVE {CHUNKS}, {VECTOR_EACH} SELECT qid, chunk_id, score, rank FROM ve",
     "ann_recall": "SELECT count(*) AS n_queries, true AS enough, true AS full FROM embeddings WHERE vec_id % 100 = 0",
     "snapshot_sync": "SELECT doc_id AS id, left(sha256(text), 16) AS hash, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'embedded' ELSE 'kept' END AS origin FROM documents",
     "hierarchy_paths": "SELECT page_id, 'Articolul 1' AS heading, CASE WHEN page_id % 2 = 0 THEN ['Partea ' || page_id || ' - despre ' || (page_id % 7), 'Grupa ' || (page_id % 5)] ELSE ['Partea ' || page_id || ' - despre ' || (page_id % 7)] END AS hierarchy FROM pages",
@@ -210,9 +211,9 @@ f AS (SELECT qid, law_slug, article, min(i) AS i FROM n GROUP BY 1, 2, 3) SELECT
     "infer_citations": f"WITH {ANSWERS} SELECT id, inferred AS cited FROM inf",
     "resolve_citations": f"WITH {ANSWERS}, keys AS (SELECT id, list(article ORDER BY n) AS keys FROM hit GROUP BY 1) SELECT cite.id, list_transform(CASE WHEN len(cited) > 0 THEN cited ELSE coalesce(inferred, []::BIGINT[]) END, lambda n: keys[n]) AS resolved FROM cite LEFT JOIN inf USING (id) JOIN keys USING (id)",
     "build_prompts": f"""WITH RECURSIVE {_bm25()},
-h AS (SELECT qid, rank, '[' || rank || '] ' || header || CASE WHEN n_parts <> 1 THEN ' (extras)' ELSE '' END || {_NL} || body AS source FROM bm JOIN chunks USING (chunk_id) WHERE rank <= 3 AND qid % 3 <> 0)
+h AS (SELECT qid, rank, '[' || rank || '] ' || header || CASE WHEN n_parts <> 1 THEN ' (extras)' ELSE '' END || {_NL} || body AS source FROM bm JOIN chunks USING (chunk_id) WHERE rank <= 3 AND score >= 45)
 SELECT qid, 'SURSE:' || {_NL} || {_NL} || string_agg(source, {_NL} || {_NL} ORDER BY rank) || {_NL} || {_NL} || '---' || {_NL} || 'ÎNTREBARE: ' || any_value(b.text) AS prompt FROM h JOIN benchmark b ON item_id = qid GROUP BY qid""",
-    "unanswered": f"WITH RECURSIVE {_bm25()} SELECT item_id AS qid, 'Nu am găsit în legile indexate prevederi relevante pentru această întrebare.' AS answer FROM benchmark WHERE item_id NOT IN (SELECT qid FROM bm WHERE qid % 3 <> 0)",
+    "unanswered": f"WITH RECURSIVE {_bm25()} SELECT item_id AS qid, 'Nu am găsit în legile indexate prevederi relevante pentru această întrebare.' AS answer FROM benchmark WHERE item_id NOT IN (SELECT qid FROM bm WHERE score >= 45)",
     "source_labels": f"WITH RECURSIVE {CHUNKS} SELECT chunk_id, '[' || part || ']  ' || law_ref || ' · art. ' || article || CASE WHEN part % 2 = 0 THEN ' · Titlu - doi' ELSE '' END AS label, array_to_string(string_split(string_split(header, {_NL})[1], ' > ')[2:], ' / ') AS crumb, CASE WHEN doc_id % 2 = 0 THEN strftime(DATE '2020-01-01' + (doc_id % 700)::INT, '%d.%m.%Y') ELSE 'forma republicată' END AS shown FROM chunks",
     "law_versions": f"WITH RECURSIVE {CHUNKS} SELECT law_slug, NULL::VARCHAR AS consolidation_date, arg_min(url, (doc_id, part)) AS url FROM chunks GROUP BY 1",
     "split_cited": f"WITH {ANSWERS} SELECT id, n, list_contains(cited, n) OR turn % 10 = 1 AS is_primary FROM hit JOIN cite USING (id) JOIN ans USING (id)",

@@ -137,10 +137,10 @@ def evaluation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, pos, vector): a vector for the first chunk of each document that has one."""
+    """(id, pos, law_slug, vector): a document's vector for each of its chunks, where it has one."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    d = table(spark, sf_dir, "documents").filter("trim(replace(text, '\n', '')) <> ''")
-    return v.join(d.select("doc_id", "source"), "doc_id").select(F.concat(F.col("source"), F.lit(":art"), F.col("doc_id"), F.lit(":1")).alias("id"), F.col("doc_id").alias("pos"), "vector")
+    parts = chunks(spark, sf_dir).select("doc_id", F.col("chunk_id").alias("id"), F.col("chunk_pos").alias("pos"), "law_slug")
+    return parts.join(v, "doc_id").select("id", "pos", "law_slug", "vector")
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def log_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scripted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, question): a document's first line with references to articles and acts put around it, by doc_id."""
+    """(qid, question): a document's text with references to articles and acts put before it, by doc_id."""
     from actmill.functions.refs import LAWS
 
     d = table(spark, sf_dir, "documents")
@@ -192,7 +192,7 @@ def scripted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(F.col("doc_id") % 7 == 0, F.lit(" și Codul Penal")).otherwise("")
     number = F.concat(F.lit("Art. "), F.col("doc_id") % 400, F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ind. "), F.col("doc_id") % 4)).otherwise(""), F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit(", articolul "), F.col("doc_id") % 31, F.lit("^2"))).otherwise(""))
     law = F.when(F.col("doc_id") % 8 == 0, "").otherwise(F.concat(F.lit(" din "), alias))
-    return d.select(F.col("doc_id").alias("qid"), F.concat_ws(" ", F.concat(number, law, other), F.split("text", "\n")[0]).alias("question"))
+    return d.select(F.col("doc_id").alias("qid"), F.concat_ws(" ", F.concat(number, law, other), "text").alias("question"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
