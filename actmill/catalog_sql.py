@@ -204,6 +204,19 @@ g AS (SELECT conv_id, unnest([1, 2]) AS rank, unnest([conv_id, conv_id + 1]) AS
 s AS (SELECT conv_id, string_agg('[' || rank || '] ' || upper(source) || ': ' || doc_id || CASE WHEN doc_id % 2 = 1 THEN ' (extras)' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS given FROM g JOIN documents USING (doc_id) GROUP BY 1)
 SELECT conv_id::VARCHAR AS id, labels, '# Question' || chr(10) || question || chr(10) || chr(10) || CASE WHEN given IS NULL THEN '' ELSE '# Sources' || chr(10) || given || chr(10) || chr(10) END
   || CASE WHEN trim(coalesce(key, '')) = '' THEN '' ELSE '# Key' || chr(10) || key || chr(10) || chr(10) END || '# Answers' || chr(10) || chr(10) || shown AS prompt FROM p JOIN q USING (conv_id) LEFT JOIN s USING (conv_id)""",
+    "parse_pages": r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '<article[^>]*>(.*?)</article>', 1, 's') AS body FROM pages),
+p AS (SELECT page_id, url, list_transform(string_split(body, '<p>')[2:], lambda x: regexp_replace(string_split(x, '</p>')[1], '<[^>]*>', '', 'g')) AS raw FROM a),
+u AS (SELECT page_id, url, list_filter(list_transform(raw, lambda x: array_to_string(list_filter(list_transform(string_split(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), chr(10)),
+  lambda y: trim(regexp_replace(y, '[ \t\r\f\x0B\x{A0}]+', ' ', 'g'))), lambda y: y <> ''), chr(10))), lambda x: x <> '') AS units FROM p),
+t AS (SELECT *, len(units) > 1 AND length(units[1]) < 120 AND NOT contains(units[1], chr(10)) AND NOT regexp_matches(units[1], '[.:;,]$') AS moved FROM u)
+SELECT page_id, 0 AS pos, 'web' AS law_slug, 'Web' AS law_name, 'W' AS law_ref, '1' AS number, CASE WHEN moved THEN units[1] ELSE '' END AS title, []::VARCHAR[] AS hierarchy,
+  CASE WHEN moved THEN units[2:] ELSE units END AS units, url, NULL::VARCHAR AS consolidation_date, len(units) = 0 AS abrogated, []::VARCHAR[] AS "references" FROM t""",
+    "embed_hash": """WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda r, z: xor(r >> 1, (r & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i)),
+used AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2),
+hashed AS (SELECT word, xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda x: ('0x' || x)::UBIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1]))) AS h FROM (SELECT DISTINCT word FROM used) CROSS JOIN tab),
+sums AS (SELECT doc_id, (h % 64)::INT AS i, sum(CASE WHEN h >= 2147483648 THEN n ELSE -n END)::DOUBLE AS x FROM used JOIN hashed USING (word) GROUP BY 1, 2),
+dense AS (SELECT doc_id, list(coalesce(x, 0.0::DOUBLE) ORDER BY i) AS v FROM (SELECT doc_id, unnest(range(64))::INT AS i FROM documents) LEFT JOIN sums USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, list_transform(v, lambda x: (CASE WHEN list_dot_product(v, v) > 0 THEN x / sqrt(list_dot_product(v, v)) ELSE 0 END)::FLOAT) AS embedding FROM dense""",
     "detect_laws": f"WITH {SCRIPTED} SELECT qid, laws FROM law",
     "detect_refs": f"""WITH {SCRIPTED}, n AS (SELECT qid, laws[1] AS law_slug, CASE WHEN coalesce(s, '') = '' THEN a ELSE a || '^' || s END AS article, i FROM (SELECT qid, laws, unnest(regexp_extract_all(plain, {_ART}, 1)) AS a, unnest(regexp_extract_all(plain, {_ART}, 2)) AS s, unnest(range(len(regexp_extract_all(plain, {_ART}, 1)))) AS i FROM law WHERE len(laws) = 1)),
 f AS (SELECT qid, law_slug, article, min(i) AS i FROM n GROUP BY 1, 2, 3) SELECT qid, law_slug, article, (row_number() OVER (PARTITION BY qid ORDER BY i) - 1)::INT AS ref_pos FROM f""",
