@@ -131,6 +131,19 @@ def test_text(spark):
     assert ws == "a b\nc d"
 
 
+# Words by the stem that the published rules give them.
+STEMS = {
+    "abrupt": "abruptă", "absent": "absent absentă absente", "absenţ": "absenţa absenţă absenţi", "absol": "absolut absoluta absolută absolute absolutul absolutului",
+    "absolv": "absolve absolvi absolvire absolvit absolviţi", "absorb": "absorbant absorbantă absorbi absorbit absorbite absorbiţi", "absorbţ": "absorbţia", "abstinent": "abstinent",
+    "abstract": "abstract abstractă abstracte", "abstractiz": "abstractiza abstractizare abstractizat abstractizăm", "abstracto": "abstracto", "abstracţ": "abstracţia abstracţii abstracţiilor",
+}
+
+
+@pytest.mark.parametrize("stem", STEMS)
+def test_stems_by_the_published_rules(stem):
+    assert {w: stemmer.stem(w) for w in STEMS[stem].split()} == dict.fromkeys(STEMS[stem].split(), stem)
+
+
 def test_sync_and_vectors(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "id string, hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "id string, hash string")
