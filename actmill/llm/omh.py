@@ -217,14 +217,13 @@ def candidates(sketches: DataFrame) -> DataFrame:
 
 
 def unsettled(sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """(value, parts, key, label, entries): the members of the one-entry buckets in which texts of several classes meet.
+    """(value, parts, key, label): the members of the one-entry buckets in which texts of several classes meet.
 
     A pair that shares a deeper bucket shares its entries, so these buckets hold all pairs. parts is how many blocks the
     bucket makes, by its members and by their shingles.
     """
-    first = F.slice("entries", 1, ENTRIES).alias("entries")
-    labels = sketches.join(classes, "key", "left").select("key", "size", F.coalesce("class_key", "key").alias("label"), first)
-    members = labels.select("key", "size", "label", "entries", F.explode("entries").alias("value"))
+    labels = sketches.join(classes, "key", "left").withColumn("label", F.coalesce("class_key", "key"))
+    members = labels.select("key", "size", "label", F.explode(F.slice("entries", 1, ENTRIES)).alias("value"))
     parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts")
     mixed = members.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"), parts).filter("low <> high").select("value", "parts")
     return members.join(mixed, "value").drop("size")
@@ -277,13 +276,14 @@ def judged(value: int, own: tuple, its: tuple, same: bool) -> Iterator[tuple[int
             yield min(int(k[a]), int(its_k[b])), max(int(k[a]), int(its_k[b])), score
 
 
-def judged_links(members: DataFrame, seqs: DataFrame) -> DataFrame:
+def judged_links(members: DataFrame, sketches: DataFrame, seqs: DataFrame) -> DataFrame:
     """Links between the classes of members: all pairs of a bucket, block by block, bounded and aligned in one place.
 
     Sequences travel with the blocks, once for each bucket and side, and not with pairs; what comes out are links. Blocks
     of a bucket meet in a plain join, which the adaptive plan can split; a bucket of one block needs none.
     """
-    dealt = members.join(seqs, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")))
+    facts = seqs.join(sketches.select("key", F.slice("entries", 1, ENTRIES).alias("entries")), "key")
+    dealt = members.join(facts, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")))
     gathered = lambda rows: rows.groupBy("value", "block").agg(F.collect_list(F.struct("key", "label", "entries", "shingles")).alias("own"))
     none = F.array().cast("array<struct<key: bigint, label: bigint, entries: array<bigint>, shingles: binary>>")
     alone = gathered(dealt.filter("parts = 1")).select("value", "own", none.alias("its"))
@@ -377,7 +377,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     seqs = checkpointed(sequences(docs, tried))  # of all texts that share a bucket, hence of all later pairs
     links = checkpointed(verified(seqs, tried))
     classes = components(links)
-    found = checkpointed(judged_links(unsettled(sketches, classes), seqs).distinct())
+    found = checkpointed(judged_links(unsettled(sketches, classes), sketches, seqs).distinct())
     if not found.isEmpty():
         links = links.unionByName(found)
         classes = components(links)
