@@ -38,6 +38,8 @@ SHINGLE_WORDS, LIKENESS = 5, 0.8
 ENTRIES, TUPLE, DEPTHS = 16, 3, 3
 #: Fewest and most bins of a text's shingle counts; texts, and shingles, of a block where all pairs of a bucket are compared.
 FEWEST_BINS, MOST_BINS, BLOCK, BLOCK_SHINGLES = 512, 2048, 256, 1 << 18
+#: Rows of a partition where components are sought.
+ROUND_ROWS = 1 << 16
 _ODD = mix(np.arange(1, ENTRIES + 1, dtype=U64)) | U64(1)
 
 
@@ -350,15 +352,18 @@ def verified(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, class_key) of every linked key: smallest key of its connected component.
 
-    Rounds of neighbour minima with pointer jumping over the links alone; every round is cut by checkpoint().
+    Rounds of neighbour minima with pointer jumping over the links alone; every round is cut by checkpoint(). What a round
+    reads is in as many partitions as its rows need, since many rounds over few rows else write many empty files.
     """
-    edges = checkpointed(links.select(F.col("hub").alias("u"), F.col("key").alias("v")).unionByName(links.select(F.col("key").alias("u"), F.col("hub").alias("v"))))
-    labels = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.least("u", "m").alias("label")))
+    written = checkpointed(links.select(F.col("hub").alias("u"), F.col("key").alias("v")).unionByName(links.select(F.col("key").alias("u"), F.col("hub").alias("v"))))
+    few = 1 + written.count() // ROUND_ROWS
+    edges = written.coalesce(few)
+    labels = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.least("u", "m").alias("label"))).coalesce(few)
     while True:
         seen = edges.join(labels, edges.v == labels.key).groupBy("u").agg(F.min("label").alias("near"))
         closer = labels.join(seen, labels.key == seen.u).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        new = checkpointed(closer.join(jump, "label").select("key", "old", F.least("label", "further").alias("label")))
+        new = checkpointed(closer.join(jump, "label").select("key", "old", F.least("label", "further").alias("label"))).coalesce(few)
         labels = new.select("key", "label")
         if new.filter("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "class_key")
