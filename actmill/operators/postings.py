@@ -16,7 +16,7 @@ A search for the k best chunks of many questions at once:
    never joined to their postings. The rest is summed by (question, chunk), combined before the shuffle. The k-th of these
    sums is a higher floor; what the left-out blocks could still add is known, and chunks that cannot reach the floor
    with it go.
-3. Score: the chunks left get their exact score from forward, and the k best are kept.
+3. Score: the chunks left get what terms with skipped blocks add from forward, and the k best are kept.
 
 Sums are compared with SLACK, which is more than rounding to 6 places can move, so ranks and ties equal those of scoring
 every posting. A term of negative idf has no upper bound above 0, and its least impact is taken off the floor.
@@ -100,13 +100,14 @@ def _questions(questions: DataFrame, found: Postings, stems: bool, laws: list[st
 
 
 def _exact(pairs: DataFrame, asked: DataFrame, found: Postings) -> DataFrame:
-    """pairs(qid, chunk_id, ...) with score and chunk_pos: whole scores, unrounded."""
+    """pairs(qid, chunk_id, sure) with score and chunk_pos: sure and what the terms of asked add, unrounded."""
     use = asked.groupBy("qid").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("w"))).alias("use"))
-    use = use.select("qid", F.col("use.term").alias("terms"), F.map_from_entries("use").alias("use"))
-    both = pairs.join(use, "qid").join(found.forward, "chunk_id")
-    tf = lambda t: F.get("counts", F.array_position("words", t).cast("int") - 1)
-    score = F.aggregate(F.array_intersect("terms", "words"), F.lit(0.0), lambda acc, t: acc + F.element_at("use", t) * weight(tf(t), F.col("dl"), F.col("avgdl")))
-    return both.select(*pairs.columns, "chunk_pos", score.alias("score"))
+    both = pairs.join(use, "qid", "left").join(found.forward, "chunk_id")
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    # A term that the chunk has not got has no count, and adds nothing.
+    tf = lambda u: F.get("counts", F.array_position("words", u["term"]).cast("int") - 1)
+    more = F.aggregate("use", F.lit(0.0), lambda acc, u: acc + F.coalesce(u["w"] * (K1 + 1) / (1 + norm / tf(u)), F.lit(0.0)))
+    return both.select("qid", "chunk_id", "chunk_pos", (F.col("sure") + F.coalesce(more, F.lit(0.0))).alias("score"))
 
 
 def _sums(joined: DataFrame, part: Column) -> DataFrame:
@@ -125,7 +126,7 @@ def _floors(asked: DataFrame, heads: DataFrame, found: Postings, k: int) -> Data
     probed = asked.withColumn("place", heavy).filter(F.col("place") <= PROBE_TERMS).drop("place").join(best, "term")
     sums = _sums(probed.join(found.blocks.select("term", "level", "cut", "entries"), ["term", "level", "cut"]), F.sum(F.col("qtf") * F.col("e.impact")))
     most = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("part").desc(), "chunk_id"))
-    exact = _exact(sums.withColumn("place", most).filter(F.col("place") <= 2 * k).select("qid", "chunk_id"), asked, found)
+    exact = _exact(sums.withColumn("place", most).filter(F.col("place") <= 2 * k).select("qid", "chunk_id", F.lit(0.0).alias("sure")), asked, found)
     # null where a question has fewer chunks than k
     floors = exact.groupBy("qid").agg(F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("floor"))
     return asked.select("qid").distinct().join(floors, "qid", "left")
@@ -146,15 +147,17 @@ def pruned_search(questions: DataFrame, found: Postings, k: int = 30, laws: list
     missed = left_out.groupBy("qid").agg(F.sum("missed").alias("all_missed"))
     kept = bounded.filter("not skipped").join(left_out, ["qid", "term"], "left").join(found.blocks.select("term", "level", "cut", "entries"), ["term", "level", "cut"])
     impact = F.col("qtf") * F.col("e.impact")
-    sums = stored(_sums(kept, F.struct(F.sum(impact).alias("found"), F.sum(impact - F.coalesce("missed", F.lit(0.0))).alias("over"))))
+    # Of terms without a skipped block all is known: sure. The others are looked up again in the chunks that stay.
+    sure = F.sum(F.when(F.col("missed").isNull(), impact).otherwise(F.lit(0.0)))
+    sums = stored(_sums(kept, F.struct(F.sum(impact).alias("found"), F.sum(impact - F.coalesce("missed", F.lit(0.0))).alias("over"), sure.alias("sure"))))
     # What is found may still fall by terms of negative idf that were left out.
     down = asked.groupBy("qid").agg(F.sum("down").alias("down"))
     most = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("part.found").desc()))
     higher = sums.withColumn("place", most).filter(F.col("place") == k).select("qid", F.col("part.found").alias("kth"))
     facts = bounded.select("qid", "floor").distinct().join(missed, "qid", "left").join(higher, "qid", "left").join(down, "qid")
     facts = facts.select("qid", F.coalesce("all_missed", F.lit(0.0)).alias("all_missed"), F.coalesce(F.greatest("floor", F.col("kth") + F.col("down")), F.lit(float("-inf"))).alias("floor"))
-    pairs = sums.join(facts, "qid").filter(F.col("part.over") + F.col("all_missed") >= F.col("floor") - SLACK).select("qid", "chunk_id")
-    scored = _exact(pairs, asked, found).withColumn("score", F.round("score", 6)).filter("score > 0")
+    pairs = sums.join(facts, "qid").filter(F.col("part.over") + F.col("all_missed") >= F.col("floor") - SLACK).select("qid", "chunk_id", F.col("part.sure").alias("sure"))
+    scored = _exact(pairs, asked.join(left_out.select("qid", "term"), ["qid", "term"], "left_semi"), found).withColumn("score", F.round("score", 6)).filter("score > 0")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_pos"))
     return scored.withColumn("rank", place).filter(F.col("rank") <= k).select("qid", "chunk_id", "score", "rank")
 

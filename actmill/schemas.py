@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-LAW = "slug STRING, name STRING, short_ref STRING, seed_id BIGINT, aliases ARRAY<STRING>, pos INT"
-CONSOLIDATION = "law_slug STRING, doc_id BIGINT, version_date DATE, pos INT"
 PAGE_META = "slug STRING, name STRING, short_ref STRING, doc_id BIGINT, url STRING, consolidation_date DATE, downloaded_at TIMESTAMP, n_articles INT"
 ARTICLE = (
     "law_slug STRING, law_name STRING, law_ref STRING, number STRING, title STRING, hierarchy ARRAY<STRING>, units ARRAY<STRING>, "
