@@ -14,10 +14,11 @@ however many entries there are, only the number of blocks grows.
 
 A text's language is the one of lowest cross-entropy in bits a character. The score is a softmax of the cross-entropies,
 sharpened by the number of characters up to LONG, times the plausibility that the text is in that language at all. Both
-are calibrated on about CALIBRATION whole training texts (those of smallest hash), which are scored in the tasks; only
-their entropies reach the driver. A text is rejected if it has no letter, or if its distance from that language's mean
-entropy, on a scale where 1 is the entropy of a uniform code over the alphabet, exceeds the language's limit: the 99 %
-quantile of the calibration texts with a margin, LEAST_LIMIT at least and 1 at most. Short texts get an allowance.
+are calibrated on all training texts, each different one counted once: they are scored in the tasks, and Spark sums and
+counts their numbers, so that a few facts for each language reach the driver. A text is rejected if it has no letter, or
+if its distance from that language's mean entropy, on a scale where 1 is the entropy of a uniform code over the alphabet,
+exceeds the language's limit: the 99 % quantile of the training texts with a margin, LEAST_LIMIT at least and 1 at most.
+Short texts get an allowance.
 
 Defined results: a null text or one without a letter gets 'und', score 0 and is rejected; ties go to the first language
 in alphabetical order; without any training document each text is 'und' with score 0; repeated rows get equal results.
@@ -39,9 +40,11 @@ ORDER = 4
 #: Different n-grams that a counting task holds before it passes them on.
 HELD_GRAMS = 400_000
 BLOCK_ROWS = 4_000_000
-CALIBRATION = 2_000
 LONG = 200
 LEAST_LIMIT, MARGIN = 0.8, 1.5
+TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+#: Parts of 1 to which a quantile is exact; bits of it found in a round; rows of a partition of calibration numbers.
+FINE, ROUND_BITS, ROUND_ROWS = 1 << 16, 13, 1 << 16
 _BITS = 16
 _LETTER: list[np.ndarray] = []
 
@@ -280,7 +283,7 @@ def model_rows(counts: DataFrame) -> tuple[DataFrame, dict[str, float], int]:
 
 
 def fit(train: DataFrame) -> Model:
-    """Models of all languages in train(text, lang), calibrated on a bounded sample of it."""
+    """Models of all languages in train(text, lang), calibrated on all of it."""
     train = train.filter("text is not null and lang is not null")
     counts = checkpointed(_counted(train))
     rows, unseen, symbols = model_rows(counts)
@@ -301,7 +304,7 @@ def fit(train: DataFrame) -> Model:
 
 
 def _with_sums(docs: DataFrame, model: Model, text: str, finish, new: str) -> DataFrame:
-    """docs with further columns, which finish makes from entropies and numbers of characters; one pass for each block."""
+    """docs with further columns, which finish makes from a batch, its entropies and numbers of characters; one pass for each block."""
     sc, k = docs.sparkSession.sparkContext, len(model.languages)
     sent = [sc.broadcast(b) for b in model.blocks]
     bare = Model(model.languages, model.unseen, model.uniform, [], model.temperature, model.mean, model.spread, model.limit)
@@ -326,7 +329,7 @@ def _with_sums(docs: DataFrame, model: Model, text: str, finish, new: str) -> Da
                 if i < last:
                     yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in total], pa.binary())], [*own_names, "_sums"])
                 else:
-                    cols = finish(bare, -total / np.maximum(n, 1)[:, None] - bare.unseen, n)
+                    cols = finish(bare, b, -total / np.maximum(n, 1)[:, None] - bare.unseen, n)
                     yield pa.RecordBatch.from_arrays([*own, *cols], names)
 
         return df.mapInArrow(task, extended(schema, new if i >= last else "_sums binary"))
@@ -337,41 +340,84 @@ def _with_sums(docs: DataFrame, model: Model, text: str, finish, new: str) -> Da
     return df
 
 
-def _calibrated(model: Model, train: DataFrame) -> Model:
-    """Temperature, means, spreads and limits from about CALIBRATION whole texts, those of smallest hash.
+def _losses(h: np.ndarray, n: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """Log loss of each text's own language at each of TEMPERATURES, (texts, temperatures)."""
+    gap, at = h - h.min(axis=1, keepdims=True), np.arange(len(h))
+    out = np.zeros((len(h), len(TEMPERATURES)))
+    for i, t in enumerate(TEMPERATURES):
+        logit = -np.minimum(n, LONG)[:, None] * t * np.log(2) * gap
+        out[:, i] = np.log(np.exp(logit).sum(axis=1)) - logit[at, langs]
+    return out
+
+
+def _of_lang(values: dict[str, float]) -> Column:
+    """The value of a row's language."""
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("lang")]
+
+
+def _quantile(rows: DataFrame, value: Column, share: float, texts: dict[str, int], low: dict[str, float], high: dict[str, float]) -> dict[str, float]:
+    """For each language the smallest value, in steps of 1 / FINE, that at least that share of its rows do not exceed.
 
-    The share of hashes is set from the number of rows; texts that repeat count once, and are combined before they are
-    sent. A text's entropies are numbers for each language.
+    texts is the number of a language's rows; its values lie from low to high. A round counts the rows in each part of
+    the range that holds the wanted one, which becomes the next range, so no rows are gathered or put in order.
     """
-    share = min(1.0, CALIBRATION / max(train.count(), 1))
-    h = F.xxhash64("text", "lang")
-    chosen = train.select("text", "lang", h.alias("h")).filter(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
+    start = {x: int(np.floor(low[x] * FINE)) - 1 for x in texts}
+    left = {x: max(1, int(np.ceil(share * n))) for x, n in texts.items()}  # the wanted row's place in the range, from 1
+    bits = max(int(np.ceil(high[x] * FINE) + 1 - start[x]).bit_length() for x in texts)
+    exact = rows.select("lang", F.floor(value * FINE).alias("v"))
+    while bits > 0:
+        bits = max(bits - ROUND_BITS, 0)
+        part = F.shiftright(F.col("v") - _of_lang(start), bits)
+        counts = exact.select("lang", part.alias("part")).filter(F.col("part").between(0, (1 << ROUND_BITS) - 1)).groupBy("lang", "part").agg(F.count("*").alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("part")))
+        hits = upto.filter(F.col("upto") >= _of_lang(left)).groupBy("lang").agg(F.min(F.struct("part", "upto", "n")).alias("hit")).collect()
+        for r in hits:
+            start[r["lang"]] += r["hit"]["part"] << bits
+            left[r["lang"]] -= r["hit"]["upto"] - r["hit"]["n"]
+    return {x: v / FINE for x, v in start.items()}
 
-    def finish(bare: Model, entropies: np.ndarray, n: np.ndarray) -> list[pa.Array]:
-        return [pa.array(list(entropies), pa.list_(pa.float64())), pa.array(n.astype(np.int64))]
 
-    scored = _with_sums(chosen, model, "text", finish, "entropies array<double>, n long")
-    rows = sorted(scored.filter("n > 0").groupBy("h", "lang").agg(F.first("entropies").alias("entropies"), F.first("n").alias("n")).collect(), key=lambda r: (r["h"], r["lang"]))
+def _calibrated(model: Model, train: DataFrame) -> Model:
+    """Temperature, means, spreads and limits from all training texts; texts that repeat count once.
+
+    What is kept of a text are the entropy in its own language, its length and its losses. Sums are decimal, so that they
+    do not depend on the order of rows.
+    """
+    place = {x: i for i, x in enumerate(model.languages)}
+    losses = [f"loss_{i}" for i in range(len(TEMPERATURES))]
+
+    def finish(bare: Model, batch: pa.RecordBatch, entropies: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+        langs = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
+        own = entropies[np.arange(len(n)), langs]
+        return [pa.array(own), pa.array(n.astype(np.int64)), *map(pa.array, _losses(entropies, n, langs).T)]
+
+    scored = _with_sums(train.select("text", "lang", F.xxhash64("text", "lang").alias("h")), model, "text", finish, "own double, n long, " + ", ".join(f"{x} double" for x in losses))
+    rows = checkpointed(scored.drop("text").filter("n > 0").dropDuplicates(["h", "lang"]))
+    rows = rows.coalesce(1 + rows.count() // ROUND_ROWS)  # few numbers a text: small tables need few tasks
+    root = F.sqrt(F.least("n", F.lit(LONG)))
+    total = lambda x, name: F.sum(x.cast("decimal(20,9)")).alias(name)
+    sums = [total(F.col("own") * root, "weighted"), total(root, "weight"), *(total(F.col(x), x) for x in losses)]
+    facts = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("texts"), F.min("own").alias("low"), F.max("own").alias("high"), *sums).collect()}
     k = len(model.languages)
-    h = np.array([r["entropies"] for r in rows]).reshape(-1, k)
-    n = np.array([r["n"] for r in rows], np.int64)
-    langs = np.array([model.languages.index(r["lang"]) for r in rows], np.int64)
     model.mean, model.spread, model.limit = np.full(k, model.uniform / 2), np.ones(k), np.full(k, LEAST_LIMIT)
-    own = h[np.arange(len(h)), langs]
-    for i in range(k):
-        mine = langs == i
-        if mine.any():
-            root = np.sqrt(np.minimum(n[mine], LONG))
-            model.mean[i] = np.average(own[mine], weights=root)
-            model.spread[i] = max(float(np.sqrt(np.median(((own[mine] - model.mean[i]) * root) ** 2))) * 1.5, 0.5)
-            far = model.far(own[mine], langs[mine], n[mine])
-            model.limit[i] = float(np.clip(MARGIN * np.quantile(far, 0.99), LEAST_LIMIT, 1.0))
-    best = (np.inf, 1.0)
-    for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
-        logit = -np.minimum(n, LONG)[:, None] * t * np.log(2) * (h - h.min(axis=1, keepdims=True)) if len(h) else np.zeros((0, k))
-        loss = float(np.mean(np.log(np.exp(logit).sum(axis=1)) - logit[np.arange(len(h)), langs])) if len(h) else 0.0
-        best = min(best, (loss, t))
-    model.temperature = best[1]
+    if not facts:
+        model.temperature = TEMPERATURES[0]
+        return model
+    texts = {x: r["texts"] for x, r in facts.items()}
+    low, high = ({x: r[side] for x, r in facts.items()} for side in ("low", "high"))
+    mean = {x: float(r["weighted"] / r["weight"]) for x, r in facts.items()}
+    most = {x: max(mean[x] - low[x], high[x] - mean[x], 0.0) * LONG**0.5 for x in facts}
+    middle = _quantile(rows, F.abs(F.col("own") - _of_lang(mean)) * root, 0.5, texts, dict.fromkeys(facts, 0.0), most)
+    spread = {x: max(v * 1.5, 0.5) for x, v in middle.items()}
+    # As Model.far has it.
+    scale = {x: max(model.uniform - v, 0.5) for x, v in mean.items()}
+    far = (F.col("own") - _of_lang(mean) - 3 * _of_lang(spread) / root) / _of_lang(scale)
+    farthest = _quantile(rows, far, 0.99, texts, {x: (low[x] - mean[x] - 3 * spread[x]) / scale[x] for x in facts}, {x: (high[x] - mean[x]) / scale[x] for x in facts})
+    for x, i in place.items():
+        if x in facts:
+            model.mean[i], model.spread[i] = mean[x], spread[x]
+            model.limit[i] = float(np.clip(MARGIN * farthest[x], LEAST_LIMIT, 1.0))
+    model.temperature = min((sum(r[x] for r in facts.values()), t) for x, t in zip(losses, TEMPERATURES, strict=True))[1]
     return model
 
 
@@ -380,7 +426,7 @@ def with_language(docs: DataFrame, model: Model, predicted: str = "lang_pred") -
     small_batches(docs.sparkSession)
     new = [predicted, "score", "rejected"]
 
-    def finish(bare: Model, entropies: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    def finish(bare: Model, batch: pa.RecordBatch, entropies: np.ndarray, n: np.ndarray) -> list[pa.Array]:
         return [pa.array(c, t) for c, t in zip(bare.decide(entropies, n), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
 
     return _with_sums(docs.drop(*new), model, "text", finish, f"{predicted} string, score double, rejected boolean")

@@ -521,6 +521,46 @@ def test_language_limits(spark):
     assert all(r.rejected and r.score < 0.5 for r in got.values())
 
 
+def test_languages_calibrated_on_all_texts(spark):
+    """Means, spreads, limits and the temperature are those of all different training texts, however many there are."""
+    rng = random.Random(12)
+    rows = [(words(rng, rng.randrange(1, 9), letters), x) for x, letters in (("x", "abcd"), ("y", "cdefé"), ("z", "abcdefé")) for _ in range(2500)]
+    rows += [(words(rng, 3, "qrstuvw"), "x") for _ in range(20)] + rows[:1000] + [("...", "y"), ("", "x")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    different = sorted(set(rows))
+    h, n = model.entropies([t for t, _ in different])
+    langs = np.array([model.languages.index(x) for _, x in different])[n > 0]
+    h, n = h[n > 0], n[n > 0]
+    own, root = h[np.arange(len(h)), langs], np.sqrt(np.minimum(n, langid.LONG))
+    assert len(h) > 5000
+    for i in range(3):
+        mine = langs == i
+        ordered = lambda v, share: np.sort(v)[int(np.ceil(share * len(v))) - 1]
+        assert abs(model.mean[i] - np.average(own[mine], weights=root[mine])) < 1e-6
+        middle = ordered(np.abs(own[mine] - model.mean[i]) * root[mine], 0.5)
+        assert abs(model.spread[i] - max(middle * 1.5, 0.5)) < 1e-4
+        far = ordered(model.far(own[mine], langs[mine], n[mine]), 0.99)
+        assert abs(model.limit[i] - np.clip(langid.MARGIN * far, langid.LEAST_LIMIT, 1)) < 1e-4
+    losses = []
+    for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
+        logit = -np.minimum(n, langid.LONG)[:, None] * t * np.log(2) * h
+        logit -= logit.max(axis=1, keepdims=True)
+        losses.append((np.mean(np.log(np.exp(logit).sum(axis=1)) - logit[np.arange(len(h)), langs]), t))
+    assert model.temperature == min(losses)[1]
+
+
+def test_language_quantiles(spark):
+    rng = random.Random(13)
+    values = {"x": [rng.gauss(-3, 1) for _ in range(999)] + [400.0], "y": [0.5] * 7, "z": [-1e-4, 2.0]}
+    rows = spark.createDataFrame([(x, v) for x, own in values.items() for v in own], "lang string, v double")
+    args = ({x: len(v) for x, v in values.items()}, {x: min(v) for x, v in values.items()}, {x: max(v) for x, v in values.items()})
+    for share in (0.0, 0.5, 0.99, 1.0):
+        got = langid._quantile(rows, F.col("v"), share, *args)
+        for x, v in values.items():
+            want = sorted(v)[max(int(np.ceil(share * len(v))), 1) - 1]
+            assert 0 <= want - got[x] < 1 / langid.FINE
+
+
 def test_languages_odd_rows(spark, odd, empty):
     rows = langid.predicted_languages(odd).collect()
     assert len(rows) == odd.count()
