@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from actmill.llm import decontam, linededup, omh
+import numpy as np
+from actmill.llm import decontam, langid, linededup, omh
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +43,17 @@ def test_odd_rows_and_empty_tables(spark):
             assert name == "tokens" or out.columns == docs.columns
             docs = spark.createDataFrame(out.collect(), out.schema)
         assert [r.doc_id for r in docs.collect()] in ([1], [])
+
+
+def test_language_stage_learns_from_all_rows(spark, monkeypatch):
+    """The models that the stage rejects by are calibrated on every text of the learning folds."""
+    rng = random.Random(21)
+    rows = [(i, " ".join("".join(rng.choices("abcdef", k=rng.randrange(2, 7))) for _ in range(rng.randrange(1, 12))), "x", "s", 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    models = []
+    monkeypatch.setattr(corpus_pipeline, "fit", lambda train: models.append(langid.fit(train)) or models[-1])
+    kept = {r.doc_id for r in corpus_pipeline.languages(spark, docs, SF).collect()}
+    texts = sorted({r.text for r in docs.filter(langid.fold(4) != 2).collect()})
+    h, n = models[0].entropies(texts)
+    assert len(texts) > 4000 and abs(models[0].mean[0] - np.average(h[:, 0], weights=np.sqrt(np.minimum(n, langid.LONG)))) < 1e-6
+    assert kept == {i for (i, *_), out in zip(rows, models[0].predict([t for _, t, *_ in rows])[2], strict=True) if not out}
