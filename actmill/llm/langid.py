@@ -43,7 +43,7 @@ BLOCK_ROWS = 4_000_000
 LONG = 200
 LEAST_LIMIT, MARGIN = 0.8, 1.5
 TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
-#: Parts of 1 to which a quantile is exact; bits of it found in a round; rows of a partition of calibration numbers.
+#: Parts of 1 to which a quantile is exact; bits of it found in a round; rows of a partition of n-grams or calibration numbers.
 FINE, ROUND_BITS, ROUND_ROWS = 1 << 16, 13, 1 << 16
 _BITS = 16
 _LETTER: list[np.ndarray] = []
@@ -237,11 +237,13 @@ def _suffix(order: int) -> Column:
 def model_rows(counts: DataFrame) -> tuple[DataFrame, dict[str, float], int]:
     """(kind, gram, lang, value): all entries of the models; each language's unseen value; the size of the alphabet.
 
-    counts has the n-grams of order ORDER. Only four discounts for each language and the alphabet's size are collected.
+    counts has the n-grams of order ORDER, as written. Only four discounts for each language and the alphabet's size are
+    collected. Each step gives as many partitions as its n-grams need, since there are many steps and few n-grams.
     """
-    levels = {ORDER: counts}
+    few = 1 + counts.count() // ROUND_ROWS
+    levels = {ORDER: counts.coalesce(few)}
     for o in range(ORDER - 1, 0, -1):  # below, the number of different characters seen in front
-        levels[o] = levels[o + 1].groupBy("lang", _suffix(o).alias("gram")).agg(F.count("*").alias("n"))
+        levels[o] = levels[o + 1].groupBy("lang", _suffix(o).alias("gram")).agg(F.count("*").alias("n")).coalesce(few)
     once = [levels[o].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("total"), F.count("*").alias("kinds")).select(F.lit(o).alias("o"), "*") for o in levels]
     found = once[0]
     for x in once[1:]:
@@ -264,15 +266,15 @@ def model_rows(counts: DataFrame) -> tuple[DataFrame, dict[str, float], int]:
         own = levels[o].withColumn("context", context).withColumn("d", F.create_map(*discount[o])[F.col("lang")])
         # A context has at most as many rows as there are characters.
         by = Window.partitionBy("lang", "context")
-        own = own.withColumn("total", F.sum("n").over(by)).withColumn("kinds", F.count("*").over(by)).withColumn("back", F.col("d") * F.col("kinds") / F.col("total"))
+        own = own.withColumn("total", F.sum("n").over(by)).withColumn("kinds", F.count("*").over(by)).withColumn("back", F.col("d") * F.col("kinds") / F.col("total")).coalesce(few)
         top = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
         if below is None:
             probs = own.select("lang", "gram", (top + F.col("back") / symbols).alias("p"), F.log2(F.lit(1.0) + top * symbols / F.col("back")).alias("value"))
         else:
             low = below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("low"))
-            joined = own.withColumn("rest", _suffix(o - 1)).join(low, ["lang", "rest"])
+            joined = own.withColumn("rest", _suffix(o - 1)).join(low, ["lang", "rest"]).coalesce(few)
             probs = joined.select("lang", "gram", (top + F.col("back") * F.col("low")).alias("p"), F.log2(F.lit(1.0) + top / (F.col("back") * F.col("low"))).alias("value"))
-            weights = own.groupBy("lang", F.col("context").alias("gram")).agg(F.first("back").alias("back"))
+            weights = own.groupBy("lang", F.col("context").alias("gram")).agg(F.first("back").alias("back")).coalesce(few)
             out.append(weights.select(F.lit(ORDER + o - 2).alias("kind"), "gram", "lang", F.log2("back").alias("value")))
         out.append(probs.select(F.lit(o - 1).alias("kind"), "gram", "lang", "value"))
         below = probs

@@ -352,18 +352,20 @@ def verified(seqs: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(key, class_key) of every linked key: smallest key of its connected component.
 
-    Rounds of neighbour minima with pointer jumping over the links alone; every round is cut by checkpoint(). What a round
-    reads is in as many partitions as its rows need, since many rounds over few rows else write many empty files.
+    Rounds of neighbour minima with pointer jumping over the links alone; every round is cut by checkpoint(). All steps of
+    a round are in as many partitions as their rows need, since many rounds over few rows else make many empty tasks and
+    files, each of which the driver has to book. links should be written tables: they are read twice.
     """
-    written = checkpointed(links.select(F.col("hub").alias("u"), F.col("key").alias("v")).unionByName(links.select(F.col("key").alias("u"), F.col("hub").alias("v"))))
-    few = 1 + written.count() // ROUND_ROWS
-    edges = written.coalesce(few)
-    labels = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.least("u", "m").alias("label"))).coalesce(few)
+    few = 1 + 2 * links.count() // ROUND_ROWS
+    beside = F.broadcast if few == 1 else lambda df: df  # rows of one partition go to the other side without a shuffle
+    links = links.coalesce(few)
+    edges = checkpointed(links.select(F.col("hub").alias("u"), F.col("key").alias("v")).unionByName(links.select(F.col("key").alias("u"), F.col("hub").alias("v")))).coalesce(few)
+    labels = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("key"), F.least("u", "m").alias("label")).coalesce(few))
     while True:
-        seen = edges.join(labels, edges.v == labels.key).groupBy("u").agg(F.min("label").alias("near"))
-        closer = labels.join(seen, labels.key == seen.u).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        seen = edges.join(beside(labels), edges.v == labels.key).coalesce(few).groupBy("u").agg(F.min("label").alias("near")).coalesce(few)
+        closer = labels.join(beside(seen), labels.key == seen.u).select("key", F.col("label").alias("old"), F.least("label", "near").alias("label")).coalesce(few)
         jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        new = checkpointed(closer.join(jump, "label").select("key", "old", F.least("label", "further").alias("label"))).coalesce(few)
+        new = checkpointed(closer.join(beside(jump), "label").select("key", "old", F.least("label", "further").alias("label")).coalesce(few))
         labels = new.select("key", "label")
         if new.filter("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "class_key")

@@ -57,3 +57,29 @@ def test_language_stage_learns_from_all_rows(spark, monkeypatch):
     h, n = models[0].entropies(texts)
     assert len(texts) > 4000 and abs(models[0].mean[0] - np.average(h[:, 0], weights=np.sqrt(np.minimum(n, langid.LONG)))) < 1e-6
     assert kept == {i for (i, *_), out in zip(rows, models[0].predict([t for _, t, *_ in rows])[2], strict=True) if not out}
+
+
+def test_small_tables_take_few_tasks(spark):
+    """Many steps over few rows: models and components start few tasks, however many partitions a shuffle has."""
+    tracker, partitions = spark.sparkContext.statusTracker(), spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.shuffle.partitions": "101", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def tasks(group: str, run) -> int:
+        spark.sparkContext.setJobGroup(group, group)
+        run()
+        infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        return sum(x.numCompletedTasks for x in infos if x)
+
+    links = spark.createDataFrame([(i, i + 1, 1.0) for i in range(1, 40)], "hub long, key long, likeness double").coalesce(1)
+    counts = spark.createDataFrame([("x", i * 7919 % 65536 << 16 | i % 11, 1 + i % 3) for i in range(300)], "lang string, gram long, n long").coalesce(1)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = []
+        assert tasks("components", lambda: found.extend(omh.components(links).collect())) < 101
+        assert {r.class_key for r in found} == {1} and len(found) == 40
+        assert tasks("models", lambda: langid.model_rows(counts)[0].collect()) < 5 * 101
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
