@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -238,17 +239,16 @@ def model_rows(counts: DataFrame) -> tuple[DataFrame, dict[str, float], int]:
     """(kind, gram, lang, value): all entries of the models; each language's unseen value; the size of the alphabet.
 
     counts has the n-grams of order ORDER, as written. Only four discounts for each language and the alphabet's size are
-    collected. Each step gives as many partitions as its n-grams need, since there are many steps and few n-grams.
+    collected. Each step gives as many partitions as its n-grams need, since there are many steps and few n-grams. Each is
+    cut by checkpoint(): else the last plan would hold all steps many times over, and the driver would plan and report it
+    anew after each of its stages.
     """
     few = 1 + counts.count() // ROUND_ROWS
     levels = {ORDER: counts.coalesce(few)}
     for o in range(ORDER - 1, 0, -1):  # below, the number of different characters seen in front
-        levels[o] = levels[o + 1].groupBy("lang", _suffix(o).alias("gram")).agg(F.count("*").alias("n")).coalesce(few)
-    once = [levels[o].groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("total"), F.count("*").alias("kinds")).select(F.lit(o).alias("o"), "*") for o in levels]
-    found = once[0]
-    for x in once[1:]:
-        found = found.unionByName(x)
-    facts = found.collect()
+        levels[o] = checkpointed(levels[o + 1].groupBy("lang", _suffix(o).alias("gram")).agg(F.count("*").alias("n")).coalesce(few))
+    every = reduce(DataFrame.unionByName, (levels[o].select(F.lit(o).alias("o"), "lang", "n") for o in levels))
+    facts = every.groupBy("o", "lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("n").alias("total"), F.count("*").alias("kinds")).coalesce(few).collect()
     if not facts:
         return counts.select(F.lit(0).alias("kind"), "gram", "lang", F.lit(0.0).alias("value")), {}, 1
     symbols = levels[1].select("gram").distinct().count() + 1
@@ -269,19 +269,17 @@ def model_rows(counts: DataFrame) -> tuple[DataFrame, dict[str, float], int]:
         own = own.withColumn("total", F.sum("n").over(by)).withColumn("kinds", F.count("*").over(by)).withColumn("back", F.col("d") * F.col("kinds") / F.col("total")).coalesce(few)
         top = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
         if below is None:
-            probs = own.select("lang", "gram", (top + F.col("back") / symbols).alias("p"), F.log2(F.lit(1.0) + top * symbols / F.col("back")).alias("value"))
+            probs = own.select("lang", "gram", "context", "back", (top + F.col("back") / symbols).alias("p"), F.log2(F.lit(1.0) + top * symbols / F.col("back")).alias("value"))
         else:
             low = below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("low"))
             joined = own.withColumn("rest", _suffix(o - 1)).join(low, ["lang", "rest"]).coalesce(few)
-            probs = joined.select("lang", "gram", (top + F.col("back") * F.col("low")).alias("p"), F.log2(F.lit(1.0) + top / (F.col("back") * F.col("low"))).alias("value"))
-            weights = own.groupBy("lang", F.col("context").alias("gram")).agg(F.first("back").alias("back")).coalesce(few)
+            probs = joined.select("lang", "gram", "context", "back", (top + F.col("back") * F.col("low")).alias("p"), F.log2(F.lit(1.0) + top / (F.col("back") * F.col("low"))).alias("value"))
+        below = checkpointed(probs)
+        out.append(below.select(F.lit(o - 1).alias("kind"), "gram", "lang", "value"))
+        if o > 1:
+            weights = below.groupBy("lang", F.col("context").alias("gram")).agg(F.first("back").alias("back")).coalesce(few)
             out.append(weights.select(F.lit(ORDER + o - 2).alias("kind"), "gram", "lang", F.log2("back").alias("value")))
-        out.append(probs.select(F.lit(o - 1).alias("kind"), "gram", "lang", "value"))
-        below = probs
-    rows = out[0]
-    for x in out[1:]:
-        rows = rows.unionByName(x)
-    return rows, unseen, symbols
+    return reduce(DataFrame.unionByName, out), unseen, symbols
 
 
 def fit(train: DataFrame) -> Model:

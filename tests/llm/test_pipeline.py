@@ -83,3 +83,16 @@ def test_small_tables_take_few_tasks(spark):
         spark.sparkContext._jsc.sc().clearJobGroup()
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_model_steps_have_small_plans(spark, monkeypatch):
+    """No step of the models plans the steps before it again: the driver's memory goes with the size of a plan."""
+    plans = []
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    cut = langid.checkpointed
+    monkeypatch.setattr(langid, "checkpointed", lambda df: plans.append(size(df)) or cut(df))
+    counts = spark.createDataFrame([("x", i * 7919 % 65536 << 16 | i % 11, 1 + i % 3) for i in range(300)], "lang string, gram long, n long")
+    rows, unseen, _ = langid.model_rows(counts)
+    plans.append(size(rows))
+    assert set(unseen) == {"x"} and {r.kind for r in rows.select("kind").distinct().collect()} == set(range(langid.KINDS))
+    assert max(plans) < 60, plans
