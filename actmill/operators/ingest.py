@@ -61,7 +61,7 @@ def drop_abrogated(units: Column) -> Column:
 
 
 def has_marginal_title(title: Column, units: Column) -> Column:
-    first = units[0]
+    first = F.get(units, F.lit(0))  # null where there is no unit
     plain = (F.length(first) < TITLE_CHARS) & (F.instr(first, "\n") == 0) & ~first.rlike(r"[.:;,]$")
     return (title == "") & (F.size(units) > 1) & plain
 
@@ -70,7 +70,7 @@ def marginal_title(df: DataFrame) -> DataFrame:
     """A short first unit without final punctuation is the title of an article that has none."""
     moved = has_marginal_title(F.col("title"), F.col("units"))
     df = df.withColumn("_moved", F.coalesce(moved, F.lit(False)))
-    title = F.when(F.col("_moved"), F.col("units")[0]).otherwise(F.col("title"))
+    title = F.when(F.col("_moved"), F.get("units", F.lit(0))).otherwise(F.col("title"))
     units = F.when(F.col("_moved"), F.slice("units", F.lit(2), F.greatest(F.size("units") - 1, F.lit(0)))).otherwise(F.col("units"))
     return df.withColumns({"title": title, "units": units}).drop("_moved")
 
