@@ -41,3 +41,8 @@ def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half up; the sign of a zero is kept, as SQL keeps it."""
+    return F.abs(F.round(x, places)) * F.signum(x)
