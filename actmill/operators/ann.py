@@ -4,8 +4,10 @@ Building: centroids come from a few rounds of k-means on a bounded sample (SAMPL
 its nearest centroid's list; its residual is kept as one signed byte a dimension, with a scale for each row. A list is
 stored as rows of CUT vectors at most, so a crowded list is many rows and no task holds it whole.
 
-Searching: a question looks into lists in order of their centroids' likeness, PROBES at least, and on until they hold
-ENOUGH times k rows. Lists meet questions in a join by list; each pair is a product of matrices on decoded vectors. The
+Searching: a question looks into lists in order of their centroids' likeness, PROBES at least and as many as the index
+asks for, and on until they hold ENOUGH times k rows. What the index asks for is measured when it is built: TRIED rows of
+the sample look for their NEAR nearest others, and SURE of these lie in so many lists. Neighbours in a sample are farther
+than in all rows, so this is on the safe side; where vectors have no clusters, it comes near to all lists. Lists meet questions in a join by list; each pair is a product of matrices on decoded vectors. The
 best RERANK times k of a question are scored again with the exact vectors, joined by id.
 """
 
@@ -25,11 +27,12 @@ from actmill.operators.vectors import best, places
 #: Rows that the centroids are fitted on, most lists, rounds of k-means, vectors of a stored row.
 SAMPLE, MOST_LISTS, ROUNDS, CUT = 20_000, 1_024, 12, 2_048
 PROBES, ENOUGH, RERANK = 24, 20, 4
+TRIED, NEAR, SURE = 512, 10, 0.97
 
 
 @dataclass(frozen=True)
 class Index:
-    """centroids(list, size, vector) and lists(list, cut, scales, codes, ids, poss); both are tables."""
+    """centroids(list, size, vector, probes) and lists(list, cut, scales, codes, ids, poss); both are tables."""
 
     centroids: DataFrame
     lists: DataFrame
@@ -60,6 +63,19 @@ def fitted(sample: np.ndarray, lists: int) -> np.ndarray:
     return centers
 
 
+def probes_of(sample: np.ndarray, centers: np.ndarray) -> int:
+    """How many lists, in order of likeness, hold SURE of the NEAR nearest others of TRIED rows of the sample."""
+    if len(sample) < 2:
+        return 1
+    tried = np.random.default_rng(11).permutation(len(sample))[:TRIED]
+    own, sims = (sample @ centers.T).argmax(axis=1), sample[tried] @ sample.T
+    sims[np.arange(len(tried)), tried] = -np.inf
+    near = min(NEAR, len(sample) - 1)
+    found = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+    place = np.argsort(np.argsort(-(sample[tried] @ centers.T), axis=1, kind="stable"), axis=1, kind="stable")
+    return int(np.quantile(np.take_along_axis(place, own[found], 1), SURE, method="higher")) + 1
+
+
 def build(corpus: DataFrame, lists: int | None = None) -> Index:
     """The index of corpus(id, pos, vector), unit vectors; by default the square root of its rows as lists, MOST_LISTS at most.
 
@@ -74,7 +90,7 @@ def build(corpus: DataFrame, lists: int | None = None) -> Index:
         sample = np.zeros((1, 1))
     centers = fitted(sample, min(lists or max(1, int(n**0.5)), MOST_LISTS, len(sample)))
     sent = spark.sparkContext.broadcast(centers)
-    kinds = dict(corpus.dtypes)
+    probes, kinds = probes_of(sample, centers), dict(corpus.dtypes)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,14 +110,15 @@ def build(corpus: DataFrame, lists: int | None = None) -> Index:
     packed = dealt.groupBy("list", "cut").agg(F.collect_list(F.struct("id", "pos", "scale", "code")).alias("e"))
     table = packed.select("list", "cut", F.col("e.scale").alias("scales"), F.col("e.code").alias("codes"), F.col("e.id").alias("ids"), F.col("e.pos").alias("poss"))
     known = {r[0]: r[1] for r in sizes.collect()}
-    made = spark.createDataFrame([(i, int(known.get(i, 0)), c.tolist()) for i, c in enumerate(centers)], "list int, size long, vector array<double>")
+    made = spark.createDataFrame([(i, int(known.get(i, 0)), c.tolist(), probes) for i, c in enumerate(centers)], "list int, size long, vector array<double>, probes int")
     return Index(made, stored(table))
 
 
-def _probes(queries: DataFrame, index: Index, k: int, probes: int) -> DataFrame:
+def _probes(queries: DataFrame, index: Index, k: int, probes: int | None) -> DataFrame:
     """(list, qids, vectors): the questions that look into each list."""
     rows = sorted(index.centroids.collect())  # MOST_LISTS rows at most
     centers, sizes = np.array([r["vector"] for r in rows], np.float64), np.array([r["size"] for r in rows])
+    probes = max(PROBES, rows[0]["probes"] if rows else 0) if probes is None else probes
     sent = queries.sparkSession.sparkContext.broadcast((centers, sizes))
     kind = dict(queries.dtypes)["qid"]
 
@@ -120,7 +137,7 @@ def _probes(queries: DataFrame, index: Index, k: int, probes: int) -> DataFrame:
     return asked.mapInArrow(choose, f"qid {kind}, list int, vector array<double>")
 
 
-def search(queries: DataFrame, corpus: DataFrame, index: Index, k: int = 10, probes: int = PROBES) -> DataFrame:
+def search(queries: DataFrame, corpus: DataFrame, index: Index, k: int = 10, probes: int | None = None) -> DataFrame:
     """(qid, id, score, rank): the k best rows found, scored exactly; queries(qid, vector), corpus(id, pos, vector)."""
     looked = _probes(queries, index, k, probes)
     # Questions of a list are cut too, so that a list that all look into is many pairs of rows.
